@@ -84,7 +84,7 @@ def spans(votes: DataFrame) -> DataFrame:
     torn = by_diag.withColumn("new", F.when(near, 0).otherwise(1))
     runs = torn.withColumn("run", F.sum("new").over(order)).groupBy("row_id", "doc_id", "template", "label", "phrase", "size", "run")
     merged = runs.agg(F.sum("votes").alias("votes"), F.min("lo").cast("long").alias("start"), F.max("gram").cast("long").alias("n_words"))
-    score = F.least(F.lit(1.0), F.col("votes") / F.col("size"))
+    score = F.when(F.col("template").isNotNull(), F.least(F.lit(1.0), F.col("votes") / F.col("size")))
     enough = F.when(F.col("phrase"), F.col("votes") == F.col("size")).otherwise(score >= ENOUGH)
     return merged.withColumn("score", score).where(F.col("template").isNull() | enough).drop("run", "votes", "size")
 
