@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitflow.llm import bpe, langid, licenses, pii
+from orbitflow.llm import bpe, embed_dedup, langid, licenses, minhash, pii
 
 #: Where the vocabulary lies; a parameter of ``op8_byte_bpe``.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
     counts = [F.size(pii.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -40,5 +48,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, filters)
 
 
-QUERIES = {"op5_pii": op5_pii, "op7_licenses": op7_licenses, "op8_byte_bpe": op8_byte_bpe, "op10_language": op10_language}
+QUERIES = {"op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op5_pii": op5_pii, "op7_licenses": op7_licenses, "op8_byte_bpe": op8_byte_bpe, "op10_language": op10_language}
 ORACLES: dict[str, str] = {}
