@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points that are handled at once where Python works on texts; bounds a task's arrays.
 CHUNK = 1 << 20
@@ -43,10 +44,12 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if self.root.split("://")[-1] in f}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in {f[: f.index("/", f.index(self.root.rsplit("/", 1)[-1]) + len(self.root.rsplit("/", 1)[-1]) + 1)] for f in df.inputFiles()}:
+            self.delete(name)
+
+    def delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(texts: Iterable[str | None], most: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
@@ -63,6 +66,27 @@ def slices(texts: Iterable[str | None], most: int = CHUNK) -> Iterator[tuple[int
         yield first, held
 
 
+#: Bits of the filter of ``maybe_in``.
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, column: str, key: str | None = None, keep_all: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in ``keys`` (never leaving out one that is), or all with a flag ``maybe``.
+
+    One bit a hash, in ``FILTER_BITS / 63`` rows at most, is all that is broadcast, however many keys there are; with very
+    many keys more rows than needed pass, and the join that follows stays exact.
+    """
+    def bit(c):
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    words = keys.select(bit(F.col(key or column)).alias("b")).groupBy((F.col("b") / 63).cast("int").alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 63).cast("int"))).alias("_mask"))
+    own = df.withColumn("_bit", bit(F.col(column)))
+    own = own.withColumn("_word", (F.col("_bit") / 63).cast("int"))
+    found = F.coalesce(F.call_function("shiftrightunsigned", F.col("_mask"), (F.col("_bit") % 63).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    joined = own.join(F.broadcast(words), "_word", "left").withColumn("maybe", found).drop("_word", "_mask", "_bit")
+    return joined if keep_all else joined.where("maybe").drop("maybe")
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitflow.llm import bpe, embed_dedup, langid, licenses, minhash, pii
+from orbitflow.llm import bpe, embed_dedup, langid, licenses, minhash, pii, suffix_dedup
 
 #: Where the vocabulary lies; a parameter of ``op8_byte_bpe``.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -48,5 +54,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, filters)
 
 
-QUERIES = {"op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op5_pii": op5_pii, "op7_licenses": op7_licenses, "op8_byte_bpe": op8_byte_bpe, "op10_language": op10_language}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op5_pii": op5_pii, "op7_licenses": op7_licenses, "op8_byte_bpe": op8_byte_bpe, "op10_language": op10_language}
 ORACLES: dict[str, str] = {}
