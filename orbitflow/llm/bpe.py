@@ -309,11 +309,15 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame
     return df.withColumn("decoded", run(F.col(ids)))
 
 
-def digests(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encoded, then decoded from the ids, in one pass."""
+def digests(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: bool = False) -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and the ``ids``): encoded, then decoded from the ids, in one pass."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
+    if ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+
     def row(c: Coder, p: bytes):
-        return len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(c.decode(p)).hexdigest()
+        more = (np.frombuffer(p, "<i4"),) if ids else ()
+        return len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(c.decode(p)).hexdigest(), *more
 
     return _with(df, vocabulary, text, fields, row)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitflow.llm import bpe, embed_dedup, langid, licenses, minhash, pii, suffix_dedup
+from orbitflow.llm import bpe, decontam, embed_dedup, langid, licenses, minhash, pii, quality, revisit, suffix_dedup
 
 #: Where the vocabulary lies; a parameter of ``op8_byte_bpe``.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -35,6 +41,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(documents(spark, sf_dir))
 
@@ -46,6 +56,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
     return bpe.digests(documents(spark, sf_dir).select("doc_id", "text"), vocabulary).drop("text")
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisit.resolve(revisit.captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    pairs = F.transform(F.map_entries("headers"), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return found.withColumn("headers", F.when(F.col("headers").isNotNull(), F.array_join(F.array_sort(pairs), ";")))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -54,5 +70,73 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, filters)
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op5_pii": op5_pii, "op7_licenses": op7_licenses, "op8_byte_bpe": op8_byte_bpe, "op10_language": op10_language}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_quality": op2_quality,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_pii": op5_pii,
+    "op6_decontamination": op6_decontamination,
+    "op7_licenses": op7_licenses,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_warc_revisits": op9_warc_revisits,
+    "op10_language": op10_language,
+}
+
+_REACH = """reach AS (
+  SELECT id AS a, id AS b FROM nodes
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+), classes AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+ORACLES: dict[str, str] = {
+    "op3_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+  SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.label = y.label AND x.id < y.id
+  WHERE list_dot_product(x.e, x.e) > 0 AND list_dot_product(y.e, y.e) > 0 AND list_cosine_similarity(x.e, y.e) >= 0.98
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH}
+SELECT e.vec_id, (SELECT count(*) FROM both_ways w WHERE w.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN classes c ON e.vec_id = c.id
+""",
+    "op4_minhash_near_dedup": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+both_of AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_of JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN classes c ON d.doc_id = c.id LEFT JOIN n ON n.id = d.doc_id
+""",
+    "op9_warc_revisits": r"""
+WITH a AS (
+  SELECT page_id, md5(coalesce(html, '')) AS digest, substr(md5(coalesce(url, '')), 1, 1) AS c,
+         regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages
+), b AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') AS host,
+         regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         regexp_replace(regexp_replace('&' || regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&+', '') AS q FROM a
+), p AS (
+  SELECT page_id, digest, c, host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u, '"' || substr(digest, 1, 16) || '"' AS tag, 't' || page_id AS lm FROM b
+), r AS (
+  SELECT page_id * 2 + 1 AS record_id, u, page_id * 2 + 1 AS ts, page_id,
+         CASE WHEN c IN ('2', '3') THEN '"other"' WHEN c NOT IN ('4', '5', '6', '7', '8') THEN 'W/' || tag END AS own_tag,
+         CASE WHEN c IN ('4', '5') THEN lm END AS own_lm, CASE WHEN c IN ('7', '8') THEN digest END AS own_digest FROM p
+), f AS (SELECT page_id * 2 AS fid, u, page_id * 2 AS fts, tag, lm, digest FROM p WHERE c NOT IN ('0', '1')),
+m AS (SELECT r.*, f.fid, f.tag, f.lm, f.digest FROM r ASOF LEFT JOIN f ON r.u = f.u AND r.ts >= f.fts),
+s AS (
+  SELECT *, CASE WHEN fid IS NULL THEN 'unresolved'
+                 WHEN own_tag IS NOT NULL THEN CASE WHEN regexp_replace(own_tag, '^W/', '') = tag THEN 'resolved' ELSE 'changed' END
+                 WHEN own_lm IS NOT NULL THEN CASE WHEN own_lm = lm THEN 'resolved' ELSE 'changed' END
+                 WHEN own_digest IS NOT NULL THEN CASE WHEN own_digest = digest THEN 'resolved' ELSE 'changed' END
+                 ELSE 'unverified' END AS state FROM m
+)
+SELECT record_id, u AS canonical_url, ts, fid AS response_id, state,
+       CASE WHEN state = 'resolved' THEN 'content-type=text/html;date=r' || page_id || ';etag=' || coalesce(own_tag, tag) || ';last-modified=' || lm END AS headers
+FROM s
+""",
+}
