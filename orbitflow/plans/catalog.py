@@ -1,8 +1,555 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries over the operators, and their DuckDB twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orbitflow.config import Config
+from orbitflow.functions import codec
+from orbitflow.functions import geometry as G
+from orbitflow.operators import align, buffers, fold, framing, health, mapping, odometry, results, rolling, trajectory
+from orbitflow.plans import proxies as P
+from orbitflow.plans.proxies import CTES, DURATION, FEWEST, TOLERANCE
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+#: Recordings of the proxies move too little for tuned values.
+COARSE = Config(frame_duration=DURATION, voxel_size=5.0, max_range=300.0, min_range=0.1, rotate_with_imu=False)
+LOOSE = {"tolerance": TOLERANCE, "min_points": FEWEST}
+STILL = 200.0
+
+
+def query(sql: str | None = None):
+    """Register a query; ``sql`` is the final SELECT over the shared derivations."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = f"WITH RECURSIVE {CTES}\n{sql}"
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def _r6(sql: str) -> str:
+    return f"round({sql}, 6) + 0.0::DOUBLE"
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) for n in names})
+
+
+# Flagship
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(P.scans(spark, sf_dir), P.imu(spark, sf_dir), TOLERANCE)
+
+
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.assemble(aligned(spark, sf_dir), DURATION, FEWEST)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame's scans, points and stretch of time, after alignment and rotation."""
+    return greedy_frames(spark, sf_dir)
+
+
+@query(f"SELECT recording_id, frame_id, {_r6('frame_t0')} AS frame_t0, {_r6('t_start')} AS t_start, {_r6('t_end')} AS t_end, {_r6('t_end - t_start')} AS span, n_scans, n_points FROM frames")
+def greedy_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = assembled(spark, sf_dir).select("recording_id", "frame_id", "frame_t0", "t_start", "t_end", "span", F.col("n_scans").cast("long").alias("n_scans"), "n_points")
+    return rounded(f, "frame_t0", "t_start", "t_end", "span")
+
+
+# Codec
+
+
+def _wide(df: DataFrame) -> DataFrame:
+    return df.select("recording_id", "seq", "stamp", F.col("valid_points_num").cast("long").alias("n"), F.posexplode("points").alias("pos", "p")).select("recording_id", "seq", "stamp", "n", F.col("pos").cast("long").alias("pos"), *[F.col(f"p.{c}").cast("double").alias(c) for c in ("x", "y", "z", "intensity", "time")], "p.ring")
+
+
+@query("SELECT recording_id, seq, stamp, seq % 4 + 1 AS n, pos, x, y, z, 10.0::DOUBLE AS intensity, time, ring FROM pts")
+def codec_roundtrip_scan(spark, sf_dir):
+    return _wide(codec.scans(codec.decode(P.datagrams(spark, sf_dir))))
+
+
+@query("SELECT recording_id, seq, stamp, seq AS id, value::FLOAT::DOUBLE AS gyro_x, value::FLOAT::DOUBLE AS accel_z, round(sin(radians(value) / 2)::FLOAT::DOUBLE, 5) + 0.0::DOUBLE AS qz, round(cos(radians(value) / 2)::FLOAT::DOUBLE, 5) + 0.0::DOUBLE AS qw FROM imu")
+def codec_roundtrip_imu(spark, sf_dir):
+    i = codec.imu_samples(codec.decode(P.datagrams(spark, sf_dir)))
+    q = [(F.round(f"q.{c}", 5) + F.lit(0.0)).alias(f"q{c}") for c in "zw"]
+    return i.select("recording_id", "seq", "stamp", "id", F.col("gyro.x").alias("gyro_x"), F.col("accel.z").alias("accel_z"), *q)
+
+
+@query("SELECT recording_id, CASE seq % 5 WHEN 1 THEN 'undersized' WHEN 2 THEN 'unknown' WHEN 3 THEN 'malformed' WHEN 4 THEN 'short_declared' ELSE 'ok' END AS status, count(*) AS n FROM ev GROUP BY 1, 2")
+def codec_status_counts(spark, sf_dir):
+    d, p = P.datagrams(spark, sf_dir), F.col("payload")
+    cut = lambda n: F.substring(p, F.lit(1), F.lit(n) if isinstance(n, int) else n)
+    bad = F.when(F.col("seq") % 5 == 1, cut(5)).when(F.col("seq") % 5 == 2, F.concat(F.unhex(F.lit("E7030000")), F.substring(p, 5, 1 << 20))).when(F.col("seq") % 5 == 3, cut(20)).when(F.col("seq") % 5 == 4, cut(F.length(p) - 4)).otherwise(p)
+    return codec.decode(d.withColumn("payload", bad)).groupBy("recording_id", "status").agg(F.count("*").alias("n"))
+
+
+# Filters and geometry
+
+
+@query("SELECT recording_id, seq, pos, x, y, z FROM pts WHERE x <> 0 OR y <> 0 OR z <> 0")
+def zero_return_filter(spark, sf_dir):
+    p = P.scans(spark, sf_dir).select("recording_id", "seq", F.posexplode("points").alias("pos", "p")).select("recording_id", "seq", F.col("pos").cast("long").alias("pos"), *[F.col(f"p.{c}").cast("double").alias(c) for c in "xyz"])
+    return p.where(G.not_zero(F.col("x"), F.col("y"), F.col("z")))
+
+
+@query("SELECT recording_id, ord, x, y, z FROM cloud WHERE x BETWEEN -0.1::DOUBLE AND 0.1::DOUBLE AND y BETWEEN -0.2::DOUBLE AND 0.05::DOUBLE AND z BETWEEN 0.0::DOUBLE AND 0.3::DOUBLE")
+def box_filter(spark, sf_dir):
+    return P.cloud(spark, sf_dir).where(G.in_box(F.col("x"), F.col("y"), F.col("z"), (-0.1, -0.2, 0.0), (0.1, 0.05, 0.3)))
+
+
+@query("SELECT recording_id, count(*) AS n FROM ret WHERE r < 5.0::DOUBLE AND r > 1.0::DOUBLE GROUP BY 1")
+def range_gate(spark, sf_dir):
+    return P.returns(spark, sf_dir).where((F.col("r") < 5.0) & (F.col("r") > 1.0)).groupBy("recording_id").agg(F.count("*").alias("n"))
+
+
+def _loose_quat() -> Column:
+    """A quaternion that is not of unit length, zero for every 50th row."""
+    some = F.when(F.col("seq") % 50 == 0, 0.0).otherwise(1.0)
+    return G.quat(*[some * F.col("value") * k for k in (0.1, 0.2, 0.3, 0.4)])
+
+
+_Q = "(CASE WHEN seq % 50 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) * value"
+_UNIT = f"u AS (SELECT *, CASE WHEN n < 1e-12::DOUBLE THEN 0.0::DOUBLE ELSE a * 0.1::DOUBLE / n END AS x, CASE WHEN n < 1e-12::DOUBLE THEN 0.0::DOUBLE ELSE a * 0.2::DOUBLE / n END AS y, CASE WHEN n < 1e-12::DOUBLE THEN 0.0::DOUBLE ELSE a * 0.3::DOUBLE / n END AS z, CASE WHEN n < 1e-12::DOUBLE THEN 1.0::DOUBLE ELSE a * 0.4::DOUBLE / n END AS w FROM (SELECT *, sqrt(a * a * 0.3::DOUBLE) AS n FROM (SELECT *, {_Q} AS a FROM ev)))"
+
+
+@query(f", {_UNIT} SELECT seq, {_r6('x')} AS x, {_r6('y')} AS y, {_r6('z')} AS z, {_r6('w')} AS w FROM u")
+def quat_normalize(spark, sf_dir):
+    return P.stamped(spark, sf_dir).select("seq", G.normalize_quaternion(_loose_quat()).alias("q")).select("seq", *[r6(f"q.{c}").alias(c) for c in "xyzw"])
+
+
+@query(f", {_UNIT} SELECT seq, {_r6('1 - 2 * (y * y + z * z)')} AS m0, {_r6('2 * (x * y - z * w)')} AS m1, {_r6('2 * (x * z + y * w)')} AS m2, {_r6('2 * (x * y + z * w)')} AS m3, {_r6('1 - 2 * (x * x + z * z)')} AS m4, {_r6('2 * (y * z - x * w)')} AS m5, {_r6('2 * (x * z - y * w)')} AS m6, {_r6('2 * (y * z + x * w)')} AS m7, {_r6('1 - 2 * (x * x + y * y)')} AS m8 FROM u")
+def quat_to_matrix(spark, sf_dir):
+    m = P.stamped(spark, sf_dir).select("seq", G.quaternion_to_matrix(_loose_quat()).alias("m"))
+    return m.select("seq", *[r6(F.get("m", F.lit(i))).alias(f"m{i}") for i in range(9)])
+
+
+_M = ["(1 - 2 * (y * y + z * z))", "(2 * (x * y - z * w))", "(2 * (x * z + y * w))", "(2 * (x * y + z * w))", "(1 - 2 * (x * x + z * z))", "(2 * (y * z - x * w))", "(2 * (x * z - y * w))", "(2 * (y * z + x * w))", "(1 - 2 * (x * x + y * y))"]
+
+
+@query(f", {_UNIT} SELECT seq, " + ", ".join(f"{_r6(f'{_M[3 * i]} * value + {_M[3 * i + 1]} * 2 + {_M[3 * i + 2]} * 3')} AS {c}" for i, c in enumerate("xyz")) + " FROM u")
+def rotate_points(spark, sf_dir):
+    p = G.vec(F.col("value"), F.lit(2.0), F.lit(3.0))
+    return P.stamped(spark, sf_dir).select("seq", G.rotate(p, _loose_quat()).alias("p")).select("seq", *[r6(f"p.{c}").alias(c) for c in "xyz"])
+
+
+@query(f"SELECT recording_id, frame_id, round(degrees(acos(greatest(-1, least(1, (2 * cos(radians(value)) + 1 - 1) / 2)))), 5) + 0.0::DOUBLE AS rotation_deg FROM poses")
+def rotation_angle(spark, sf_dir):
+    return trajectory.rotations(P.poses(spark, sf_dir)).select("recording_id", "frame_id", (F.round("rotation_deg", 5) + F.lit(0.0)).alias("rotation_deg"))
+
+
+@query(f"SELECT recording_id, seq, {_r6('atan2(2 * cos(radians(value) / 2) * sin(radians(value) / 2), 1 - 2 * sin(radians(value) / 2) * sin(radians(value) / 2))')} AS yaw FROM imu")
+def yaw_from_quat(spark, sf_dir):
+    return P.imu(spark, sf_dir).select("recording_id", "seq", r6(G.yaw(F.col("q"))).alias("yaw"))
+
+
+@query("SELECT recording_id, ord, round(degrees(acos(least(1, abs(z) / sqrt(x * x + y * y + z * z)))), 5) + 0.0::DOUBLE AS angle_deg FROM cloud WHERE x <> 0 OR y <> 0 OR z <> 0")
+def plane_angle(spark, sf_dir):
+    up = G.vec(F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    c = P.cloud(spark, sf_dir).where(G.not_zero(F.col("x"), F.col("y"), F.col("z")))
+    return c.select("recording_id", "ord", (F.round(G.plane_angle_deg(F.struct("x", "y", "z"), up), 5) + F.lit(0.0)).alias("angle_deg"))
+
+
+def _segments(c: int) -> str:
+    v = [s[c] for s in G.VIRIDIS]
+    return "CASE " + " ".join(f"WHEN least(floor(t), 3) = {i} THEN {v[i]!r}::DOUBLE + (t - {i}) * ({v[i + 1] - v[i]!r}::DOUBLE)" for i in range(4)) + " END"
+
+
+@query("SELECT ord, " + ", ".join(f"round_even(least(255, greatest(0, ({_segments(c)}) * 255)), 0)::INTEGER AS {n}" for c, n in enumerate(("red", "green", "blue"))) + " FROM (SELECT *, least(1, greatest(0, (z + 0.2::DOUBLE) / 0.4::DOUBLE)) * 4 AS t FROM cloud)")
+def height_color(spark, sf_dir):
+    c = P.cloud(spark, sf_dir).select("ord", G.height_color(F.col("z"), -0.2, 0.2).alias("c"))
+    return c.select("ord", F.col("c.r").alias("red"), F.col("c.g").alias("green"), F.col("c.b").alias("blue"))
+
+
+# Bounded histories
+
+
+@query("SELECT recording_id, seq, stamp, n - rn + 1 AS rank FROM (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seq DESC) AS rn FROM scans) WHERE rn <= 25)")
+def buffer_latest_n(spark, sf_dir):
+    return buffers.latest_n(P.scans(spark, sf_dir), 25, 360).select("recording_id", "seq", "stamp", "rank")
+
+
+@query("SELECT recording_id, max(seq) AS seq, arg_max(stamp, seq) AS stamp FROM imu GROUP BY 1")
+def buffer_latest(spark, sf_dir):
+    return buffers.latest(P.imu(spark, sf_dir)).select("recording_id", "seq", "stamp")
+
+
+@query("SELECT recording_id, count(*) AS received, least(count(*), 360) AS held, greatest(count(*) - 360, 0) AS dropped FROM scans GROUP BY 1")
+def buffer_counters(spark, sf_dir):
+    return buffers.counters(P.scans(spark, sf_dir), 360)
+
+
+@query("SELECT recording_id, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) AS scans_received, count(*) FILTER (event_type IN ('signup', 'error')) AS imu_received, greatest(scans_received - 360, 0) AS scans_dropped, greatest(imu_received - 500, 0) AS imu_dropped, least(scans_received, 360) AS scans_held, least(imu_received, 500) AS imu_held, 0::BIGINT AS unparsed FROM ev GROUP BY 1")
+def stream_stats(spark, sf_dir):
+    return buffers.stream_stats(codec.decode(P.datagrams(spark, sf_dir)))
+
+
+_WINDOW = "win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY stamp DESC, seq DESC) AS rn FROM live) WHERE rn <= 100)"
+
+
+@query(f", {_WINDOW} SELECT recording_id, seq, stamp FROM win")
+def rolling_window_scans(spark, sf_dir):
+    return rolling.window_scans(framing.ingest(aligned(spark, sf_dir))).select("recording_id", "seq", "stamp")
+
+
+@query(f", {_WINDOW} SELECT i.recording_id, {_r6('avg(x)')} AS mean_x, {_r6('avg(y)')} AS mean_y, {_r6('avg(z)')} AS mean_z, {_r6('min(sqrt(x * x + y * y + z * z))')} AS nearest, {_r6('avg(sqrt(x * x + y * y))')} AS radius_mean, {_r6('stddev_pop(sqrt(x * x + y * y))')} AS radius_std, count(*) AS n_points FROM ing i JOIN win w ON w.seq = i.seq GROUP BY 1")
+def rolling_centroid_nearest(spark, sf_dir):
+    out = rolling.centroid_and_nearest(rolling.points(rolling.window_scans(framing.ingest(aligned(spark, sf_dir)))))
+    return rounded(out, "mean_x", "mean_y", "mean_z", "nearest", "radius_mean", "radius_std")
+
+
+# Alignment
+
+
+@query(f"SELECT recording_id, seq, imu_seq, {_r6('gap')} AS gap, state FROM met")
+def asof_nearest_tol(spark, sf_dir):
+    return aligned(spark, sf_dir).select("recording_id", "seq", "imu_seq", r6("gap").alias("gap"), "state")
+
+
+@query("SELECT recording_id, count(*) FILTER (state = 'matched') AS scans_matched, count(*) FILTER (state = 'pending') AS scans_pending, count(*) FILTER (state = 'unmatched') AS scans_unmatched FROM met GROUP BY 1")
+def asof_unmatched_counts(spark, sf_dir):
+    return align.alignment_counts(aligned(spark, sf_dir))
+
+
+@query("SELECT recording_id, seq, stamp FROM met WHERE state = 'pending'")
+def asof_pending_tail(spark, sf_dir):
+    return aligned(spark, sf_dir).where("state = 'pending'").select("recording_id", "seq", "stamp")
+
+
+# Frames
+
+
+@query(f"SELECT i.recording_id, f.frame_id, i.seq, {_r6('i.x')} AS x, {_r6('i.y')} AS y, i.z, {_r6('CASE WHEN g.t_end - g.t_start > 1e-9::DOUBLE THEN (i.t - g.t_start) / (g.t_end - g.t_start) ELSE 1.0::DOUBLE END')} AS t_norm FROM ing i JOIN framed f ON f.seq = i.seq JOIN frames g ON g.recording_id = f.recording_id AND g.frame_id = f.frame_id")
+def frame_t_norm(spark, sf_dir):
+    framed = framing.greedy_frames(framing.ingest(aligned(spark, sf_dir)), DURATION)
+    built = framing.build(framed, FEWEST)
+    order = framed.groupBy("recording_id", "frame_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("stamp", "seq", F.size("pts").alias("n")))), lambda s: F.array_repeat(s["seq"], s["n"]))).alias("seqs"))
+    flat = built.join(order, ["recording_id", "frame_id"]).select("recording_id", "frame_id", F.explode(F.arrays_zip("seqs", "points")).alias("p"))
+    return flat.select("recording_id", "frame_id", F.col("p.seqs").alias("seq"), r6("p.points.x").alias("x"), r6("p.points.y").alias("y"), F.col("p.points.z").alias("z"), r6("p.points.t_norm").alias("t_norm"))
+
+
+@query(f"SELECT recording_id, frame_id, n_points FROM frames WHERE n_points >= {FEWEST}")
+def frame_sparse_drop(spark, sf_dir):
+    return assembled(spark, sf_dir).where("NOT sparse").select("recording_id", "frame_id", "n_points")
+
+
+@query(f"SELECT recording_id, count(*) FILTER (n_points >= {FEWEST}) AS frames_emitted, count(*) FILTER (n_points < {FEWEST}) AS frames_too_sparse, sum(n_scans)::BIGINT AS scans_ingested, sum(n_points)::BIGINT AS points_ingested FROM frames GROUP BY 1")
+def frame_stats(spark, sf_dir):
+    return framing.frame_stats(assembled(spark, sf_dir))
+
+
+BATCH = 43200.0
+
+
+@query(f"""
+, later AS MATERIALIZED (SELECT a.recording_id, a.seq, a.stamp, b.seq AS nseq, b.stamp AS nstamp FROM (SELECT *, stamp + {BATCH}::DOUBLE AS reach FROM ev) a ASOF LEFT JOIN ev b ON a.recording_id = b.recording_id AND a.reach <= b.stamp),
+opened AS (
+  SELECT recording_id, min(stamp) AS at, 0::BIGINT AS batch_id FROM ev GROUP BY 1
+  UNION ALL SELECT o.recording_id, l.nstamp, o.batch_id + 1 FROM opened o JOIN later l ON l.recording_id = o.recording_id AND l.stamp = o.at WHERE l.nstamp IS NOT NULL
+), numbered AS (
+  SELECT e.*, coalesce(o.batch_id, 0) AS batch_id FROM ev e ASOF LEFT JOIN opened o ON e.recording_id = o.recording_id AND e.stamp > o.at
+), counted AS (
+  SELECT recording_id, batch_id, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) AS n_scans, count(*) FILTER (event_type IN ('signup', 'error')) AS n_imu, min(seq) AS first_seq, max(seq) AS last_seq FROM numbered GROUP BY 1, 2
+), tails AS (
+  SELECT o.recording_id, o.batch_id, coalesce(c.n_scans, 0) AS n_scans, coalesce(c.n_imu, 0) AS n_imu, c.first_seq, c.last_seq, (SELECT max(seq) FROM ev e WHERE e.recording_id = o.recording_id) AS newest
+  FROM opened o LEFT JOIN counted c ON c.recording_id = o.recording_id AND c.batch_id = o.batch_id
+)
+SELECT recording_id, batch_id, n_scans, least(500, sum(n_imu) OVER (PARTITION BY recording_id ORDER BY batch_id))::BIGINT AS imu_window, first_seq, coalesce(last_seq, newest) AS last_seq FROM tails
+""")
+def micro_batches(spark, sf_dir):
+    return fold.micro_batches(P.datagrams(spark, sf_dir), BATCH)
+
+
+@query()
+def replay_frames(spark, sf_dir):
+    f = fold.replay_frames(P.datagrams(spark, sf_dir), Config(frame_duration=DURATION), BATCH, 500, **LOOSE)
+    return f.select("recording_id", "frame_id", "t_start", "t_end", "n_scans", "n_points")
+
+
+@query()
+def replay_counters(spark, sf_dir):
+    return fold.replay_counts(P.datagrams(spark, sf_dir), Config(frame_duration=DURATION), BATCH, 500, **LOOSE)
+
+
+@query()
+def odometry_poses(spark, sf_dir):
+    p = odometry.replay(P.datagrams(spark, sf_dir), COARSE, BATCH, assembling=LOOSE)
+    return p.select("recording_id", "frame_id", "stamp", "x", "y", "z", "threshold", "size")
+
+
+@query()
+def odometry_sweep(spark, sf_dir):
+    both = {"deskew": COARSE, "raw": COARSE.with_(deskew=False)}
+    return odometry.sweep(P.datagrams(spark, sf_dir), both, BATCH, LOOSE).groupBy("recording_id", "config").agg(F.count("*").alias("frames"))
+
+
+@query()
+def odometry_map(spark, sf_dir):
+    m = odometry.accumulate_map(P.datagrams(spark, sf_dir), 10.0, config=COARSE, period=BATCH, assembling=LOOSE)
+    return m.groupBy("recording_id").agg(F.count("*").alias("n_points"))
+
+
+# Trajectories
+
+
+def _path(spark, sf_dir) -> DataFrame:
+    return trajectory.path_metrics(P.poses(spark, sf_dir))
+
+
+@query(f"SELECT recording_id, frames, {_r6('path_length')} AS path_length FROM path")
+def path_length(spark, sf_dir):
+    return _path(spark, sf_dir).select("recording_id", "frames", r6("path_length").alias("path_length"))
+
+
+@query(f"SELECT recording_id, {_r6('net_displacement')} AS net_displacement FROM path")
+def net_displacement(spark, sf_dir):
+    return _path(spark, sf_dir).select("recording_id", r6("net_displacement").alias("net_displacement"))
+
+
+@query(f"SELECT recording_id, frame_id, {_r6('step')} AS step, round(step / 0.2::DOUBLE, 5) + 0.0::DOUBLE AS speed FROM steps")
+def step_speed(spark, sf_dir):
+    return trajectory.steps(P.poses(spark, sf_dir)).select("recording_id", "frame_id", r6("step").alias("step"), (F.round("speed", 5) + F.lit(0.0)).alias("speed"))
+
+
+@query("SELECT recording_id, round(jitter_mm, 4) + 0.0::DOUBLE AS jitter_mm FROM path")
+def jitter(spark, sf_dir):
+    return _path(spark, sf_dir).select("recording_id", (F.round("jitter_mm", 4) + F.lit(0.0)).alias("jitter_mm"))
+
+
+@query(f"SELECT recording_id, {_r6('100 * net_displacement / greatest(path_length, 1e-9::DOUBLE)')} AS loop_pct FROM path")
+def loop_pct(spark, sf_dir):
+    return _path(spark, sf_dir).select("recording_id", r6("loop_pct").alias("loop_pct"))
+
+
+@query(f"""
+, v AS (SELECT recording_id, step / 0.2::DOUBLE > {STILL}::DOUBLE AS moving, row_number() OVER (PARTITION BY recording_id ORDER BY frame_id) - 1 AS i, count(*) OVER (PARTITION BY recording_id) AS n FROM steps WHERE step IS NOT NULL),
+c AS (SELECT recording_id, min(i) FILTER (moving) AS head, any_value(n) - 1 - max(i) FILTER (moving) AS tail FROM v GROUP BY 1)
+SELECT recording_id, coalesce(head, 0) AS head, coalesce(tail, 0) AS tail, coalesce(head = 0, false) AS start_clipped, coalesce(tail = 0, false) AS end_clipped FROM c
+""")
+def clipping(spark, sf_dir):
+    return trajectory.clipping(P.poses(spark, sf_dir), still=STILL)
+
+
+@query(f"SELECT p.recording_id, m.kind, {_r6('CASE WHEN truth_m <> 0 THEN 100 * (net_displacement - truth_m) / truth_m END')} AS scale_error_pct FROM path p JOIN meta m ON m.recording_id = p.recording_id WHERE m.kind = 'line'")
+def scale_error(spark, sf_dir):
+    v = trajectory.verdicts(P.poses(spark, sf_dir), P.meta(spark, sf_dir))
+    return v.where("kind = 'line'").select("recording_id", "kind", r6("scale_error_pct").alias("scale_error_pct"))
+
+
+_LOOP, _DRIFT = _r6("CASE WHEN kind = 'loop' THEN 100 * net_displacement / greatest(path_length, 1e-9::DOUBLE) END"), _r6("CASE WHEN kind = 'stationary' THEN 1000 * net_displacement END")
+
+
+@query(f"SELECT p.recording_id, {_LOOP} AS loop_error_pct, {_DRIFT} AS drift_mm FROM path p LEFT JOIN meta m ON m.recording_id = p.recording_id")
+def run_verdicts(spark, sf_dir):
+    v = trajectory.verdicts(P.poses(spark, sf_dir), P.meta(spark, sf_dir))
+    return v.select("recording_id", r6("loop_error_pct").alias("loop_error_pct"), r6("drift_mm").alias("drift_mm"))
+
+
+@query("""
+, v AS (SELECT recording_id, frame_id, step / 0.2::DOUBLE AS speed FROM steps WHERE step IS NOT NULL),
+t AS (SELECT *, max(speed) OVER (PARTITION BY recording_id) AS top FROM v)
+SELECT recording_id, string_agg(substr(' .:!#', least(4, floor(5 * speed / greatest(top, 1e-9::DOUBLE)))::INTEGER + 1, 1), '' ORDER BY frame_id) AS profile FROM t GROUP BY 1
+""")
+def speed_sparkline(spark, sf_dir):
+    return trajectory.sparkline(P.poses(spark, sf_dir))
+
+
+@query(f"SELECT recording_id, frame_id, {_r6('avg(value) OVER (PARTITION BY recording_id ORDER BY frame_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)')} AS reg_ms_10, value / 100.0::DOUBLE > 0.6::DOUBLE AS behind FROM poses")
+def last10_avg(spark, sf_dir):
+    p = P.poses(spark, sf_dir).select("recording_id", "frame_id", F.col("span").alias("newest_stamp"), F.lit(0.0).alias("t_end"), F.col("threshold").alias("reg_ms"))
+    return trajectory.live_lag(p).select("recording_id", "frame_id", r6("reg_ms_10").alias("reg_ms_10"), "behind")
+
+
+@query(f"SELECT recording_id, {_r6('avg(size)')} AS size_mean, min(size) AS size_min, max(size) AS size_max, {_r6('avg(span)')} AS span_mean, {_r6('stddev_pop(span)')} AS span_std, {_r6('min(z)')} AS z_min, {_r6('max(z)')} AS z_max, arg_min(threshold, frame_id) AS threshold_first, arg_max(threshold, frame_id) AS threshold_last, min(threshold) AS threshold_min, max(threshold) AS threshold_max FROM poses GROUP BY 1")
+def pose_details(spark, sf_dir):
+    return rounded(trajectory.details(P.poses(spark, sf_dir)).drop("rotation_p95"), "size_mean", "span_mean", "span_std", "z_min", "z_max")
+
+
+@query(f"SELECT recording_id, {_r6('1000 * sum(seconds) / count(*)')} AS ms_per_frame, {_r6('1000 * sum(seconds) / count(*) / 2')} AS budget_pct FROM poses GROUP BY 1")
+def frame_cost(spark, sf_dir):
+    return rounded(trajectory.cost(P.poses(spark, sf_dir)), "ms_per_frame", "budget_pct")
+
+
+# Maps
+
+VOXEL = 0.05
+_VOXELS = f"floor(x / {VOXEL}::DOUBLE), floor(y / {VOXEL}::DOUBLE), floor(z / {VOXEL}::DOUBLE)"
+
+
+@query(f"SELECT recording_id, ord, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, {_VOXELS} ORDER BY ord) AS rn FROM cloud) WHERE rn = 1")
+def voxel_downsample(spark, sf_dir):
+    return mapping.voxel_downsample(P.cloud(spark, sf_dir), VOXEL, ["recording_id"])
+
+
+@query(f"""
+, k AS (SELECT *, floor(x / {VOXEL}::DOUBLE) AS kx, floor(y / {VOXEL}::DOUBLE) AS ky, floor(z / {VOXEL}::DOUBLE) AS kz FROM cloud),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, kx, ky, kz ORDER BY ord) AS rn FROM k WHERE ord % 2 = 1) WHERE rn = 1)
+SELECT recording_id, ord, x, y, z FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.ord % 2 = 0 AND k.recording_id = f.recording_id AND k.kx = f.kx AND k.ky = f.ky AND k.kz = f.kz)
+""")
+def voxel_incremental(spark, sf_dir):
+    c = P.cloud(spark, sf_dir)
+    return mapping.voxel_new(c.where("ord % 2 = 0"), c.where("ord % 2 = 1"), VOXEL, ["recording_id"])
+
+
+@query("SELECT recording_id, count(*) AS n_points, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max FROM cloud GROUP BY 1")
+def map_extent(spark, sf_dir):
+    return mapping.extent(P.cloud(spark, sf_dir), ["recording_id"])
+
+
+@query(f"SELECT recording_id, {_r6('quantile_cont(z, 0.02)')} AS z_lo, {_r6('quantile_cont(z, 0.98)')} AS z_hi FROM cloud GROUP BY 1")
+def z_percentiles(spark, sf_dir):
+    return rounded(mapping.z_limits(P.cloud(spark, sf_dir), ["recording_id"]), "z_lo", "z_hi")
+
+
+@query("SELECT recording_id, count(*) FILTER (abs(0.6::DOUBLE * x + 0.8::DOUBLE * z + 0.01::DOUBLE) <= 0.05::DOUBLE) AS n_inliers, count(*) AS n_points FROM cloud GROUP BY 1")
+def plane_inlier_count(spark, sf_dir):
+    return mapping.plane_inliers(P.cloud(spark, sf_dir), (0.6, 0.0, 0.8), 0.01, 0.05, ["recording_id"])
+
+
+@query("SELECT recording_id, box, count(*) AS n FROM (SELECT *, unnest(list_filter([CASE WHEN z BETWEEN 0 AND 1 THEN 'upper' END, CASE WHEN x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 THEN 'corner' END], lambda b: b IS NOT NULL)) AS box FROM cloud) GROUP BY 1, 2")
+def box_counts(spark, sf_dir):
+    boxes = {"upper": ((-9, -9, 0), (9, 9, 1)), "corner": ((0, 0, -9), (1, 1, 9))}
+    return mapping.in_boxes(P.cloud(spark, sf_dir), boxes).groupBy("recording_id", "box").agg(F.count("*").alias("n"))
+
+
+@query()
+def fit_plane_ransac(spark, sf_dir):
+    planes = mapping.fit_plane(P.cloud(spark, sf_dir), 0.05, keys=["recording_id"])
+    return mapping.plane_report(planes, order="recording_id")
+
+
+# Health
+
+
+@query(f"""
+, s AS (SELECT recording_id, seq, stamp, count(*) AS n, count(*) FILTER (x <> 0 OR y <> 0 OR z <> 0) AS kept, max(time) - min(time) AS spread FROM pts GROUP BY 1, 2, 3),
+g AS (SELECT recording_id, stamp - lag(stamp) OVER (PARTITION BY recording_id ORDER BY stamp, seq) AS gap FROM s),
+i AS (SELECT recording_id, count(*) AS imu_samples, 1 / median(gap) AS imu_hz FROM (SELECT recording_id, stamp - lag(stamp) OVER (PARTITION BY recording_id ORDER BY stamp, seq) AS gap FROM imu) GROUP BY 1)
+SELECT s.recording_id, count(*) AS packets, {_r6('max(stamp) - min(stamp)')} AS duration, sum(kept)::BIGINT AS points_kept, sum(n)::BIGINT AS points_reported, {_r6('avg(n)')} AS per_packet_mean,
+       round(max(spread), 5) AS time_spread, {_r6('any_value(p99)')} AS gap_p99, any_value(imu_samples) AS imu_samples, round(any_value(imu_hz), 9) AS imu_hz, (SELECT string_agg(DISTINCT ring::VARCHAR, ',' ORDER BY ring::VARCHAR) FROM pts p WHERE p.recording_id = s.recording_id) AS rings
+FROM s JOIN (SELECT recording_id, quantile_cont(gap, 0.99) AS p99 FROM g GROUP BY 1) q ON q.recording_id = s.recording_id LEFT JOIN i ON i.recording_id = s.recording_id GROUP BY 1
+""")
+def stream_health(spark, sf_dir):
+    h = health.stream_health(P.scans(spark, sf_dir), P.imu(spark, sf_dir))
+    h = rounded(h, "duration", "per_packet_mean", "gap_p99").withColumns({"time_spread": F.round("time_spread", 5), "imu_hz": F.round("imu_hz", 9), "rings": F.array_join(F.transform("rings", lambda r: r.cast("string")), ",")})
+    return h.select("recording_id", "packets", "duration", "points_kept", "points_reported", "per_packet_mean", "time_spread", "gap_p99", "imu_samples", "imu_hz", "rings")
+
+
+_EDGES = health.histogram_edges()
+_BINS = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {i == len(_EDGES) - 2})" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:])))
+_CLOUD_R = "c AS (SELECT recording_id, sqrt(x * x + y * y + z * z) AS r FROM cloud)"
+
+
+def _near(spark, sf_dir) -> DataFrame:
+    return P.cloud(spark, sf_dir).withColumn("r", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
+
+
+@query(f", {_CLOUD_R}, b(lo, hi, closed) AS (VALUES {_BINS}) SELECT recording_id, lo AS bin_lo, hi AS bin_hi, count(*) AS n FROM c JOIN b ON r >= lo AND (r < hi OR closed AND r = hi) GROUP BY 1, 2, 3")
+def range_histogram(spark, sf_dir):
+    return health.range_histogram(_near(spark, sf_dir))
+
+
+@query(f", {_CLOUD_R} SELECT recording_id, " + ", ".join(f"{_r6(f'100 * avg(CASE WHEN r < {c!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS below_{round(100 * c):03d}cm_pct" for c in health.CUTOFFS) + f", {_r6('100 * avg(CASE WHEN r < 0.25::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS below_min_range_pct, {_r6('min(r)')} AS nearest FROM c GROUP BY 1")
+def min_range_sweep(spark, sf_dir):
+    m = health.min_range_sweep(_near(spark, sf_dir))
+    return rounded(m, *[c for c in m.columns if c != "recording_id"])
+
+
+_CELLS = "cells AS (SELECT * FROM (SELECT recording_id, ring, floor((degrees(atan2(y, x)) + 180.0::DOUBLE) / 2.0::DOUBLE)::BIGINT AS az_bin, count(*) AS n, avg(r) AS mean_r, stddev_pop(r) AS std_r FROM ret WHERE r < 6.0::DOUBLE GROUP BY 1, 2, 3) WHERE n >= 25)"
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    return health.self_hit_cells(P.returns(spark, sf_dir), static_std=0.8)
+
+
+@query(f", {_CELLS} SELECT recording_id, ring, az_bin, n, {_r6('mean_r')} AS mean_r, {_r6('std_r')} AS std_r, std_r < 0.8::DOUBLE AS static FROM cells")
+def self_hit_cells(spark, sf_dir):
+    return rounded(_cells(spark, sf_dir), "mean_r", "std_r")
+
+
+@query(f", {_CELLS} SELECT recording_id, floor(mean_r / 0.1::DOUBLE)::INTEGER AS band, count(*) AS n_cells, {_r6('avg(CASE WHEN std_r < 0.8::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS static_share FROM cells WHERE mean_r >= 0 AND mean_r < 3.0::DOUBLE GROUP BY 1, 2")
+def self_hit_bands(spark, sf_dir):
+    return rounded(health.self_hit_bands(_cells(spark, sf_dir)).drop("band_lo"), "static_share")
+
+
+_YAW = """
+y AS (SELECT *, atan2(2 * cos(radians(value) / 2) * sin(radians(value) / 2), 1 - 2 * sin(radians(value) / 2) * sin(radians(value) / 2)) AS yaw FROM imu),
+d AS (SELECT *, yaw - lag(yaw) OVER (PARTITION BY recording_id ORDER BY seq) AS delta FROM y),
+u AS (SELECT recording_id, seq, stamp, degrees(sum(coalesce(delta - 2 * pi() * ceil((delta - pi()) / (2 * pi())), yaw)) OVER (PARTITION BY recording_id ORDER BY seq)) AS yaw_deg FROM d),
+k AS (SELECT recording_id, max(yaw_deg) - min(yaw_deg) AS sweep, arg_max(yaw_deg, seq) - arg_min(yaw_deg, seq) AS net FROM u GROUP BY 1)
+"""
+
+
+@query(f", {_YAW} SELECT recording_id, seq, round(yaw_deg, 5) + 0.0::DOUBLE AS yaw_deg FROM u")
+def yaw_unwrap(spark, sf_dir):
+    return health.yaw_unwrap(P.imu(spark, sf_dir)).select("recording_id", "seq", (F.round("yaw_deg", 5) + F.lit(0.0)).alias("yaw_deg"))
+
+
+@query(f", {_YAW} SELECT recording_id, round(sweep, 4) AS yaw_sweep_deg, CASE WHEN sweep >= 45 THEN 'pivot' WHEN sweep <= 5 THEN 'stationary' ELSE 'ambiguous' END AS measured_kind FROM k")
+def recording_kind(spark, sf_dir):
+    k = health.recording_kind(health.yaw_summary(P.imu(spark, sf_dir)))
+    return k.select("recording_id", F.round("yaw_sweep_deg", 4).alias("yaw_sweep_deg"), "measured_kind")
+
+
+WIDTH = 11
+
+
+@query(f"SELECT recording_id, seq, {_r6('value - m')} AS value_hp FROM (SELECT *, avg(value) OVER (PARTITION BY recording_id ORDER BY stamp, seq ROWS BETWEEN {WIDTH // 2} PRECEDING AND {WIDTH // 2} FOLLOWING) AS m, row_number() OVER (PARTITION BY recording_id ORDER BY stamp, seq) AS i, count(*) OVER (PARTITION BY recording_id) AS n FROM imu) WHERE i > {WIDTH} AND i <= n - {WIDTH}")
+def highpass(spark, sf_dir):
+    s = P.imu(spark, sf_dir).select("recording_id", "seq", "stamp", F.col("gyro.x").alias("value"))
+    return health.highpass(s, WIDTH, ["value"]).select("recording_id", "seq", r6("value_hp").alias("value_hp"))
+
+
+@query()
+def spectrum_peaks(spark, sf_dir):
+    fast = P.imu(spark, sf_dir).withColumn("stamp", F.col("stamp") / 100000.0)
+    v = health.vibration(health.spectra(fast))
+    return v.select("recording_id", "gyro_hz", "gyro_amplitude", "wobble_rad", "cycles_per_frame", F.size("peaks").alias("n_peaks"))
+
+
+# Results
+
+
+@query("""
+SELECT 'u' || c_custkey::VARCHAR AS recording_id, c_nationkey::VARCHAR AS nation, NULL::VARCHAR AS segment FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'u' || c_custkey::VARCHAR, NULL, c_mktsegment FROM customer WHERE c_custkey % 2 = 1
+""")
+def results_widen(spark, sf_dir):
+    c = P.table(spark, sf_dir, "customer").withColumn("recording_id", F.concat(F.lit("u"), F.col("c_custkey").cast("string")))
+    log = results.widen(None, c.where("c_custkey % 2 = 0").select("recording_id", F.col("c_nationkey").alias("nation")))
+    return results.widen(log, c.where("c_custkey % 2 = 1").select("recording_id", F.col("c_mktsegment").alias("segment")))
+
+
+@query("""
+SELECT p.recording_id AS recording, m.kind, m.environment, m.speed_mps, m.truth_m, m.truth_method, p.frames, round_even(d.size, 1) AS points_per_frame, round_even(p.path_length, 4) AS path_length_m, round_even(p.net_displacement, 4) AS net_displacement_m,
+       round_even(p.jitter_mm, 2) AS jitter_mm, round_even(d.zspan, 4) AS z_span_m, m.truth_m AS truth_used_m, round_even(CASE WHEN m.truth_m <> 0 THEN 100 * (p.net_displacement - m.truth_m) / m.truth_m END, 3) AS scale_error_pct, 'x' AS tag
+FROM path p LEFT JOIN meta m ON m.recording_id = p.recording_id JOIN (SELECT recording_id, avg(size) AS size, max(z) - min(z) AS zspan FROM poses GROUP BY 1) d ON d.recording_id = p.recording_id
+""")
+def run_row(spark, sf_dir):
+    row = results.run_row(P.poses(spark, sf_dir), P.meta(spark, sf_dir), tag="x")
+    return row.select("recording", "kind", "environment", "speed_mps", "truth_m", "truth_method", "frames", "points_per_frame", "path_length_m", "net_displacement_m", "jitter_mm", "z_span_m", "truth_used_m", "scale_error_pct", "tag")
+
+
+@query("SELECT DISTINCT p.recording_id, m.kind, m.environment FROM (SELECT DISTINCT recording_id FROM poses) p LEFT JOIN meta m ON m.recording_id = p.recording_id")
+def meta_lookup(spark, sf_dir):
+    return results.meta_lookup(P.poses(spark, sf_dir).select("recording_id").distinct(), P.meta(spark, sf_dir)).select("recording_id", "kind", "environment")
+
+
+@query("SELECT recording_id, concat_ws('  ', kind, environment, speed_mps::VARCHAR || ' m/s', CASE WHEN truth_m IS NOT NULL THEN 'truth ' || truth_m::VARCHAR || ' m (' || truth_method || ')' ELSE 'NO TRUTH RECORDED' END) AS summary FROM meta")
+def meta_summary(spark, sf_dir):
+    return results.meta_summary(P.meta(spark, sf_dir)).select("recording_id", "summary")
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").limit(10)
+@query("SELECT recording_id, environment AS \"cfg.environment\", kind AS \"cfg.kind\", speed_mps AS \"cfg.deep.speed\", '[1, 2]' AS \"cfg.deep.list\" FROM meta")
+def flatten_config(spark, sf_dir):
+    nested = P.meta(spark, sf_dir).select("recording_id", F.struct("environment", "kind", F.struct(F.col("speed_mps").alias("speed"), F.array(F.lit(1), F.lit(2)).alias("list")).alias("deep")).alias("cfg"))
+    return results.flatten(nested)
