@@ -79,7 +79,8 @@ def yaw(q: Column) -> Column:
 
 def rotation_deg(trace: Column) -> Column:
     """Angle of a rotation matrix from its trace."""
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))))
+    cos = (trace - 1) / 2
+    return F.when(cos.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
 
 
 def in_box(x: Column, y: Column, z: Column, lo: tuple, hi: tuple) -> Column:
@@ -102,7 +103,7 @@ def plane_distance(p: Column, normal: Column, offset: Column) -> Column:
 def plane_angle_deg(a: Column, b: Column) -> Column:
     """Angle between two planes by their normals, in 0..90."""
     cos = F.abs(dot(a, b) / (norm(a) * norm(b)))
-    return F.degrees(F.acos(F.least(F.lit(1.0), cos)))
+    return F.when(cos.isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), cos))))
 
 
 def height_color(z: Column, lo: float, hi: float) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitflow.config import MAX_TIME_GAP
+from orbitflow.config import MAX_TIME_GAP, Config
 
 #: Tolerances in a bucket's width; at least 4, so that a sample is in two buckets at most.
 WIDTH = 256
@@ -67,7 +67,7 @@ def known_gap(gap: Column, tolerance: float) -> Column:
     return F.coalesce(gap <= tolerance, F.lit(False))
 
 
-def align(scans: DataFrame, imu: DataFrame, tolerance: float = MAX_TIME_GAP, rotate_with_imu: bool = True) -> DataFrame:
+def align(scans: DataFrame, imu: DataFrame, tolerance: float = MAX_TIME_GAP, rotate_with_imu: bool = Config.rotate_with_imu) -> DataFrame:
     """``scans`` with q, imu_seq, gap and ``state``: matched, pending (newer than the recording's every sample) or unmatched.
 
     Without rotation the inertial stream is not read at all and every scan is matched with the identity.
