@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +36,8 @@ FRESH, IN_L, IN_N, IN_O, AFTER_LEAD, IN_RUN, NEED1, NEED2 = range(8)
 STATES = 8
 #: Slices up to this many bytes merge by rescanning, longer ones with a heap.
 SHORT = 48
+#: Rank of a pair that does not merge.
+NEVER = 1 << 60
 CACHE = 200_000
 
 
@@ -149,14 +152,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     if len(piece) <= SHORT:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-            if (best := min(pairs)) == 1 << 60:
-                break
+        # Only the two pairs beside a merge change, so their ranks are kept from step to step.
+        get = ranks.get
+        cuts = list(range(len(piece) + 1))
+        pairs = [get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+        while pairs and (best := min(pairs)) != NEVER:
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [ranks[p] for p in parts]
+            del cuts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(piece[cuts[i] : cuts[i + 2]], NEVER)
+            if i:
+                pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], NEVER)
+        return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
     end = list(range(1, len(piece) + 1))  # by the start of a part: its end; 0 once it is gone
     prev = list(range(-1, len(piece) - 1))
 
@@ -192,11 +199,12 @@ class Coder(dict):
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.token[r] = t
+        self.packed = [struct.pack("<I", i) for i in range(len(self.token))]
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        packed = np.array(merge(piece, self.ranks), "<u4").tobytes()
+        packed = b"".join(map(self.packed.__getitem__, merge(piece, self.ranks)))
         if len(piece) <= SHORT:
             self[piece] = packed
         return packed
