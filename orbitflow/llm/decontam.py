@@ -3,7 +3,7 @@
 The index holds, for each term, its items with BM25 weights divided by the item's own full score, so that a passage scores 1 for an item
 if it has all its terms. Postings lie in blocks of ``BLOCK`` items with the block's largest weight. Every training text is cut
 into segments as long as the shard's longest item (``STRIDE`` words at least); a passage is two neighbouring segments, so that each
-stretch as long as an item lies wholly in one. Bounds from block maxima are summed for all segments of a batch at once, and
+stretch as long as an item lies wholly in one. Bounds from block maxima are summed for all passages of a batch at once, and
 only blocks whose bound reaches ``SCORE`` are opened and scored exactly: nothing at or above the threshold is lost.
 A hit is verified on word 5-grams: ``OVERLAP`` of the whole item and half of its question and of its answer (the last sentence) must stand in
 the passage.
@@ -33,6 +33,8 @@ SCORE = 0.5
 GRAM, OVERLAP, PART = 5, 0.8, 0.5
 STRIDE, BLOCK = 64, 16
 SHARD = 8_000_000
+#: Bounds of passages and blocks that are held at once.
+BOUNDS = 4_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -77,8 +79,6 @@ class Index:
                 postings[self.vocabulary[t]].append((k, x / full))
             self.parts.append(tuple(grams([self.vocabulary[x] for x in part]) for part in (words(text), *question_and_answer(text))))
         order = [postings[t] for t in range(len(self.vocabulary))]
-        self.items_of = [np.array([k for k, _ in p], np.int64) for p in order]
-        self.weights_of = [np.array([x for _, x in p]) for p in order]
         tops = []
         for p in order:
             top: dict[int, float] = defaultdict(float)
@@ -89,51 +89,70 @@ class Index:
         self.at = np.cumsum([0, *(len(x) for x in tops)])
         self.block_of = np.array([b for x in tops for b, _ in x], np.int64)
         self.top_of = np.array([x for y in tops for _, x in y])
+        # Postings of an entry (a term's block) lie together, in the order of entries.
+        self.item_at = np.array([k for p in order for k, _ in p], np.int64)
+        self.weight_at = np.array([x for p in order for _, x in p])
+        inside = [np.unique([k // BLOCK for k, _ in p], return_counts=True)[1] for p in order]
+        self.postings = np.cumsum(np.concatenate([[0], *inside])).astype(np.int64)
 
     def hits(self, texts: list[str]) -> list[tuple]:
         """(text, item, score, overlap, question overlap, answer overlap, first word of the passage)."""
         if not self.items:
             return []
         get = self.vocabulary.get
-        ids = [[get(w, -1) for w in words(t)] for t in texts]
-        segments = [max(1, -(-len(x) // self.stride)) for x in ids]
-        first = np.cumsum([0, *segments])
-        flat = np.concatenate([np.array(x, np.int64) for x in ids]) if ids else np.zeros(0, np.int64)
-        inside = np.concatenate([np.arange(len(x)) // self.stride for x in ids]) if ids else flat
-        segment = np.repeat(first[:-1], [len(x) for x in ids]) + inside
+        ids = [np.array([get(w, -1) for w in words(t)], np.int64) for t in texts]
+        segments = np.array([max(1, -(-len(x) // self.stride)) for x in ids])
+        first = np.cumsum(np.r_[0, segments])
+        terms, total = len(self.vocabulary), int(first[-1])
+        flat = np.concatenate(ids)
+        segment = np.repeat(first[:-1], [len(x) for x in ids]) + np.concatenate([np.arange(len(x)) // self.stride for x in ids])
         known = flat >= 0
-        pairs = np.unique(segment[known] * len(self.vocabulary) + flat[known])
-        segment, term = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
-        n = self.at[term + 1] - self.at[term]
-        place = np.repeat(self.at[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        bound = np.bincount(np.repeat(segment, n) * self.blocks + self.block_of[place], self.top_of[place], int(first[-1]) * self.blocks)
-        bound = bound.reshape(-1, self.blocks)
+        own = np.unique(segment[known] * terms + flat[known])
+        opens = np.zeros(total, bool)  # a text's first segment is nobody's second
+        opens[first[:-1]] = True
+        second = own[~opens[own // terms]] - terms
+        pairs = np.union1d(own, second)  # the distinct terms of each passage
+        passage, term = pairs // terms, pairs % terms
         best: dict[tuple, tuple] = {}
-        last = np.zeros(int(first[-1]), bool)
-        last[first[1:] - 1] = True
-        both = bound + np.where(last[:, None], 0, np.roll(bound, -1, 0))
-        for s, b in zip(*(x.tolist() for x in np.nonzero(both >= SCORE - 1e-9))):
-            doc = int(np.searchsorted(first, s, "right")) - 1
-            lo = (s - int(first[doc])) * self.stride
-            passage = ids[doc][lo : lo + 2 * self.stride]
-            scores = np.zeros(BLOCK)
-            for t in set(passage) - {-1}:
-                own = self.items_of[t]
-                x, y = np.searchsorted(own, [b * BLOCK, (b + 1) * BLOCK])
-                scores[own[x:y] - b * BLOCK] += self.weights_of[t][x:y]
-            found = None
-            for k in np.flatnonzero(scores >= SCORE).tolist():
-                found = grams_of(passage, self.parts) if found is None else found
-                item = b * BLOCK + k
-                share = [len(p & found_k) / len(p) if p else 1.0 for p in self.parts[item] for found_k in [found[min(GRAM, len(next(iter(p))))] if p else set()]]
-                if share[0] >= OVERLAP and min(share[1:]) >= PART and best.get((doc, item), (0,))[0] < scores[k]:
-                    best[doc, item] = (float(scores[k]), *share, lo)
+        # Bounds are held for some passages at a time: BOUNDS numbers at most.
+        some = max(1, BOUNDS // self.blocks)
+        for lo in range(0, total, some):
+            x, y = np.searchsorted(passage, [lo, lo + some])
+            for s, item, score in self._scored(passage[x:y] - lo, term[x:y], min(some, total - lo)):
+                self._verify(s + lo, item, score, ids, first, best)
         return [(doc, self.items[item], *rest) for (doc, item), rest in sorted(best.items())]
 
-
-def grams_of(passage: list[int], parts: list) -> dict[int, set]:
-    """The passage's grams of each length that items' parts may have."""
-    return {k: {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)} for k in range(1, GRAM + 1)}
+    def _scored(self, passage: np.ndarray, term: np.ndarray, total: int) -> list[tuple[int, int, float]]:
+        """(passage, item, score) of all items at or above SCORE, passages in order; blocks whose bound is lower stay closed."""
+        row, entry = _spread(self.at[term], self.at[term + 1])
+        place = passage[row] * self.blocks + self.block_of[entry]
+        bound = np.bincount(place, self.top_of[entry], total * self.blocks)
+        opened = bound[place] >= SCORE - 1e-9
+        place, entry = place[opened], entry[opened]
+        row, posting = _spread(self.postings[entry], self.postings[entry + 1])
+        keys, which = np.unique((place[row] // self.blocks) * len(self.items) + self.item_at[posting], return_inverse=True)
+        scores = np.bincount(which, self.weight_at[posting], len(keys))
+        good = np.flatnonzero(scores >= SCORE - 1e-12)
+        return list(zip((keys[good] // len(self.items)).tolist(), (keys[good] % len(self.items)).tolist(), scores[good].tolist()))
+
+    def _verify(self, s: int, item: int, score: float, ids: list[np.ndarray], first: np.ndarray, best: dict) -> None:
+        doc = int(np.searchsorted(first, s, "right")) - 1
+        if best.get((doc, item), (0,))[0] >= score:
+            return
+        lo = (s - int(first[doc])) * self.stride
+        passage = ids[doc][lo : lo + 2 * self.stride].tolist()
+        share = []
+        for part in self.parts[item]:
+            share.append(len(part & set(zip(*(passage[j:] for j in range(len(next(iter(part)))))))) / len(part) if part else 1.0)
+            if share[-1] < (PART if len(share) > 1 else OVERLAP):
+                return
+        best[doc, item] = (score, *share, lo)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of every position from ``lo`` up to ``hi`` of each row."""
+    n = hi - lo
+    return np.repeat(np.arange(len(n)), n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def shards(items: DataFrame) -> list:
