@@ -87,18 +87,29 @@ def both_views(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return texts, metas
 
 
-class Logistic:
-    """Logistic regression with an L2 penalty by Newton steps; features are standardised."""
+#: Rows whose standardised features are in memory at once while fitting.
+AT_ONCE = 2000
+
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0):
-        self.mean, self.std = x.mean(0), x.std(0) + 1e-3
-        z = self._ready(x)
-        self.w = np.zeros(z.shape[1])
-        ridge = np.full(z.shape[1], penalty)
+class Logistic:
+    """Logistic regression with an L2 penalty by Newton steps over ``rows`` of ``x`` (all by default); features are standardised a few rows at a time."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, penalty: float = 1.0):
+        rows = np.arange(len(x)) if rows is None else rows
+        parts = [(rows[i : i + AT_ONCE], y[i : i + AT_ONCE]) for i in range(0, len(rows), AT_ONCE)]
+        self.mean = sum(x[r].sum(0, dtype=np.float64) for r, _ in parts) / len(rows)
+        self.std = np.sqrt(sum(((x[r] - self.mean) ** 2).sum(0) for r, _ in parts) / len(rows)) + 1e-3
+        n = x.shape[1] + 1
+        self.w, ridge = np.zeros(n), np.full(n, penalty)
         ridge[-1] = 1e-6
         for _ in range(12):
-            p = self._p(z @ self.w)
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * self.w)
+            slope, bend = -ridge * self.w, np.diag(ridge)
+            for r, goal in parts:
+                z = self._ready(x[r])
+                p = self._p(z @ self.w)
+                slope += z.T @ (goal - p)
+                bend += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
+            step = np.linalg.solve(bend, slope)
             self.w += step
             if np.abs(step).max() < 1e-4:
                 break
@@ -110,39 +121,42 @@ class Logistic:
     def _p(logit):
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self._ready(x) @ self.w, -30, 30)
+    def logit(self, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        rows = np.arange(len(x)) if rows is None else rows
+        return np.concatenate([np.clip(self._ready(x[rows[i : i + AT_ONCE]]) @ self.w, -30, 30) for i in range(0, len(rows), AT_ONCE)] or [np.zeros(0)])
 
-    def p(self, x: np.ndarray) -> np.ndarray:
-        return self._p(self.logit(x))
+    def p(self, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        return self._p(self.logit(x, rows))
 
 
 class CoTrained:
-    """The two views' classifiers, their calibrations and the combination; ``views`` is None if nothing could be learned."""
+    """The two views' classifiers, their calibrations and the combination; ``views`` is None if nothing could be learned.
+
+    ``x`` has both views' features of all rows, ``y`` the labels (NaN where there is none), ``held`` the rows that only calibrate.
+    """
 
-    def __init__(self, labelled: tuple, y: np.ndarray, held: np.ndarray, pool: tuple):
+    def __init__(self, x: tuple, y: np.ndarray, held: np.ndarray):
         self.views = None
-        if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
+        known = ~np.isnan(y)
+        train, calibrate, pool = np.flatnonzero(known & ~held), np.flatnonzero(known & held), np.flatnonzero(~known)
+        if len(set(y[train])) < 2 or len(set(y[calibrate])) < 2:
             return
         extra = [(np.zeros(0, np.int64), np.zeros(0))] * 2
         for r in range(ROUNDS + 1):
-            views = []
-            for v in range(2):
-                at, own = extra[v]
-                views.append(Logistic(np.vstack([labelled[v][~held], pool[v][at]]), np.concatenate([y[~held], own])))
-            if r == ROUNDS or not len(pool[0]):
+            views = [Logistic(x[v], np.concatenate([y[train], extra[v][1]]), np.concatenate([train, extra[v][0]])) for v in range(2)]
+            if r == ROUNDS or not len(pool):
                 break
             for v in range(2):  # what the other view is surest of
-                p = views[1 - v].p(pool[1 - v])
+                p = views[1 - v].p(x[1 - v], pool)
                 yes, no = np.argsort(-p, kind="stable")[: GROW * (r + 1)], np.argsort(p, kind="stable")[: GROW * (r + 1)]
                 at = np.concatenate([yes[p[yes] >= SURE], no[p[no] <= 1 - SURE]])
-                extra[v] = (at, (p[at] >= 0.5).astype(float))
+                extra[v] = (pool[at], (p[at] >= 0.5).astype(float))
         self.views = views
-        self.scales = [Logistic(views[v].logit(labelled[v][held])[:, None], y[held]) for v in range(2)]
-        self.both = Logistic(self._calibrated(tuple(x[held] for x in labelled)), y[held])
+        self.scales = [Logistic(views[v].logit(x[v], calibrate)[:, None], y[calibrate]) for v in range(2)]
+        self.both = Logistic(self._calibrated(x, calibrate), y[calibrate])
 
-    def _calibrated(self, x: tuple) -> np.ndarray:
-        return np.stack([self.scales[v].logit(self.views[v].logit(x[v])[:, None]) for v in range(2)], 1)
+    def _calibrated(self, x: tuple, rows: np.ndarray | None = None) -> np.ndarray:
+        return np.stack([self.scales[v].logit(self.views[v].logit(x[v], rows)[:, None]) for v in range(2)], 1)
 
     def score(self, x: tuple) -> np.ndarray:
         """Columns: text view, metadata view, combination."""
@@ -167,19 +181,21 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         for pdf in batches:
             for lo in range(0, len(pdf), 200):
                 part = pdf.iloc[lo : lo + 200]
-                a, b = both_views(part)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "a": list(a.astype(np.float32)), "b": list(b.astype(np.float32))})
+                packed = [[zlib.compress(row.tobytes(), 1) for row in view.astype(np.float32)] for view in both_views(part)]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "a": packed[0], "b": packed[1]})
 
     wanted = spark.createDataFrame(some.collect() + [(r["doc_id"], None) for r in others.collect()], "doc_id long, y double")  # LABELLED + POOL rows at most
-    got = docs.join(F.broadcast(wanted), "doc_id").mapInPandas(features, "doc_id long, y double, a array<float>, b array<float>")
+    got = docs.join(F.broadcast(wanted), "doc_id").mapInPandas(features, "doc_id long, y double, a binary, b binary")
     got = got.toPandas().sort_values(["doc_id", "y"])
     if got.empty:
-        return CoTrained((np.zeros((0, 1)),) * 2, np.zeros(0), np.zeros(0, bool), (np.zeros((0, 1)),) * 2)
-    x = tuple(np.stack(got[c].to_list()).astype(float) for c in "ab")
-    y = got["y"].to_numpy()
-    has = ~np.isnan(y)
-    held = np.array([zlib.crc32(str(i).encode()) % HELD == 0 for i in got["doc_id"]])[has]
-    return CoTrained(tuple(v[has] for v in x), (y[has] > 0.5).astype(float), held, tuple(v[~has] for v in x))
+        return CoTrained((np.zeros((0, 1)),) * 2, np.zeros(0), np.zeros(0, bool))
+    x = tuple(np.empty((len(got), n), np.float32) for n in (CLASSES * CLASSES + 6, META))
+    for v, c in enumerate("ab"):
+        for i, row in enumerate(got.pop(c)):
+            x[v][i] = np.frombuffer(zlib.decompress(row), np.float32)
+    held = np.array([zlib.crc32(str(i).encode()) % HELD == 0 for i in got["doc_id"]])
+    y = got["y"].to_numpy(float)
+    return CoTrained(x, np.where(np.isnan(y), np.nan, y > 0.5), held)
 
 
 def score(df: DataFrame, model: CoTrained) -> DataFrame:
