@@ -17,7 +17,8 @@ def rows(df: pd.DataFrame) -> list[str]:
     def plain(x):
         if x is None or x is pd.NA or isinstance(x, float) and np.isnan(x):
             return None
-        return x.item() if isinstance(x, np.generic) else x
+        x = x.item() if isinstance(x, np.generic) else x
+        return float(x) if isinstance(x, int) and not isinstance(x, bool) else x  # pandas has floats where an integer column has nulls
 
     return sorted(repr(tuple(map(plain, r))) for r in df.itertuples(index=False, name=None))
 
