@@ -42,7 +42,7 @@ def chain_starts(stamps: np.ndarray, duration: float, first: int = 0) -> list[in
 
 def _candidates(duration: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["stamp"].to_numpy())
+        t = np.unique(pdf["stamp"].to_numpy())
         to = jumps(t, duration)
         last, frames = np.arange(len(t)), np.ones(len(t), np.int64)
         for i in range(len(t) - 1, -1, -1):
@@ -73,7 +73,7 @@ def _numbered(duration: float):
     def run(stamps: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if stamps.empty:
             return pd.DataFrame({"recording_id": [], "stamp": [], "frame_t0": [], "frame_id": []})
-        t, e = np.sort(stamps["stamp"].to_numpy()), entries.iloc[0]
+        t, e = np.unique(stamps["stamp"].to_numpy()), entries.iloc[0]
         starts = chain_starts(t, duration, int(np.searchsorted(t, e["entry"]))) if e["entry"] == e["entry"] else []
         place = np.searchsorted(starts, np.arange(len(t)), side="right")
         t0 = np.r_[e["carried"], t[starts]][place]
@@ -87,7 +87,8 @@ def greedy_frames(scans: DataFrame, duration: float, frames_in_slice: int = SLIC
     if duration <= 0:
         raise ValueError("frame_duration must be > 0")
     known = scans.where(F.col("stamp").isNotNull() & ~F.isnan("stamp") & F.col("recording_id").isNotNull())
-    stamps = known.select("recording_id", F.floor(F.col("stamp") / (duration * frames_in_slice)).alias("slice"), "stamp").distinct()
+    stamps = known.select("recording_id", F.floor(F.col("stamp") / (duration * frames_in_slice)).alias("slice"), "stamp")
+    # One exchange of bare stamps serves both passes over the slices.
     heads = stamps.groupBy("recording_id", "slice").applyInPandas(_candidates(duration), "recording_id string, slice long, head double, last double, frames long")
     entries = heads.groupBy("recording_id").applyInPandas(_entries(duration), "recording_id string, slice long, carried double, carried_id long, entry double")
     keys = ["recording_id", "slice"]

@@ -125,3 +125,10 @@ def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
     """frame_id, x, y, z; no rows if the file is missing."""
     xyz = np.load(path) if Path(path).exists() else np.zeros((0, 3))
     return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "frame_id long, x double, y double, z double")
+
+
+def load_saved(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """(clouds, trajectory) saved under a prefix: ``<prefix>_map_deskew.ply`` and ``<prefix>_map_raw.ply`` with ``cloud`` deskew or raw, and
+    ``<prefix>_traj.npy``, without rows if there is none."""
+    clouds = [read_ply(spark, f"{prefix}_map_{kind}.ply").drop("path").withColumn("cloud", F.lit(kind)) for kind in ("deskew", "raw")]
+    return clouds[0].unionByName(clouds[1]), read_trajectory(spark, f"{prefix}_traj.npy")

@@ -188,3 +188,31 @@ def test_cylinder_turns_into_a_circle(spark):
     a = align.align(spark.createDataFrame(scans, schemas.SCANS), spark.createDataFrame(samples, schemas.IMU_SAMPLES))
     row = rolling.centroid_and_nearest(rolling.points(rolling.window_scans(framing.ingest(a), 360))).first()
     assert row.n_points == 1080 and abs(row.radius_mean - 2) < 1e-9 and row.radius_std < 1e-9 and abs(row.mean_x) < 1e-9
+
+
+def test_accumulator_evicts_by_stamp_and_counts():
+    a = rolling.Accumulator(2)
+    near = [imu(t) for t in (1.0, 1.01, 1.02)]
+    assert a.take([scan(1.010, 0, 1, 1), scan(1.020, 1, 1, 2)], near) == 2
+    assert a.take([scan(1.000, 2, 1, 3)], near) == 1
+    assert a.points()[:, 0].tolist() == [1, 2] and a.counts["scans_accumulated"] == 3
+    a.take([scan(2.0)], near)
+    assert len(a.waiting) == 1 and a.take([], [*near, imu(2.001)]) == 1
+    a.take([scan(0.5)], near)
+    assert a.counts["scans_unmatched"] == 1
+    b = rolling.Accumulator(5)
+    for i in range(8):
+        b.take([scan(1.0 + i)], [])
+    assert len(b.waiting) == 5 and b.counts["scans_unmatched"] == 3
+    b.reset()
+    assert len(b.points()) == 0 and b.counts["scans_unmatched"] == 3
+    with pytest.raises(ValueError):
+        rolling.Accumulator(0)
+    # Just past the newest sample but within the tolerance: matched at once.
+    assert rolling.Accumulator().take([scan(1.025)], near) == 1
+
+
+def test_window_of_a_replay(spark):
+    df = spark.createDataFrame(recording(150), schemas.DATAGRAMS)
+    got = rolling.replay_window(df, 10)
+    assert got.select("stamp").distinct().count() == 10 and got.agg(F.max("stamp")).first()[0] == 100 + 149 * 0.005

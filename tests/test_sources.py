@@ -106,6 +106,10 @@ def test_clouds_and_trajectories(spark, tmp_path):
     c = spark.createDataFrame([(i, *r) for i, r in enumerate(p.tolist())], "ord long, x double, y double, z double")
     assert tables.write_ply(c, f"{tmp_path}/c.ply", -1, 1) == 50
     assert np.array_equal(np.array([r[2:] for r in sorted(map(tuple, tables.read_ply(spark, f"{tmp_path}/c.ply").collect()), key=lambda r: r[1])]), p)
+    for kind in ("deskew", "raw"):
+        tables.write_ply(c, f"{tmp_path}/run_map_{kind}.ply", -1, 1)
+    clouds, track = tables.load_saved(spark, f"{tmp_path}/run")
+    assert clouds.count() == 100 and track.count() == 0
     (tmp_path / "bad.ply").write_bytes(b"ply\nformat ascii 1.0\nend_header\n")
     with pytest.raises(Exception, match="not a cloud"):
         tables.read_ply(spark, f"{tmp_path}/bad.ply").collect()
