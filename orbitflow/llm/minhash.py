@@ -8,8 +8,10 @@ for large sets, and two sketches agree in a share of coordinates that concentrat
 * Equal sets are one group from the start (by a 128-bit digest); its smallest doc_id stands for it.
 * In a bucket every member is paired with a hub, its smallest member, not with every other one. Pairs are verified on the full sets
   of shingle hashes (64 bits), and linked ones merge. Buckets that still hold several components get a second hub; what is
-  left is compared in blocks of ``BLOCK`` by sketch, and pairs of different components whose sketches agree in 0.69 or
-  more (five standard deviations under 0.85) are verified as well. No bucket is capped or left out.
+  left is compared in blocks: each member has one home, a block of its largest such bucket, and two homes meet once if any bucket
+  has members of both. There pairs of different components whose sketches agree in 0.69 or more (five standard deviations under
+  0.85) are verified on the full sets as well, and only a spanning forest of the links leaves. Members of a bucket's largest
+  component have homes of their own, which are not compared with each other. No bucket is capped or left out.
 * Texts are shuffled once, those that share a bucket with another only get their sets built again.
 
 Defined results: null or blank texts have the empty set and link with nothing. The nodes are doc_ids: rows that repeat a doc_id
@@ -32,7 +34,8 @@ BINS, ROWS = 128, 4
 #: Least similarity in hundredths.
 LEAST = 85
 ESTIMATE = 0.69
-BLOCK = 1024
+#: Members, and shingles, in a block.
+BLOCK, ITEMS = 1024, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,20 +123,31 @@ def _alike(n: str, m: str):
     return 100 * F.least(n, m) >= LEAST * F.greatest(n, m)
 
 
-def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one pair of blocks: different components, like sizes, sketches that agree."""
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between two homes (or within one) that join different components: a spanning forest of them."""
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    one = pdf[pdf["block"] == i]
-    two = one if i == j else pdf[pdf["block"] == j]
-    bits = [np.frombuffer(b"".join(x["bits"]), np.uint8).reshape(-1, BINS) for x in (one, two)]
-    found = []
-    for r in range(len(one)):
-        agree = (bits[1] == bits[0][r]).mean(1)
-        n, m = one["n"].iloc[r], two["n"].to_numpy()
-        good = (agree >= ESTIMATE) & (two["component"].to_numpy() != one["component"].iloc[r]) & (100 * np.minimum(n, m) >= LEAST * np.maximum(n, m))
-        if i == j:
-            good[: r + 1] = False
-        found += [(one["id"].iloc[r], x) for x in two["id"].to_numpy()[good]]
+    pdf = pdf.sort_values("id", ignore_index=True)
+    ids, n, label, home = (pdf[c].to_numpy().copy() for c in ("id", "n", "component", "home"))
+    bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(-1, BINS)
+    ends = np.cumsum([len(x) for x in pdf["items"]])
+    universe, codes = np.unique(np.concatenate(list(pdf["items"])), return_inverse=True)
+    own = np.split(codes, ends[:-1])
+    seen, found = np.zeros(len(universe), bool), []
+    two = np.flatnonzero(home == j)
+    for r in np.flatnonzero(home == i).tolist():
+        some = two[two > r] if i == j else two
+        some = some[(label[some] != label[r]) & (100 * np.minimum(n[some], n[r]) >= LEAST * np.maximum(n[some], n[r]))]
+        some = some[(bits[some] == bits[r]).mean(1) >= ESTIMATE] if len(some) else some
+        if not len(some):
+            continue
+        seen[own[r]] = True
+        sizes = np.array([len(own[x]) for x in some])
+        both = np.add.reduceat(seen[np.concatenate([own[x] for x in some])].astype(np.int64), np.cumsum(sizes) - sizes)
+        seen[own[r]] = False
+        for x in some[100 * both >= LEAST * (len(own[r]) + sizes - both)].tolist():
+            if label[x] != label[r]:
+                found.append((ids[r], ids[x]))
+                label[label == label[x]] = label[r]
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
@@ -148,7 +162,7 @@ def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     lines = reps.select("id", "n", F.explode("bands").alias("key"))
     hubs = lines.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    buckets = scratch.keep(lines.join(hubs, "key").select("key", "id", "n", "hub"), "buckets")
+    buckets = scratch.keep(lines.join(hubs, "key").select("key", "id", "n", "hub", "members"), "buckets")
     size = reps.select(F.col("id").alias("hub"), F.col("n").alias("m"))
     pairs = scratch.keep(buckets.where("id <> hub").select(F.col("hub"), F.col("id"), "n").distinct().join(size, "hub").where(_alike("n", "m")).select(F.col("hub").alias("a"), F.col("id").alias("b")), "pairs")
     involved = buckets.select(F.col("id").alias("doc_id")).distinct()
@@ -165,14 +179,14 @@ def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         if rest.isEmpty():
             break
         if last:
-            more = _by_blocks(rest, reps)
+            links = scratch.keep(links.unionByName(_by_blocks(rest, reps, sets, scratch)), "links")
         else:
             at = rest.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"), "key", F.col("n").alias("m"))
             first = rest.where("id = hub").select("key", F.col("component").alias("first"))
             second = rest.join(first, "key").where("component <> first").groupBy("key").agg(F.min("id").alias("hub"))
             at = at.join(second, ["key", "hub"])
-            more = rest.drop("hub").join(at, "key").where((F.col("component") != F.col("hub_component")) & _alike("n", "m")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        links = scratch.keep(links.unionByName(_verified(more, sets)), "links")
+            more = rest.drop("hub", "members").join(at, "key").where((F.col("component") != F.col("hub_component")) & _alike("n", "m")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+            links = scratch.keep(links.unionByName(_verified(more, sets)), "links")
         found = scratch.keep(components(links, scratch), "components")
 
     of = same.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("c"))
@@ -181,10 +195,19 @@ def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     return out.select("doc_id", F.col("n_shingles"), mine.alias("component_id"), F.coalesce(F.col("doc_id") == mine, F.lit(True)).alias("kept"))
 
 
-def _by_blocks(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    sized = rest.join(rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "key")
-    dealt = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = each.join(reps.select("id", "n", "bits"), "id")
-    return full.groupBy("key", "i", "j").applyInPandas(_blocks, "a long, b long").distinct()
+def _by_blocks(rest: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between members of different components of the buckets in ``rest(key, id, component, n, members)``."""
+    home = scratch.keep(rest.groupBy("id", "component", "n").agg(F.max(F.struct("members", "key"))["key"].alias("of")), "of")
+    top = home.groupBy("of", "component").count().groupBy("of").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
+    home = home.join(top, "of").withColumn("pure", F.when(F.col("component") == F.col("top"), F.col("top")))
+    rank = F.coalesce("pure", F.lit(-1))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ITEMS)).cast("int").alias("blocks")
+    size = home.groupBy("of", rank.alias("rank")).agg(blocks)
+    home = home.withColumn("rank", rank).join(size, ["of", "rank"])
+    home = scratch.keep(home.select("id", "component", "n", "pure", F.xxhash64("of", "rank", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("home")), "homes")
+    places = scratch.keep(rest.select("key", "id").join(home.select("id", "home", "pure"), "id").select("key", "home", "pure").distinct(), "places")
+    one, two = places.toDF("key", "i", "p"), places.toDF("key", "j", "q")
+    meet = one.join(two, "key").where("i <= j AND coalesce(p <> q, true)").select("i", "j").distinct()
+    full = home.drop("pure").join(reps.select("id", "bits"), "id").join(sets, "id")
+    each = meet.withColumn("home", F.explode(F.array_distinct(F.array("i", "j")))).join(full, "home")
+    return each.groupBy("i", "j").applyInPandas(_meet, "a long, b long")
