@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Code points that are handled at once where Python works on texts; bounds a task's arrays.
 CHUNK = 1 << 20
@@ -90,3 +93,24 @@ def maybe_in(df: DataFrame, keys: DataFrame, column: str, key: str | None = None
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_columns(df: DataFrame, needs: list[str], fields: list[T.StructField], make: Callable[[], Callable], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``fields`` appended, made from the columns ``needs``; columns of df with such names, and those in ``drop``, go.
+
+    ``make()`` gives, once a task, a function from lists of values to one list for each field. Other columns stay Arrow data: integers beside nulls never
+    turn into floating-point numbers.
+    """
+    made = T.StructType(fields)
+    taken = {f.name for f in fields}
+    source = df.select(*[c for c in df.columns if c not in taken or c in needs])
+    kept = [f for f in source.schema.fields if f.name not in taken and f.name not in drop]
+    types = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            new = work(*(batch.column(c).to_pylist() for c in needs))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(v, t.type) for v, t in zip(new, types))], names=[*(f.name for f in kept), *types.names])
+
+    return source.mapInArrow(run, T.StructType([*kept, *fields]))

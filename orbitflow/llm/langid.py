@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orbitflow.llm.common import slices
+from orbitflow.llm.common import slices, with_columns
 
 SLOTS = 1 << 20
 HASHES = 3
@@ -34,8 +35,8 @@ BITS = 60
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Trigrams (three code points of 21 bits, non-letters as blanks, two letters at least) of lower-cased texts, and the text of each."""
     low = [t.lower() for t in texts]
-    lens = np.array([len(t) + 2 for t in low], np.int64)  # two blanks between: no trigram has letters of two texts
-    joined = "  ".join(low) + "  "
+    lens = np.array([len(t) + 2 for t in low], np.int64)  # a blank on both sides: no trigram has letters of two texts, and neighbours do not matter
+    joined = "".join(f" {t} " for t in low)
     points = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
     letter = letters()[points]
     points[~letter] = 32
@@ -135,22 +136,17 @@ def train(labelled: DataFrame) -> Filters:
 
 
 def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score; only ``text`` is looked at."""
-    spark: SparkSession = df.sparkSession
-    shared = spark.sparkContext.broadcast((filters.languages, filters.masks))
-    kept = df.select(*[c for c in df.columns if c not in ("lang_pred", "score")])
+    """``df`` with lang_pred and score instead of ``text``, which is all that is looked at."""
+    shared = df.sparkSession.sparkContext.broadcast((filters.languages, filters.masks))
 
-    def run(batches):
+    def make():
         work = Filters(*shared.value)
-        for pdf in batches:
-            langs: list = []
-            scores: list = []
-            for _, some in slices(t if isinstance(t, str) else None for t in pdf[text]):
-                a, b = work.predict(some)
-                langs += a
-                scores += b
-            yield pdf.drop(columns=text).assign(lang_pred=langs, score=scores)
-
-    fields = [f for f in kept.schema.fields if f.name != text]
-    out = kept.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"]))
-    return out
+
+        def run(texts):
+            both = [work.predict(some) for _, some in slices(texts)]
+            return [x for a, _ in both for x in a], [x for _, b in both for x in b]
+
+        return run
+
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return with_columns(df, [text], fields, make, drop=(text,))
