@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitflow.llm.common import CHUNK, slices
+from orbitflow.llm.common import CHUNK, slices, with_columns
 
 L, N, O, LEAD, SOLO, RUN, APOS1, APOS2 = range(8)
 """Letter, number, other; white space: a blank before a non-space, another last space of a run, any other; apostrophes with one or two contraction letters."""
@@ -275,9 +275,6 @@ class Vocabulary:
 def _with(df: DataFrame, vocabulary: Vocabulary, text: str, fields: list[T.StructField], row) -> DataFrame:
     """Append columns that ``row(coder, packed ids)`` gives for each text."""
     sent, ident = vocabulary.sent, vocabulary.id
-    taken = {f.name for f in fields}
-    kept = [c for c in df.columns if c not in taken]
-    narrow = df.select(*kept)
 
     class Held:
         id = ident
@@ -286,17 +283,16 @@ def _with(df: DataFrame, vocabulary: Vocabulary, text: str, fields: list[T.Struc
         def value(self):
             return sent.value
 
-    def run(batches):
+    def make():
         work = coder(Held())
-        for pdf in batches:
-            rows: list = []
-            texts = pdf[text].tolist()
-            for _, some in slices(t if isinstance(t, str) else None for t in texts):
-                rows += [row(work, p) for p in work.encode(some)]
-            made = pd.DataFrame(rows, columns=[f.name for f in fields])
-            yield pd.concat([pdf.reset_index(drop=True), made], axis=1)
-
-    return narrow.mapInPandas(run, T.StructType([*narrow.schema.fields, *fields]))
+
+        def run(texts):
+            rows = [row(work, p) for _, some in slices(texts) for p in work.encode(some)]
+            return list(zip(*rows)) or [[]] * len(fields)
+
+        return run
+
+    return with_columns(df, [text], fields, make)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +35,7 @@ STRIDE, BLOCK = 64, 16
 SHARD = 8_000_000
 #: Bounds of passages and blocks that are held at once.
 BOUNDS = 4_000_000
+FOUND = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "first_word"]
 _WORD = re.compile(r"\w+")
 
 
@@ -173,13 +174,13 @@ def search(df: DataFrame, items: DataFrame) -> DataFrame:
     for index in shards(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
 
         def run(batches, index=index):
-            for pdf in batches:
-                for at, some in slices(t if isinstance(t, str) else None for t in pdf["text"]):
-                    rows = [(pdf["doc_id"].iloc[at + d], *rest) for d, *rest in index.value.hits(some)]
-                    made = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "first_word"])
-                    yield made.astype({"doc_id": "Int64", "item_id": "Int64", "first_word": "int64"})
+            for batch in batches:
+                rows = [(at + d, *rest) for at, some in slices(batch.column("text").to_pylist()) for d, *rest in index.value.hits(some)]
+                row, *made = list(zip(*rows)) or [[]] * 7
+                ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(made, (pa.int64(), *[pa.float64()] * 4, pa.int64())))], names=FOUND)
 
-        found = docs.mapInPandas(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, first_word long")
+        found = docs.mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, first_word long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -189,9 +190,9 @@ def clean(df: DataFrame, items: DataFrame) -> DataFrame:
     for index in shards(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
 
         def run(batches, index=index):
-            for pdf in batches:
-                bad = {at + d for at, some in slices(t if isinstance(t, str) else None for t in pdf["text"]) for d, *_ in index.value.hits(some)}
-                yield pdf[[i not in bad for i in range(len(pdf))]]
+            for batch in batches:
+                bad = {at + d for at, some in slices(batch.column("text").to_pylist()) for d, *_ in index.value.hits(some)}
+                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        df = df.mapInPandas(run, df.schema)
+        df = df.mapInArrow(run, df.schema)
     return df

@@ -116,7 +116,7 @@ def _forest_links(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[i
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts (b null) and links of a leaf, or of a pair of its blocks."""
+    """Counts (b the same as a) and links of a leaf, or of a pair of its blocks."""
     code, one, two = pdf["code"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
     pdf = pdf.sort_values("rep")
     ids, block, weight = pdf["rep"].to_numpy(), pdf["block"].to_numpy(), pdf["weight"].to_numpy()
@@ -129,8 +129,8 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     i, j = i[first], j[first]
     counts = np.bincount(i, weights=weight[j], minlength=len(ids)) + np.bincount(j, weights=weight[i], minlength=len(ids))
     linked = np.flatnonzero(counts)
-    rows = [(int(ids[x]), None, int(counts[x])) for x in linked] + [(a, b, 0) for a, b in _forest_links(ids, i, j)]
-    return pd.DataFrame(rows, columns=["a", "b", "links"]).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
+    rows = [(int(ids[x]), int(ids[x]), int(counts[x])) for x in linked] + [(a, b, 0) for a, b in _forest_links(ids, i, j)]
+    return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("int64")
 
 
 def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -166,9 +166,9 @@ def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     made = scratch.keep(dealt.groupBy("label", "dim", "code", "i", "j").applyInPandas(_compare, "a long, b long, links long"), "links")
-    of = components(made.where("b IS NOT NULL").select("a", "b"), scratch)
+    of = components(made.where("a <> b").select("a", "b"), scratch)
     of = scratch.keep(of, "components").select(F.col("node").alias("rep"), "component")
-    links = made.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    links = made.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     known = points.select("rep", "label", "embedding", "weight").join(links, "rep", "left").join(of, "rep", "left")
     known = known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "rep", "component", "weight", "links")
     mine = F.when(usable, F.struct("label", "embedding"))

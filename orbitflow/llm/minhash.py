@@ -25,8 +25,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orbitflow.llm.common import Scratch
+from orbitflow.llm.common import Scratch, with_columns
 from orbitflow.llm.components import components
 
 WORDS = 5
@@ -89,18 +90,23 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketches(batches):
+_SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())]
+
+
+def _sketches():
     cache = Words()
-    for pdf in batches:
+
+    def run(texts):
         rows = []
-        for i, t in zip(pdf["doc_id"], pdf["text"]):
-            items = shingles(t if isinstance(t, str) else None, cache)
-            if not len(items):
-                rows.append((i, 0, None, None, None))
-                continue
-            full = sketch(items)
-            rows.append((i, len(items), xxhash.xxh3_128_digest(items.tobytes()), bands(full), (full & np.uint64(255)).astype(np.uint8).tobytes()))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "same", "bands", "bits"]).astype({"doc_id": "Int64"})
+        for items in (shingles(t, cache) for t in texts):
+            if len(items):
+                full = sketch(items)
+                rows.append((len(items), xxhash.xxh3_128_digest(items.tobytes()), bands(full), (full & np.uint64(255)).astype(np.uint8).tobytes()))
+            else:
+                rows.append((0, None, None, None))
+        return list(zip(*rows)) or [[]] * 4
+
+    return run
 
 
 def _sets(batches):
@@ -155,7 +161,7 @@ def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``df(doc_id, text)``."""
     scratch = scratch or Scratch(df.sparkSession, "minhash")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sk = scratch.keep(docs.mapInPandas(_sketches, "doc_id long, n_shingles long, same binary, bands array<long>, bits binary"), "sketches")
+    sk = scratch.keep(with_columns(docs, ["text"], _SKETCH, _sketches, drop=("text",)), "sketches")
     full = sk.where("same IS NOT NULL AND doc_id IS NOT NULL")
     same = full.groupBy("same").agg(F.min("doc_id").alias("rep"))
     reps = scratch.keep(full.join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "same", "bands", "bits"), "reps")

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orbitflow.llm.common import with_columns
+
 LABELLED, POOL = 12_000, 12_000
 ROUNDS, SURE, GROW = 4, 0.97, 400
 #: Documents with a lower score go.
@@ -81,10 +83,9 @@ def meta_features(source, lang, n_chars) -> np.ndarray:
     return out
 
 
-def both_views(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    texts = np.stack([text_features(t if isinstance(t, str) else None) for t in pdf["text"]])
-    metas = np.stack([meta_features(*x) for x in zip(pdf["source"], pdf["lang"], pdf["n_chars"])])
-    return texts, metas
+def both_views(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of (text, source, lang, n_chars)."""
+    return np.stack([text_features(r[0]) for r in rows]), np.stack([meta_features(*r[1:]) for r in rows])
 
 
 #: Rows whose standardised features are in memory at once while fitting.
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         for pdf in batches:
             for lo in range(0, len(pdf), 200):
                 part = pdf.iloc[lo : lo + 200]
-                packed = [[zlib.compress(row.tobytes(), 1) for row in view.astype(np.float32)] for view in both_views(part)]
+                packed = [[zlib.compress(row.tobytes(), 1) for row in view.astype(np.float32)] for view in both_views(list(zip(*(part[c] for c in _COLUMNS[1:]))))]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "a": packed[0], "b": packed[1]})
 
     wanted = spark.createDataFrame(some.collect() + [(r["doc_id"], None) for r in others.collect()], "doc_id long, y double")  # LABELLED + POOL rows at most
@@ -201,13 +202,15 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 def score(df: DataFrame, model: CoTrained) -> DataFrame:
     """``df`` with text_score, meta_score, score and kept."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    made = ["text_score", "meta_score", "score"]
-    narrow = df.select(*[c for c in df.columns if c not in (*made, "kept")])
 
-    def run(batches):
-        for pdf in batches:
-            out = np.vstack([shared.value.score(both_views(pdf.iloc[lo : lo + 200])) for lo in range(0, len(pdf), 200)]) if len(pdf) else np.zeros((0, 3))
-            yield pdf.assign(**{c: out[:, k] for k, c in enumerate(made)}, kept=out[:, 2] >= KEEP)
+    def make():
+        def run(*columns):
+            rows = list(zip(*columns))
+            parts = [shared.value.score(both_views(rows[lo : lo + 200])) for lo in range(0, len(rows), 200)]
+            out = np.vstack([*parts, np.zeros((0, 3))])
+            return [*out.T, out[:, 2] >= KEEP]
+
+        return run
 
-    fields = [*narrow.schema.fields, *(T.StructField(c, T.DoubleType()) for c in made), T.StructField("kept", T.BooleanType())]
-    return narrow.mapInPandas(run, T.StructType(fields))
+    fields = [*(T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")), T.StructField("kept", T.BooleanType())]
+    return with_columns(df, _COLUMNS[1:], fields, make)

@@ -29,8 +29,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orbitflow.llm.common import Scratch, maybe_in, parts
+from orbitflow.llm.common import Scratch, maybe_in, parts, with_columns
 
 LENGTH, GRAM, SPAN = 400, 32, 272
 #: Bytes of a suffix that are compared: those that a window always holds from its place on.
@@ -84,8 +85,7 @@ def _suffixes(batches):
                 for p, a, b in zip(*(x.tolist() for x in places(raw))):
                     suffix = raw[p : p + 4] + xxhash.xxh3_64_digest(raw[p : p + COMPARED])
                     rows.append((batch, doc, h, p, a, b, suffix, _signed(xxhash.xxh3_64_intdigest(raw[a : b + LENGTH], p - a))))
-            made = pd.DataFrame(rows, columns=["batch", "doc_id", "h", "place", "first", "last", "suffix", "block"])
-            yield made.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["batch", "doc_id", "h", "place", "first", "last", "suffix", "block"])
 
 
 class Family:
@@ -141,7 +141,7 @@ def _blocks(batches):
         for text, want in zip(pdf["text"], pdf["want"]):
             raw = text.encode()
             rows = [{**x, "raw": raw[x["first"] : x["last"] + LENGTH]} for x in want]
-            yield pd.DataFrame(rows)[_BLOCK].astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows)[_BLOCK]
 
 
 _BLOCK = ["suffix", "doc_id", "h", "place", "first", "last", "n", "raw"]
@@ -164,11 +164,11 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     _, which, n = np.unique(digest.view("<u8").reshape(-1, 2), axis=0, return_inverse=True, return_counts=True)
     good = np.flatnonzero((n[which.ravel()] > 1) & (pdf["n"].to_numpy()[row] == 1))
     if not len(good):
-        return pd.DataFrame({"doc_id": pd.array([], "Int64"), "h": [], "start": [], "stop": []}).astype({"h": "int64", "start": "int64", "stop": "int64"})
+        return pd.DataFrame({"doc_id": [], "h": [], "start": [], "stop": []}).astype("int64")
     cut = np.flatnonzero((np.diff(row[good]) != 0) | (np.diff(start[good]) != 1)) + 1
     a, b = good[np.r_[0, cut]], good[np.r_[cut, len(good)] - 1]
     own = pdf.iloc[row[a]]
-    return pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").to_numpy(), "h": own["h"].to_numpy(), "start": start[a], "stop": start[b] + LENGTH})
+    return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "h": own["h"].to_numpy(), "start": start[a], "stop": start[b] + LENGTH})
 
 
 def _settled(batches):
@@ -193,16 +193,17 @@ def _window_rows(batches):
         for lo in range(0, len(pdf), 500):
             some = pdf.iloc[lo : lo + 500].reset_index(drop=True)
             row, start, digest = _window_hashes(some)
-            yield pd.DataFrame({"w": [bytes(x) for x in digest.view("V16")], "doc_id": some["doc_id"].astype("Int64").to_numpy()[row], "h": some["h"].to_numpy()[row], "start": start})
+            yield pd.DataFrame({"w": [bytes(x) for x in digest.view("V16")], "doc_id": some["doc_id"].to_numpy()[row], "h": some["h"].to_numpy()[row], "start": start})
 
 
-def _cut(batches):
+def _cut():
     """Texts without their spans, merged."""
-    for pdf in batches:
-        kept, spans = [], []
-        for text, own in zip(pdf["text"], pdf["spans"]):
+
+    def run(texts, all_spans):
+        rows = []
+        for text, own in zip(texts, all_spans):
             raw, out, merged, at = (text or "").encode(), [], [], 0
-            for a, b in sorted((x["start"], x["stop"]) for x in own) if own is not None else []:
+            for a, b in sorted((x["start"], x["stop"]) for x in own or []):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
@@ -210,9 +211,10 @@ def _cut(batches):
             for a, b in merged:
                 out.append(raw[at:a])
                 at = b
-            kept.append(b"".join([*out, raw[at:]]))
-            spans.append([{"start": a, "stop": b} for a, b in merged])
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len((t or "").encode()) for t in pdf["text"]], "kept": kept, "spans": spans})
+            rows.append((len(raw), b"".join([*out, raw[at:]]), [{"start": a, "stop": b} for a, b in merged]))
+        return list(zip(*rows)) or [[]] * 3
+
+    return run
 
 
 def _repeats(docs: DataFrame, scratch: Scratch, batches: int) -> DataFrame:
@@ -238,8 +240,7 @@ def _repeats(docs: DataFrame, scratch: Scratch, batches: int) -> DataFrame:
     def raw(some: DataFrame) -> DataFrame:
         by_doc = some.groupBy("doc_id", "h").agg(F.collect_list(F.struct("suffix", "doc_id", "h", "place", "first", "last", "n")).alias("want"))
         texts = maybe_in(long_ones, by_doc, "h")
-        same = by_doc.withColumnsRenamed({"doc_id": "d", "h": "g"})
-        return texts.join(same, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("text", "want").mapInPandas(_blocks, _BLOCK_TYPES)
+        return texts.join(by_doc, ["doc_id", "h"]).select("text", "want").mapInPandas(_blocks, _BLOCK_TYPES)
 
     small = raw(want.where(f"k <= {CROWD}")).repartition(parts(docs.sparkSession), "suffix").sortWithinPartitions("suffix")
     settled = small.mapInPandas(_settled, "doc_id long, h long, start long, stop long")
@@ -255,12 +256,14 @@ def _repeats(docs: DataFrame, scratch: Scratch, batches: int) -> DataFrame:
 def remove_repeats(df: DataFrame, scratch: Scratch | None = None, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, kept (binary: the remaining bytes) and spans (removed runs) for each row of ``df(doc_id, text)``."""
     scratch = scratch or Scratch(df.sparkSession, "suffix")
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    spans = _repeats(docs, scratch, batches)
-    by_doc = spans.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    flagged = maybe_in(docs, by_doc, "h", "g", keep_all=True)
-    joined = flagged.where("maybe").join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
-    cut = joined.select("doc_id", "text", "spans").mapInPandas(_cut, f"doc_id long, n_bytes long, kept binary, spans {SPANS}")
+    docs = df.select(F.col("doc_id").cast("long").alias("own_id"), "text", F.xxhash64("text").alias("h"))
+    # Inside, a null id is the smallest number: rows that then look alike have the same text, and so the same result.
+    docs = docs.withColumn("doc_id", F.coalesce("own_id", F.lit(-(1 << 63))))
+    by_doc = _repeats(docs, scratch, batches).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    flagged = maybe_in(docs, by_doc, "h", keep_all=True)
+    joined = flagged.where("maybe").join(by_doc, ["doc_id", "h"], "left").select(F.col("own_id").alias("doc_id"), "text", "spans")
+    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", T._parse_datatype_string(SPANS))]
+    cut = with_columns(joined, ["text", "spans"], fields, _cut, drop=("text",))
     text = F.coalesce("text", F.lit("")).cast("binary")
-    plain = flagged.where("NOT maybe").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("kept"), F.array().cast(SPANS).alias("spans"))
+    plain = flagged.where("NOT maybe").select(F.col("own_id").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("kept"), F.array().cast(SPANS).alias("spans"))
     return cut.unionByName(plain)
