@@ -8,8 +8,8 @@ for large sets, and two sketches agree in a share of coordinates that concentrat
 * Equal sets are one group from the start (by a 128-bit digest); its smallest doc_id stands for it.
 * In a bucket every member is paired with a hub, its smallest member, not with every other one. Pairs are verified on the full sets
   of shingle hashes (64 bits), and linked ones merge. Buckets that still hold several components get a second hub; what is
-  left is compared in blocks: each member has one home, a block of its largest such bucket, and two homes meet once if any bucket
-  has members of both. There pairs of different components whose sketches agree in 0.69 or more (five standard deviations under
+  left is compared in blocks: each member has one home, a block of those around the same hub, and two homes meet once if any bucket has
+  members of both. There pairs of different components whose sketches agree in 0.69 or more (five standard deviations under
   0.85) are verified on the full sets as well, and only a spanning forest of the links leaves. Members of a bucket's largest
   component have homes of their own, which are not compared with each other. No bucket is capped or left out.
 * Texts are shuffled once, those that share a bucket with another only get their sets built again.
@@ -202,8 +202,12 @@ def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def _by_blocks(rest: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links between members of different components of the buckets in ``rest(key, id, component, n, members)``."""
-    home = scratch.keep(rest.groupBy("id", "component", "n").agg(F.max(F.struct("members", "key"))["key"].alias("of")), "of")
+    """Links between members of different components of the buckets in ``rest(key, id, component, n, hub, members)``."""
+    # A member first goes to the hub of its largest bucket, then to the fullest such place that any of its buckets touches: few, full homes.
+    start = scratch.keep(rest.groupBy("id").agg(F.max(F.struct("members", "key", "hub"))["hub"].alias("of")), "start")
+    full_of = start.join(start.groupBy("of").agg(F.count("*").alias("size")), "of")
+    best = rest.select("key", "id").join(full_of, "id").groupBy("key").agg(F.max(F.struct("size", "of")).alias("best"))
+    home = scratch.keep(rest.join(best, "key").groupBy("id", "component", "n").agg(F.max("best")["of"].alias("of")), "of")
     top = home.groupBy("of", "component").count().groupBy("of").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
     home = home.join(top, "of").withColumn("pure", F.when(F.col("component") == F.col("top"), F.col("top")))
     rank = F.coalesce("pure", F.lit(-1))
