@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitflow.config import MIN_POINTS
+from orbitflow.config import MAX_TIME_GAP, MIN_POINTS
 from orbitflow.functions import geometry as G
+from orbitflow.operators.align import align
 
 #: Frames in a slice.
 SLICE = 4096
@@ -107,11 +108,19 @@ def starts_native(scans: DataFrame, duration: float) -> DataFrame:
     return scans.groupBy("recording_id").agg(fold.alias("starts"))
 
 
-def ingest(aligned: DataFrame, drop_zero_returns: bool = True, rotate: bool = True) -> DataFrame:
-    """Matched scans with ``pts``: rotated double points and their absolute times. Scans without points left vanish."""
+def live(scans: DataFrame) -> DataFrame:
+    """Scans that have any point that is not a zero return."""
+    return scans.where(F.exists("points", lambda p: G.not_zero(p["x"].cast("double"), p["y"].cast("double"), p["z"].cast("double"))))
+
+
+def ingest(aligned: DataFrame, drop_zero_returns: bool = True, rotate: bool = True, only_live: bool = False) -> DataFrame:
+    """Matched scans with ``pts``: rotated double points and their absolute times. Scans without points left vanish; where the caller knows that
+    there are none (``only_live``), stamps can be had without reading points."""
     raw = F.filter("points", lambda p: G.not_zero(p["x"].cast("double"), p["y"].cast("double"), p["z"].cast("double"))) if drop_zero_returns else F.col("points")
     widened = F.transform(raw, lambda p: F.struct(*[p[c].cast("double").alias(c) for c in "xyz"], (F.col("stamp") + p["time"].cast("double")).alias("t")))
-    kept = aligned.where("state = 'matched'").withColumn("_raw", widened).where(F.size("_raw") > 0)
+    kept = aligned.where("state = 'matched'").withColumn("_raw", widened)
+    if not only_live:
+        kept = kept.where(F.size("_raw") > 0)
     if not rotate:
         return kept.withColumnRenamed("_raw", "pts")
     unit = kept.withColumn("_u", G.normalize_quaternion(F.col("q")))
@@ -143,6 +152,11 @@ def assemble(aligned: DataFrame, duration: float, min_points: int = MIN_POINTS,
     return build(greedy_frames(ingest(aligned, rotate=rotate), duration), min_points)
 
 
+def frames(scans: DataFrame, imu: DataFrame | None, duration: float, tolerance: float = MAX_TIME_GAP, min_points: int = MIN_POINTS, rotate: bool = True) -> DataFrame:
+    """Both streams to frames, sparse ones marked. Empty scans go before alignment, so that the pass that numbers frames moves stamps only."""
+    return build(greedy_frames(ingest(align(live(scans), imu, tolerance, rotate), rotate=rotate, only_live=True), duration), min_points)
+
+
 def frame_stats(frames: DataFrame) -> DataFrame:
     """Counters by recording."""
     return frames.groupBy("recording_id").agg(

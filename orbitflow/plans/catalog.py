@@ -52,7 +52,7 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.assemble(aligned(spark, sf_dir), DURATION, FEWEST)
+    return framing.frames(P.scans(spark, sf_dir), P.imu(spark, sf_dir), DURATION, TOLERANCE, FEWEST)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

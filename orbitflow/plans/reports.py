@@ -14,8 +14,7 @@ def frames_report(datagrams: DataFrame, config: Config | None = None) -> DataFra
     """Each frame's scans, points, stretch of time and span, over all recordings at once."""
     c = config or Config()
     m = codec.decode(datagrams)
-    aligned = align.align(codec.scans(m), codec.imu_samples(m), rotate_with_imu=c.rotate_with_imu)
-    return framing.assemble(aligned, c.frame_duration, rotate=c.rotate_with_imu).drop("points")
+    return framing.frames(codec.scans(m), codec.imu_samples(m), c.frame_duration, rotate=c.rotate_with_imu).drop("points")
 
 
 def odometry_report(datagrams: DataFrame, meta: DataFrame | None = None, config: Config | None = None, scale: float = 1.0, **extra) -> tuple[DataFrame, DataFrame]:
