@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Code points that are handled at once where Python works on texts; bounds a task's arrays.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows of a batch whose values are Python objects at once.
+ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +97,13 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, ROWS at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+
+
 def with_columns(df: DataFrame, needs: list[str], fields: list[T.StructField], make: Callable[[], Callable], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``fields`` appended, made from the columns ``needs``; columns of df with such names, and those in ``drop``, go.
 
@@ -109,7 +118,7 @@ def with_columns(df: DataFrame, needs: list[str], fields: list[T.StructField], m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in pieces(batches):
             new = work(*(batch.column(c).to_pylist() for c in needs))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(v, t.type) for v, t in zip(new, types))], names=[*(f.name for f in kept), *types.names])
 

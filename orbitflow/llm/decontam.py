@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitflow.llm.common import slices
+from orbitflow.llm.common import pieces, slices
 
 K1, B = 1.2, 0.75
 SCORE = 0.5
@@ -34,7 +34,7 @@ GRAM, OVERLAP, PART = 5, 0.8, 0.5
 STRIDE, BLOCK = 64, 16
 SHARD = 8_000_000
 #: Bounds of passages and blocks that are held at once.
-BOUNDS = 4_000_000
+BOUNDS = 1_000_000
 FOUND = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "first_word"]
 _WORD = re.compile(r"\w+")
 
@@ -174,7 +174,7 @@ def search(df: DataFrame, items: DataFrame) -> DataFrame:
     for index in shards(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in pieces(batches):
                 rows = [(at + d, *rest) for at, some in slices(batch.column("text").to_pylist()) for d, *rest in index.value.hits(some)]
                 row, *made = list(zip(*rows)) or [[]] * 7
                 ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
@@ -190,7 +190,7 @@ def clean(df: DataFrame, items: DataFrame) -> DataFrame:
     for index in shards(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in pieces(batches):
                 bad = {at + d for at, some in slices(batch.column("text").to_pylist()) for d, *_ in index.value.hits(some)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 

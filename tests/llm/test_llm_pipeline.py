@@ -16,6 +16,12 @@ P = pytest.importorskip("public_tokenizers")
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def plain(df):
+    df = df[sorted(df.columns)]
+    known = df.astype(object).where(df.notna(), None)
+    return sorted(repr(tuple(int(x) if isinstance(x, float) else x for x in r)) for r in known.itertuples(index=False, name=None))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
@@ -25,7 +31,6 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     names = sorted(got.columns)
     want = con.execute(entry.oracle_sql()[name]).df()
     assert sorted(want.columns) == names
-    plain = lambda df: sorted(repr(tuple(None if x != x or x is None else int(x) if isinstance(x, float) else x for x in r)) for r in df[names].astype(object).itertuples(index=False, name=None))
     assert plain(got.toPandas()) == plain(want)
 
 
