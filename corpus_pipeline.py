@@ -15,16 +15,25 @@ from orbitflow.llm.common import Scratch
 from orbitflow.llm.queries import RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of an Arrow batch: ten times fewer than Spark's default, as rows are whole texts.
+BATCH = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Hold the memory that batches of texts take in executors and their Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
+    bounded(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest doc_id. Equal rows are one document."""
+    bounded(spark)
     kept = minhash.classes(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     some = docs.select(*COLUMNS)
     return some.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(some.where("doc_id IS NULL"))
@@ -32,11 +41,13 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def untainted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    bounded(spark)
     return decontam.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; null texts stay null."""
+    bounded(spark)
     found = pii.find(docs.select(*COLUMNS))
     text = F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("spans")))
     return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -44,6 +55,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the text decoded from them."""
+    bounded(spark)
     import public_tokenizers
 
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path(RANKS))
