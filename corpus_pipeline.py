@@ -15,6 +15,8 @@ from orbitflow.llm.common import Scratch
 from orbitflow.llm.queries import RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Least similarity of near-duplicates in hundredths.
+NEAR = 80
 #: Rows of an Arrow batch: ten times fewer than Spark's default, as rows are whole texts.
 BATCH = 1000
 
@@ -34,7 +36,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest doc_id. Equal rows are one document."""
     bounded(spark)
-    kept = minhash.classes(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = minhash.classes(docs, least=NEAR).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     some = docs.select(*COLUMNS)
     return some.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(some.where("doc_id IS NULL"))
 

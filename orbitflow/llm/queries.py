@@ -32,7 +32,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(documents(spark, sf_dir))
+    return minhash.classes(documents(spark, sf_dir), least=85)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from conftest import rows_of
 from fixtures import SCHEMA, awkward, frame, plain_near, plain_repeats, reachable, words
 
+import corpus_pipeline
 from orbitflow.llm import embed_dedup, minhash, suffix_dedup
 from orbitflow.llm.common import Scratch
 from orbitflow.llm.components import components
@@ -36,6 +37,39 @@ def test_minhash_blocks_lose_no_link(spark, monkeypatch):
     assert sorted_rows(minhash.classes(frame(spark, rows))) == plain_near(rows)
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_pipeline_links_from_four_fifths_on(spark, monkeypatch, block):
+    """Pairs on both sides of 0.80, most of them under the 0.85 of the query, and a group that is compared in blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        base = words(rng, 204, "abcdefghijklmnop").split()
+        own = list(base)
+        for k in range(i % 12):
+            own[10 + 17 * k] = f"y{i}"
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(own))]
+    base = words(rng, 120, "abcdefghijklmnop").split()
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(120)] = f"x{rng.randrange(999)}"
+        rows.append((2000 + i, " ".join(own)))
+    want = plain_near(rows, 80)
+    assert sorted_rows(minhash.classes(frame(spark, rows), least=80)) == want
+    stage = corpus_pipeline.distinct(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in stage.collect()) == sorted(i for i, _, _, kept in want if kept)
+    assert sum(kept for *_, kept in want) < sum(kept for *_, kept in plain_near(rows, 85))
+
+
+def test_lower_thresholds_take_longer_sketches():
+    assert (minhash.bins_for(85), minhash.estimate_for(85)) == (128, 0.69) and (minhash.bins_for(80), minhash.estimate_for(80)) == (180, 0.65)
+    assert minhash.bins_for(100) == 128
+    for least in (0, 101, 60):
+        with pytest.raises(ValueError):
+            minhash.bins_for(least)
+
+
 def test_sketch_fills_every_coordinate():
     for n in (1, 2, 30, 5000):
         s = minhash.sketch(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
