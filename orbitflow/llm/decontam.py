@@ -9,7 +9,8 @@ A hit is verified on word 5-grams: ``OVERLAP`` of the whole item and half of its
 the passage.
 
 Texts are only mapped over, there is no shuffle. The index is broadcast; items are dealt into shards of about
-``SHARD`` characters, one pass each, so a larger benchmark takes more passes, not more memory.
+``SHARD`` characters, one pass each, so a larger benchmark takes more passes, not more memory. Number, mean length and greatest length of
+items and the items that have a term are counted over all shards, so rows do not depend on how many there are.
 
 Defined results: null or blank texts and items match nothing. Every row is searched, also repeated ones or those without doc_id;
 ``search`` gives a row for each row's item found (best passage, first of equals), ``clean`` the rows with none, as they are.
@@ -20,13 +21,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitflow.llm.common import pieces, slices
+from orbitflow.llm.common import Scratch, pieces, slices
 
 K1, B = 1.2, 0.75
 SCORE = 0.5
@@ -58,18 +61,29 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return all_[:n], all_[n:]
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: how many, their mean and greatest length, and how many have each term (terms of some items suffice)."""
+
+    items: int
+    mean: float
+    longest: int
+    having: dict[str, int]
+
+
 class Index:
-    """Inverted index of some items."""
+    """Inverted index of some items; weights and passages follow the statistics of all, by default these."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], of_all: Statistics | None = None):
         kept = sorted(((i, t) for i, t in items if words(t)), key=lambda x: (x[0] is None, x[0], x[1]))
         self.items, self.vocabulary = [i for i, _ in kept], {}
         tf = [Counter(words(t)) for _, t in kept]
         size = [sum(c.values()) for c in tf]
-        self.stride = max([STRIDE, *size])
-        mean, df = sum(size) / max(1, len(size)), Counter(t for c in tf for t in c)
-        idf = {t: math.log(1 + (len(kept) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        for t in df:
+        of_all = of_all or Statistics(len(kept), sum(size) / max(1, len(size)), max(size, default=0), Counter(t for c in tf for t in c))
+        self.stride, mean = max(STRIDE, of_all.longest), of_all.mean
+        own = sorted({t for c in tf for t in c})  # sums run in this order in every shard
+        idf = {t: math.log(1 + (of_all.items - of_all.having[t] + 0.5) / (of_all.having[t] + 0.5)) for t in own}
+        for t in own:
             self.vocabulary[t] = len(self.vocabulary)
         postings: dict[int, list] = defaultdict(list)
         self.parts = []
@@ -156,15 +170,32 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
+def _counted(batches):
+    for pdf in batches:
+        for lo in range(0, len(pdf), 200):
+            some = pdf.iloc[lo : lo + 200]
+            all_ = [words(t) for t in some["text"]]
+            yield pd.DataFrame({"shard": some["shard"], "n": [len(w) for w in all_], "terms": [sorted(set(w)) for w in all_]})
+
+
 def shards(items: DataFrame) -> list:
     """Broadcast indexes, each of about SHARD characters of items."""
     spark = items.sparkSession
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // SHARD))
-    out = []
+    dealt, of_all, out = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), None, []
+    if n > 1:
+        scratch = Scratch(spark, "decontam")
+        counted = scratch.keep(dealt.select("shard", "text").mapInPandas(_counted, "shard int, n long, terms array<string>").where("n > 0"), "items")
+        number, length, longest = counted.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+        each = counted.select("shard", F.explode("terms").alias("term")).groupBy("shard", "term").count()
+        having = scratch.keep(each.join(each.groupBy("term").agg(F.sum("count").alias("items")), "term").select("shard", "term", "items"), "terms")
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()
-        out.append(spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows])))
+        if n > 1:
+            terms = having.where(F.col("shard") == k).collect()  # no more than the shard's own
+            of_all = Statistics(number, (length or 0) / max(1, number), longest or 0, {r["term"]: r["items"] for r in terms})
+        rows = dealt.where(F.col("shard") == k).select("item_id", "text").collect()
+        out.append(spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], of_all)))
     return out
 
 

@@ -122,6 +122,19 @@ def test_decontamination_in_spark(spark, monkeypatch):
     assert decontam.search(df, none).count() == 0 and decontam.clean(df, none).count() == df.count() and decontam.search(df.limit(0), bench).count() == 0
 
 
+def test_rows_do_not_depend_on_the_number_of_shards(spark, monkeypatch):
+    docs, items = contaminated()
+    long_one = (500, words(random.Random(1), 90) + " ends here.")
+    items.append(long_one)  # sets the passage length, wherever it lies
+    docs.append((501, "before " * 130 + long_one[1]))
+    df, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    want, clean = rows_of(decontam.search(df, bench)), rows_of(decontam.clean(df, bench).select("doc_id", "text"))
+    assert {(d, item): round(score, 9) for d, item, score, *_ in want} == {(docs[d][0], item): score for (d, item), score in plain_hits(docs, items).items()}
+    monkeypatch.setattr(decontam, "SHARD", 500)
+    assert len(decontam.shards(bench)) > 4
+    assert rows_of(decontam.search(df, bench)) == want and rows_of(decontam.clean(df, bench).select("doc_id", "text")) == clean
+
+
 # Revisits
 
 RECORDS = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string, slice int, canonical_url string"
