@@ -148,16 +148,24 @@ def highpass_width(imu_hz: float) -> int:
 
 
 SPECTRUM = "recording_id string, gyro_hz double, gyro_amplitude double, accel_hz double, accel_amplitude double, peaks array<struct<hz:double,amplitude:double>>, gyro_rms array<double>"
-#: Inertial samples in one stretch whose spectrum is taken; longer recordings are averaged over stretches.
+#: Inertial samples, and frequencies, that one task transforms at once.
 STRETCH = 1 << 15
 
 
-def _amplitudes(x: np.ndarray, hz: float) -> tuple[np.ndarray, np.ndarray]:
-    x = x - x.mean(0)
-    win = np.hanning(len(x))
-    f = np.fft.rfftfreq(len(x), 1 / hz)
-    a = np.abs(np.fft.rfft(x * win[:, None], axis=0)) * 2 / win.sum()
-    return f[f > 0.5], a[f > 0.5]
+def _chirp(v: np.ndarray, n: int) -> np.ndarray:
+    return np.exp(-1j * np.pi * ((v * v) % (2 * n)) / n)
+
+
+def partial_dft(x: np.ndarray, start: int, first: int, many: int, n: int) -> np.ndarray:
+    """What samples ``start`` and on of ``n``, the rows of ``x``, add to the frequencies ``first`` and on of the whole transform."""
+    j, m = np.arange(len(x)), np.arange(many)
+    a = x * (_chirp(j, n) * np.exp(-2j * np.pi * ((first * (start + j)) % n) / n))[:, None]
+    size = 1 << (len(x) + many - 2).bit_length()
+    b = np.zeros(size, complex)
+    b[:many] = _chirp(m, n).conj()
+    b[size - len(x) + 1 :] = _chirp(j[1:], n).conj()[::-1]
+    y = np.fft.ifft(np.fft.fft(a, size, axis=0) * np.fft.fft(b)[:, None], axis=0)[:many]
+    return y * (_chirp(m, n) * np.exp(-2j * np.pi * ((m * start) % n) / n))[:, None]
 
 
 def peaks_of(freq: np.ndarray, total: np.ndarray, most: int = 5) -> list[tuple[float, float]]:
@@ -171,40 +179,76 @@ def peaks_of(freq: np.ndarray, total: np.ndarray, most: int = 5) -> list[tuple[f
     return out
 
 
+_AXES = [f"{v}{c}" for v in "ga" for c in "xyz"]
+_SUMS = [*(f"re_{c}" for c in _AXES), *(f"im_{c}" for c in _AXES)]
+
+
 def spectra(imu: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Dominant vibration of each recording with 64 samples at least: frequencies, amplitudes, gyro peaks and residual noise.
 
-    A recording within ``stretch`` samples has one spectrum over all of them; a longer one is cut into equal stretches, each a group of its own,
-    and the strongest stretch speaks for it.
+    Each has one spectrum over all its samples. A task transforms ``stretch`` samples at ``stretch`` frequencies; sums over stretches give the
+    whole transform, and sums of squares the noise, so where a recording is cut changes nothing. Stretches times frequencies grow with the square of a
+    long recording; its peaks are picked in one task, from five numbers a frequency.
     """
     w = Window.partitionBy("recording_id").orderBy("stamp", "seq")
-    n = F.count("*").over(Window.partitionBy("recording_id"))
-    flat = imu.select("recording_id", "stamp", *[F.col(f"{v}.{c}").alias(f"{v[0]}{c}") for v in ("gyro", "accel") for c in "xyz"], F.row_number().over(w).alias("_i"), n.alias("_n"))
-    pieces = flat.withColumn("piece", F.floor((F.col("_i") - 1) * F.ceil(F.col("_n") / stretch) / F.col("_n")))
+    flat = imu.select("recording_id", "stamp", *[F.col(f"{v}.{c}").cast("double").alias(f"{v[0]}{c}") for v in ("gyro", "accel") for c in "xyz"], (F.row_number().over(w) - 1).alias("_i"), (F.col("stamp") - F.lag("stamp").over(w)).alias("_d"))
+    whole = flat.groupBy("recording_id").agg(F.count("*").alias("_n"), F.median("_d").alias("_gap"), *[F.avg(c).alias(f"mean_{c}") for c in _AXES]).where("_n >= 64 AND _gap > 0")
+    # A stretch also gets the neighbours that its moving mean needs.
+    width = F.greatest(F.lit(3.0), F.rint(HIGHPASS_S / F.col("_gap")) + 1)
+    half = F.when(F.col("_n") > 2 * width - 4, F.floor(width / 2 + 1)).otherwise(0)
+    last = F.floor((F.col("_n") - 1) / stretch)
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_i") - half) / stretch)), F.least(last, F.floor((F.col("_i") + half) / stretch)))
+    placed = flat.drop("stamp", "_d").join(whole, "recording_id").withColumn("piece", F.explode(F.when(last == 0, F.array(F.lit(0).cast("long"))).otherwise(near)))
+    placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.floor(F.col("_n") / 2) / stretch))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
-        gap = np.median(np.diff(pdf["stamp"])) if len(pdf) > 1 else 0.0
-        if len(pdf) < 64 or gap <= 0:
-            return pd.DataFrame(columns=[c.split(" ")[0] for c in SPECTRUM.split(", ")])
-        hz = 1 / gap
-        gyro, accel = (pdf[[f"{v}{c}" for c in "xyz"]].to_numpy(float) for v in "ga")
-        width = highpass_width(hz)
-        if len(gyro) <= 2 * width:
-            rest = gyro - gyro.mean(0)
-        else:
-            sums = np.cumsum(np.vstack([np.zeros((1, 3)), gyro]), 0)
-            rest = gyro[width:-width] - ((sums[width:] - sums[:-width]) / width)[width - width // 2 : len(gyro) - width - width // 2]
-        (gf, ga), (af, aa) = _amplitudes(gyro, hz), _amplitudes(accel, hz)
-        if not len(gf):
-            return pd.DataFrame(columns=[c.split(" ")[0] for c in SPECTRUM.split(", ")])
-        i, j = int(ga.sum(1).argmax()), int(aa.sum(1).argmax())
-        peaks = [{"hz": f, "amplitude": a} for f, a in peaks_of(gf, ga.sum(1))]
-        return pd.DataFrame([(pdf["recording_id"].iloc[0], float(gf[i]), float(np.linalg.norm(ga[i])), float(af[j]), float(np.linalg.norm(aa[j])), peaks, np.sqrt((rest**2).mean(0)))], columns=[c.split(" ")[0] for c in ("recording_id gyro_hz gyro_amplitude accel_hz accel_amplitude peaks gyro_rms").split(" ")])
-
-    each = pieces.groupBy("recording_id", "piece").applyInPandas(one, SPECTRUM)
-    best = each.groupBy("recording_id").agg(F.max_by(F.struct(*[c for c in each.columns if c != "recording_id"]), "gyro_amplitude").alias("s"))
-    return best.select("recording_id", "s.*")
+        top = pdf.iloc[0]
+        n, gap, lo, first = int(top["_n"]), float(top["_gap"]), int(top["piece"]) * stretch, int(top["part"]) * stretch
+        at = pdf["_i"].to_numpy()
+        own = (at >= lo) & (at < lo + stretch)
+        if not own.any():
+            return pd.DataFrame(columns=["recording_id", "_n", "_gap", "k", *_SUMS])
+        x = pdf[_AXES].to_numpy(float) - top[[f"mean_{c}" for c in _AXES]].to_numpy(float)
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * at[own] / (n - 1))
+        many = min(stretch, n // 2 + 1 - first)
+        y = np.fft.rfft(x[own] * window[:, None], axis=0) if n <= stretch else partial_dft(x[own] * window[:, None], lo, first, many, n)
+        out = pd.DataFrame(np.hstack([y.real, y.imag]), columns=_SUMS)
+        out.insert(0, "k", np.arange(first, first + len(y)))
+        if first == 0:
+            wide, g = highpass_width(1 / gap), x[:, :3]
+            if n > 2 * wide:
+                inner = np.flatnonzero(own & (at >= wide) & (at < n - wide))
+                sums = np.cumsum(np.vstack([np.zeros((1, 3)), g]), 0)
+                rest = g[inner] - (sums[inner + wide // 2 + 1] - sums[inner - wide // 2]) / wide
+            else:
+                rest = g[own]
+            out.loc[len(out)] = [-1, *(rest**2).sum(0), len(rest), *[0.0] * (len(_SUMS) - 4)]
+        out.insert(0, "_gap", gap)
+        out.insert(0, "_n", n)
+        out.insert(0, "recording_id", top["recording_id"])
+        return out.astype({"k": "int64"})
+
+    sums = placed.groupBy("recording_id", "piece", "part").applyInPandas(one, "recording_id string, _n long, _gap double, k long, " + ", ".join(f"{c} double" for c in _SUMS))
+    sums = sums.groupBy("recording_id", "_n", "_gap", "k").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    size = {c: 2 * F.hypot(f"re_{c}", f"im_{c}") / ((F.col("_n") - 1) / 2) for c in _AXES}
+    of = {"gyro": _AXES[:3], "accel": _AXES[3:]}
+    hz = F.when(F.col("k") >= 0, F.col("k") / (F.col("_n") * F.col("_gap")))
+    noise = F.when(F.col("k") < 0, F.array(*[F.sqrt(F.col(c) / F.col(_SUMS[3])) for c in _SUMS[:3]]))
+    lines = sums.select("recording_id", "k", hz.alias("hz"), *[f.alias(f"{v}_{what}") for v, axes in of.items() for what, f in (("total", sum(size[c] for c in axes)), ("norm", F.sqrt(sum(size[c] ** 2 for c in axes))))], noise.alias("noise")).where("k < 0 OR hz > 0.5")
+
+    def picked(pdf: pd.DataFrame) -> pd.DataFrame:
+        noise = pdf.loc[pdf["k"] < 0, "noise"]
+        f = pdf[pdf["k"] >= 0].sort_values("k")
+        names = "recording_id gyro_hz gyro_amplitude accel_hz accel_amplitude peaks gyro_rms".split(" ")
+        if f.empty:
+            return pd.DataFrame(columns=names)
+        freq, total = f["hz"].to_numpy(), f["gyro_total"].to_numpy()
+        i, j = int(total.argmax()), int(f["accel_total"].to_numpy().argmax())
+        peaks = [{"hz": a, "amplitude": b} for a, b in peaks_of(freq, total)]
+        return pd.DataFrame([(pdf["recording_id"].iloc[0], float(freq[i]), float(f["gyro_norm"].iloc[i]), float(freq[j]), float(f["accel_norm"].iloc[j]), peaks, noise.iloc[0])], columns=names)
+
+    return lines.groupBy("recording_id").applyInPandas(picked, SPECTRUM)
 
 
 def vibration(spectrum: DataFrame, config: Config | None = None, spin_hz: float = SPIN_HZ) -> DataFrame:

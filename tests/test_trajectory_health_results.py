@@ -123,6 +123,41 @@ def test_spectrum_finds_the_shake(spark, stretch):
     assert health.spectra(imu.limit(10)).count() == 0
 
 
+def whole_spectrum(t, gyro, accel):
+    """Frequencies, amplitudes, peaks and noise from transforms over all samples."""
+    hz = 1 / np.median(np.diff(t))
+    f = np.fft.rfftfreq(len(t), 1 / hz)
+    win = np.hanning(len(t))
+    mag = [np.abs(np.fft.rfft((x - x.mean(0)) * win[:, None], axis=0))[f > 0.5] * 2 / win.sum() for x in (gyro, accel)]
+    f = f[f > 0.5]
+    i, j = (int(m.sum(1).argmax()) for m in mag)
+    width = health.highpass_width(hz)
+    if len(t) > 2 * width:
+        rest = (gyro - np.stack([np.convolve(gyro[:, c], np.ones(width) / width, "same") for c in range(3)], 1))[width:-width]
+    else:
+        rest = gyro - gyro.mean(0)
+    return [f[i], np.linalg.norm(mag[0][i]), f[j], np.linalg.norm(mag[1][j]), *np.sqrt((rest**2).mean(0))], health.peaks_of(f, mag[0].sum(1))
+
+
+@pytest.mark.parametrize("n, rate, stretch", [(2003, 250, 1 << 15), (2003, 250, 600), (2000, 250, 50), (1000, 250, 999), (150, 250, 64), (70, 1, 10)])
+def test_spectrum_is_that_of_the_whole_recording(spark, n, rate, stretch):
+    """Gyro and accelerometer are loudest in different places, and two tones are closer than any stretch could part."""
+    rng = np.random.default_rng(n)
+    t, part = np.arange(n) / rate, np.arange(n) / n
+    gyro, accel = rng.normal(0.3, 0.02, (n, 3)), rng.normal(0, 0.05, (n, 3))
+    gyro[:, 0] += np.where(part < 0.3, 0.5, 0.05) * np.sin(2 * np.pi * 0.08 * rate * t) + 0.2 * np.sin(2 * np.pi * (0.08 * rate + 1.4 * rate / n) * t)
+    accel[:, 2] += 9.8 + np.where(part > 0.7, 2.0, 0.0) * np.sin(2 * np.pi * 0.2 * rate * t)
+    rows = [("r", i, float(t[i]), i, (0.0, 0.0, 0.0, 1.0), tuple(map(float, gyro[i])), tuple(map(float, accel[i]))) for i in range(n)]
+    got = health.spectra(spark.createDataFrame(rows, schemas.IMU_SAMPLES), stretch).collect()
+    if rate == 1:
+        assert got == []
+        return
+    want, peaks = whole_spectrum(t, gyro, accel)
+    (s,) = got
+    assert np.allclose([s.gyro_hz, s.gyro_amplitude, s.accel_hz, s.accel_amplitude, *s.gyro_rms], want)
+    assert np.allclose([(p.hz, p.amplitude) for p in s.peaks], peaks)
+
+
 def test_stream_health_skips_empty_scans(spark):
     p = lambda x, t: (float(x), 0.0, 0.0, 1.0, t, 3)
     scans = spark.createDataFrame([("r", 0, 1.0, 0, 2, [p(0, 0.0), p(1, 0.001)]), ("r", 1, 2.0, 1, 0, []), ("r", 2, 3.0, 2, 1, [p(1, 0.0)])], schemas.SCANS)
