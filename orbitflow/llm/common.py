@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,9 +20,11 @@ ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests) a folder of our own."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a folder of our own if driver and executors are one process (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="orbitflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -92,6 +95,25 @@ def maybe_in(df: DataFrame, keys: DataFrame, column: str, key: str | None = None
     return joined if keep_all else joined.where("maybe").drop("maybe")
 
 
+#: Rows of a key from which on ``join_to_keys`` deals them out, and to how many places.
+HOT, SALTS = 2000, 64
+
+
+def join_to_keys(rows: DataFrame, keys: DataFrame, key: str, members: str, spread: str) -> DataFrame:
+    """``rows`` left-joined with ``keys``, which has one row a key and in ``members`` the number of its rows.
+
+    Rows without a key move nowhere. Rows of a key with more than HOT of them are dealt by a hash of ``spread``, to copies of the key's one row. Both
+    sides ask the same filter whether a key is hot, so a false alarm costs copies and loses nothing.
+    """
+    hot = keys.where(F.col(members) > HOT).select(key)
+    left = maybe_in(rows.where(F.col(key).isNotNull()), hot, key, keep_all=True)
+    right = maybe_in(keys, hot, key, keep_all=True)
+    left = left.withColumn("_salt", F.when(F.col("maybe"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("maybe")
+    right = right.withColumn("_salt", F.explode(F.when(F.col("maybe"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("maybe")
+    joined = left.join(right.drop(members), [key, "_salt"], "left").drop("_salt")
+    return joined.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ A hit is verified on word 5-grams: ``OVERLAP`` of the whole item and half of its
 the passage.
 
 Texts are only mapped over, there is no shuffle. The index is broadcast; items are dealt into shards of about
-``SHARD`` characters, one pass each, so a larger benchmark takes more passes, not more memory. Number, mean length and greatest length of
+``SHARD`` characters, one pass each, whose result is written before the next one's index is built, so a larger benchmark takes more passes, not more memory. Number, mean length and greatest length of
 items and the items that have a term are counted over all shards, so rows do not depend on how many there are.
 
 Defined results: null or blank texts and items match nothing. Every row is searched, also repeated ones or those without doc_id;
@@ -21,11 +21,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,52 +181,74 @@ def _counted(batches):
             yield pd.DataFrame({"shard": some["shard"], "n": [len(w) for w in all_], "terms": [sorted(set(w)) for w in all_]})
 
 
-def shards(items: DataFrame) -> list:
-    """Broadcast indexes, each of about SHARD characters of items."""
-    spark = items.sparkSession
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // SHARD))
-    dealt, of_all, out = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), None, []
-    if n > 1:
-        scratch = Scratch(spark, "decontam")
-        counted = scratch.keep(dealt.select("shard", "text").mapInPandas(_counted, "shard int, n long, terms array<string>").where("n > 0"), "items")
-        number, length, longest = counted.agg(F.count("*"), F.sum("n"), F.max("n")).first()
-        each = counted.select("shard", F.explode("terms").alias("term")).groupBy("shard", "term").count()
-        having = scratch.keep(each.join(each.groupBy("term").agg(F.sum("count").alias("items")), "term").select("shard", "term", "items"), "terms")
-    for k in range(n):
-        if n > 1:
-            terms = having.where(F.col("shard") == k).collect()  # no more than the shard's own
+class Shards:
+    """Indexes of about SHARD characters of items each. ``each`` builds and broadcasts one after another; the driver holds one at a time."""
+
+    def __init__(self, items: DataFrame, scratch: Scratch):
+        self.spark, self.scratch = items.sparkSession, scratch
+        total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.n, self.statistics = max(1, -(-total // SHARD)), None
+        self.items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)).cast("int"))
+        if self.n > 1:
+            self.items = scratch.keep(self.items, "items", "shard")
+            counted = scratch.keep(self.items.select("shard", "text").mapInPandas(_counted, "shard int, n long, terms array<string>").where("n > 0"), "counted")
+            self.statistics = counted.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+            each = counted.select("shard", F.explode("terms").alias("term")).groupBy("shard", "term").count()
+            self.having = scratch.keep(each.join(each.groupBy("term").agg(F.sum("count").alias("items")), "term").select("shard", "term", "items"), "terms", "shard")
+
+    def index(self, k: int) -> Index:
+        of_all = None
+        if self.statistics:
+            number, length, longest = self.statistics
+            terms = self.having.where(F.col("shard") == k).collect()  # no more than the shard's own
             of_all = Statistics(number, (length or 0) / max(1, number), longest or 0, {r["term"]: r["items"] for r in terms})
-        rows = dealt.where(F.col("shard") == k).select("item_id", "text").collect()
-        out.append(spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], of_all)))
-    return out
+        rows = self.items.where(F.col("shard") == k).select("item_id", "text").collect()  # about SHARD characters
+        return Index([(r["item_id"], r["text"]) for r in rows], of_all)
 
+    def each(self, work: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+        """What ``work`` makes of each broadcast index; of several ones it is written before the next is built, and the index is destroyed."""
+        for k in range(self.n):
+            index = self.spark.sparkContext.broadcast(self.index(k))
+            made = work(index)
+            if self.n > 1:
+                made = self.scratch.keep(made, "found")
+                index.destroy()
+            yield made
 
-def search(df: DataFrame, items: DataFrame) -> DataFrame:
+
+def _sharded(items: DataFrame, scratch: Scratch | None) -> Shards:
+    return Shards(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), scratch or Scratch(items.sparkSession, "decontam"))
+
+
+def search(df: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap, first_word for each row's items found."""
-    docs, out = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for index in shards(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-        def run(batches, index=index):
+    def found(index):
+        def run(batches):
             for batch in pieces(batches):
                 rows = [(at + d, *rest) for at, some in slices(batch.column("text").to_pylist()) for d, *rest in index.value.hits(some)]
                 row, *made = list(zip(*rows)) or [[]] * 7
                 ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(made, (pa.int64(), *[pa.float64()] * 4, pa.int64())))], names=FOUND)
 
-        found = docs.mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, first_word long")
-        out = found if out is None else out.unionByName(found)
-    return out
+        return docs.mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, first_word long")
 
+    return reduce(DataFrame.unionByName, _sharded(items, scratch).each(found))
 
-def clean(df: DataFrame, items: DataFrame) -> DataFrame:
+
+def clean(df: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Rows of ``df`` in whose ``text`` no item is found."""
-    for index in shards(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
+    left = [df]
 
-        def run(batches, index=index):
+    def kept(index):
+        def run(batches):
             for batch in pieces(batches):
                 bad = {at + d for at, some in slices(batch.column("text").to_pylist()) for d, *_ in index.value.hits(some)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+        return left[0].mapInArrow(run, df.schema)
+
+    for left[0] in _sharded(items, scratch).each(kept):
+        pass
+    return left[0]

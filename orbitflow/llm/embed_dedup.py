@@ -5,7 +5,8 @@ sides. Vectors that share a leaf are compared exactly (double precision), linked
 cosine 0.98 a level tells a pair apart with a probability of about 0.0014, so six trees of ten levels miss one in
 10**11 of the pairs that lie just at the limit, and fewer of the others.
 
-* Equal vectors of a label are one point with a weight: copies never meet each other in a leaf.
+* Equal vectors of a label (by a 128-bit digest) are one point with a weight: copies never meet each other in a leaf, and rows that belong to
+  a point with very many are dealt out where the result goes back to them.
 * A pair that shares several leaves is counted in the first of them only; leaves send counts and a spanning forest of their
   links, never all pairs.
 * Leaves of more than ``BLOCK`` points are compared block by block, one pair of blocks a group.
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitflow.llm.common import Scratch
+from orbitflow.llm.common import Scratch, join_to_keys
 from orbitflow.llm.components import components
 
 COSINE = 0.98
-TREES, LEAF, SPILL = 6, 256, 0.025
+TREES, LEAF, SPILL = 6, 48, 0.025
 SAMPLE, NODES = 20_000, 10
 BLOCK = 1024
 SEED = 7
@@ -138,9 +139,11 @@ def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "embeddings")
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
+    digest = F.unhex(F.md5(F.to_json(F.struct("label", "embedding")).cast("binary")))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
-    points = rows.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    rows = rows.withColumn("key", F.when(usable, digest))
+    points = rows.where("key IS NOT NULL").groupBy("key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     points = scratch.keep(points.withColumn("dim", F.size("embedding")), "points")
     largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     depth = min(40, max(0, math.ceil(math.log(max(1, largest / LEAF)) / math.log(1 / 0.58))))
@@ -159,7 +162,8 @@ def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
                     each = np.split(codes, np.flatnonzero(np.diff(at)) + 1)
                     yield out.assign(code=codes, codes=[each[r] for r in at.tolist()])
 
-    placed = points.mapInPandas(route, T.StructType([*points.schema.fields, T.StructField("code", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType()))]))
+    bare = points.drop("key")
+    placed = bare.mapInPandas(route, T.StructType([*bare.schema.fields, T.StructField("code", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType()))]))
     placed = scratch.keep(placed, "leaves")
     sizes = placed.groupBy("label", "dim", "code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("points")).where("points > 1")
     dealt = placed.join(sizes, ["label", "dim", "code"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -169,10 +173,8 @@ def classes(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     of = components(made.where("a <> b").select("a", "b"), scratch)
     of = scratch.keep(of, "components").select(F.col("node").alias("rep"), "component")
     links = made.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    known = points.select("rep", "label", "embedding", "weight").join(links, "rep", "left").join(of, "rep", "left")
-    known = known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "rep", "component", "weight", "links")
-    mine = F.when(usable, F.struct("label", "embedding"))
-    out = rows.withColumn("key", mine).join(known, (F.col("key.label") == F.col("l")) & (F.col("key.embedding") == F.col("e")), "left")
+    known = points.select("key", "rep", "weight", F.col("weight").alias("copies")).join(links, "rep", "left").join(of, "rep", "left")
+    out = join_to_keys(rows.select("vec_id", "key"), known, "key", "copies", "vec_id")
     component = F.coalesce("component", "rep", "vec_id")
     n = F.coalesce(F.col("weight") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
     return out.select("vec_id", n.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitflow.llm.common import slices, with_columns
+from orbitflow.llm.common import Scratch, slices, with_columns
 
 SLOTS = 1 << 20
 HASHES = 3
 #: A trigram belongs to a language if it is this common there, against the language where it is most common.
 SHARE = 0.2
-LEAST = 3
+#: Trigrams rarer than this share of a language's trigrams are left out: a measure of the language's own size, so that small languages keep theirs.
+RARE = 2e-5
 #: Languages in one mask.
 BITS = 60
 
@@ -113,12 +114,13 @@ class Filters:
         return langs, scores
 
 
-def train(labelled: DataFrame) -> Filters:
+def train(labelled: DataFrame, scratch: Scratch | None = None) -> Filters:
     """Filters from the columns text and lang; rows where either is null are left out."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col("text"), F.col("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by")).cache()  # as many entries as languages
+    by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))  # as many entries as languages
+    by_gram = (scratch or Scratch(spark, "language")).keep(by_gram, "trigrams")
     totals = {r["lang"]: r["n"] for r in by_gram.select(F.explode("by").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
@@ -126,10 +128,9 @@ def train(labelled: DataFrame) -> Filters:
     known = spark.createDataFrame([(x, i // BITS, 1 << (i % BITS), float(totals[x])) for i, x in enumerate(languages)], "lang string, word int, mask long, total double")
     each = by_gram.select("gram", F.explode("by").alias("x")).select("gram", "x.lang", "x.n").join(F.broadcast(known), "lang")
     most = each.groupBy("gram").agg(F.max(F.col("n") / F.col("total")).alias("most"), F.collect_list(F.struct("word", "mask", "n", (F.col("n") / F.col("total")).alias("rate"))).alias("by"))
-    chosen = most.select("gram", "most", F.explode("by").alias("x")).where((F.col("x.rate") >= SHARE * F.col("most")) & (F.col("x.n") >= LEAST))
+    chosen = most.select("gram", "most", F.explode("by").alias("x")).where((F.col("x.rate") >= SHARE * F.col("most")) & (F.col("x.rate") >= RARE))
     by_word = chosen.groupBy("gram", "x.word").agg(F.bit_or("x.mask").alias("mask")).select("gram", "word", "mask")
     filled = by_word.mapInPandas(_slots, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    by_gram.unpersist()
     masks = np.zeros((-(-len(languages) // BITS), SLOTS), np.int64)
     masks[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy()
     return Filters(languages, masks)

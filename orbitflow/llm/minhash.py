@@ -10,8 +10,8 @@ coordinates, so that a pair at the threshold is missed no more often (0.80: 45 b
 * In a bucket every member is paired with a hub, its smallest member, not with every other one. Pairs are verified on the full sets
   of shingle hashes (64 bits), and linked ones merge. Buckets that still hold several components get a second hub; what is
   left is compared in blocks: each member has one home, a block of those around the same hub, and two homes meet once if any bucket has
-  members of both. There pairs of different components whose sketches agree in at least five standard deviations under
-  the threshold (0.69 for 0.85) are verified on the full sets as well, and only a spanning forest of the links leaves. Members of a bucket's largest
+  members of both. There pairs of different components whose sketches agree in a share of coordinates that
+  a pair at the threshold falls short of with a probability of 1e-10 at most (0.60 for 0.85) are verified on the full sets as well, and only a spanning forest of the links leaves. Members of a bucket's largest
   component have homes of their own, which are not compared with each other. No bucket is capped or left out.
 * Texts are shuffled once, those that share a bucket with another only get their sets built again.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitflow.llm.common import Scratch, with_columns
+from orbitflow.llm.common import Scratch, join_to_keys, with_columns
 from orbitflow.llm.components import components
 
 WORDS = 5
@@ -39,6 +39,8 @@ BINS, ROWS = 128, 4
 LEAST = 85
 #: Most coordinates that fit a sketch: 2 * bins rounds have 9 bits.
 MOST_BINS = 252
+#: Bound for the probability that ``estimate_for`` costs a pair.
+MISSED = 1e-10
 #: Members, and shingles, in a block.
 BLOCK, ITEMS = 1024, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -56,9 +58,12 @@ def bins_for(least: int) -> int:
 
 
 def estimate_for(least: int) -> float:
-    """The threshold less five standard deviations of what the sketches estimate, in whole hundredths."""
-    x = least / 100
-    return math.floor(100 * (x - 5 * math.sqrt(x * (1 - x) / bins_for(least)))) / 100
+    """Share of equal coordinates, in whole hundredths, that a pair of similarity ``least`` falls short of with a probability under MISSED (Chernoff's bound)."""
+    x, bins = least / 100, bins_for(least)
+    y = least - 1
+    while y > 1 and bins * (y / 100 * math.log(y / 100 / x) + (1 - y / 100) * math.log((1 - y / 100) / max(1 - x, 1e-9))) < -math.log(MISSED):
+        y -= 1
+    return y / 100
 
 
 class Words(dict):
@@ -185,8 +190,8 @@ def classes(df: DataFrame, scratch: Scratch | None = None, least: int = LEAST) -
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = scratch.keep(with_columns(docs, ["text"], _SKETCH, lambda: _sketches(bins), drop=("text",)), "sketches")
     full = sk.where("same IS NOT NULL AND doc_id IS NOT NULL")
-    same = full.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.keep(full.join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "same", "bands", "bits"), "reps")
+    same = scratch.keep(full.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "same")
+    reps = scratch.keep(full.join(same.select("same", F.col("rep").alias("doc_id")), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "same", "bands", "bits"), "reps")
 
     lines = reps.select("id", "n", F.explode("bands").alias("key"))
     hubs = lines.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -217,8 +222,9 @@ def classes(df: DataFrame, scratch: Scratch | None = None, least: int = LEAST) -
             links = scratch.keep(links.unionByName(_verified(more, sets, least)), "links")
         found = scratch.keep(components(links, scratch), "components")
 
-    of = same.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("c"))
-    out = sk.drop("bands", "bits").join(of, "same", "left")
+    # What stands alone is its own component and needs no join.
+    of = same.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", "rep", "copies", F.coalesce("component", "rep").alias("c")).where("copies > 1 OR c <> rep").drop("rep")
+    out = join_to_keys(sk.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")), of, "same", "copies", "doc_id")
     mine = F.coalesce("c", "doc_id")
     return out.select("doc_id", F.col("n_shingles"), mine.alias("component_id"), F.coalesce(F.col("doc_id") == mine, F.lit(True)).alias("kept"))
 

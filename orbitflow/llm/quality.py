@@ -2,20 +2,23 @@
 
 Two views of a document never see each other's features: the text (how its character classes follow each other, words
 and lines that repeat) and the metadata (source, language, length). Each view has a logistic classifier. In each round every
-classifier labels the pool's documents it is surest of, and the other one learns from them with the labelled ones. In the
-end both are calibrated on labelled documents held out from training, and a logistic combination of the calibrated views
+classifier scores all unlabelled documents and labels those that it is surest of (``SURE``; the ``GROW * round`` surest of either kind), and the other one learns from them with the
+labelled ones. In the end both are calibrated on labelled documents held out from training, and a logistic combination of the calibrated views
 scores every document.
 
-Training takes at most ``LABELLED`` labelled and ``POOL`` unlabelled documents, the first in the order of a hash of doc_id;
-their feature vectors are what the driver gets. Scoring maps over all documents and their whole texts, with no shuffle.
+Features of all documents are computed once and kept in the shared folder; a round is a pass over them, and what is shuffled is an id and two numbers for
+a document. Training takes at most ``LABELLED`` labelled documents, the first in the order of a hash of doc_id; the driver gets their features and those of the
+pseudo-labelled ones. Scoring maps over all documents and their whole texts, with no shuffle.
 
 Defined results: null texts count as empty, null metadata as a value of its own. Without labels of both kinds every document
-scores 0.5 and is kept. Each row gives a row; labels of a doc_id that repeat count each; other columns pass through.
+scores 0.5 and is kept, and so is one that scores exactly 0.5. Each row gives a row; labels of a doc_id that repeat count each; rows with no doc_id are scored, but nothing is
+learned from them; of equally sure documents those with the smaller hash, then the smaller doc_id come first; other columns pass through.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitflow.llm.common import with_columns
+from orbitflow.llm.common import Scratch, with_columns
 
-LABELLED, POOL = 12_000, 12_000
-ROUNDS, SURE, GROW = 4, 0.97, 400
+#: Most labelled documents that are learned from.
+LABELLED = 12_000
+#: Rounds, least confidence of a pseudo-label, and pseudo-labels of a kind that a view adds in each round.
+ROUNDS, SURE, GROW = 3, 0.97, 400
 #: Documents with a lower score go.
 KEEP = 0.5
 #: Share of labelled documents that only calibrate.
@@ -133,25 +138,20 @@ class Logistic:
 class CoTrained:
     """The two views' classifiers, their calibrations and the combination; ``views`` is None if nothing could be learned.
 
-    ``x`` has both views' features of all rows, ``y`` the labels (NaN where there is none), ``held`` the rows that only calibrate.
+    ``x`` has both views' features of the labelled rows, ``y`` their labels, ``held`` those that only calibrate. ``surest(views, most)`` gives for each view the pseudo-labelled
+    rows that it gets from the other one: their features in the view and their labels.
     """
 
-    def __init__(self, x: tuple, y: np.ndarray, held: np.ndarray):
+    def __init__(self, x: tuple, y: np.ndarray, held: np.ndarray, surest: Callable):
         self.views = None
-        known = ~np.isnan(y)
-        train, calibrate, pool = np.flatnonzero(known & ~held), np.flatnonzero(known & held), np.flatnonzero(~known)
+        train, calibrate = np.flatnonzero(~held), np.flatnonzero(held)
         if len(set(y[train])) < 2 or len(set(y[calibrate])) < 2:
             return
-        extra = [(np.zeros(0, np.int64), np.zeros(0))] * 2
+        extra = [(x[v][:0], y[:0]) for v in range(2)]
         for r in range(ROUNDS + 1):
-            views = [Logistic(x[v], np.concatenate([y[train], extra[v][1]]), np.concatenate([train, extra[v][0]])) for v in range(2)]
-            if r == ROUNDS or not len(pool):
-                break
-            for v in range(2):  # what the other view is surest of
-                p = views[1 - v].p(x[1 - v], pool)
-                yes, no = np.argsort(-p, kind="stable")[: GROW * (r + 1)], np.argsort(p, kind="stable")[: GROW * (r + 1)]
-                at = np.concatenate([yes[p[yes] >= SURE], no[p[no] <= 1 - SURE]])
-                extra[v] = (pool[at], (p[at] >= 0.5).astype(float))
+            views = [Logistic(np.concatenate([x[v][train], extra[v][0]]), np.concatenate([y[train], extra[v][1]])) for v in range(2)]
+            if r < ROUNDS:
+                extra = surest(views, GROW * (r + 1))
         self.views = views
         self.scales = [Logistic(views[v].logit(x[v], calibrate)[:, None], y[calibrate]) for v in range(2)]
         self.both = Logistic(self._calibrated(x, calibrate), y[calibrate])
@@ -168,35 +168,68 @@ class CoTrained:
 
 
 _COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
+_PACKED = "doc_id long, a binary, b binary"
+
+
+def _pack(view: np.ndarray) -> list[bytes]:
+    return [zlib.compress(row.tobytes(), 1) for row in view.astype(np.float16)]
+
+
+def _unpack(column) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zlib.decompress, column)), np.float16).reshape(len(column), -1).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Learn from ``labels(doc_id, quality)`` and unlabelled documents."""
+def _features(batches):
+    for pdf in batches:
+        for lo in range(0, len(pdf), 200):
+            part = pdf.iloc[lo : lo + 200]
+            a, b = both_views(list(zip(*(part[c] for c in _COLUMNS[1:]))))
+            yield pd.DataFrame({"doc_id": part["doc_id"], "a": _pack(a), "b": _pack(b)})
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, scratch: Scratch | None = None) -> CoTrained:
+    """Learn from ``labels(doc_id, quality)`` and all unlabelled documents."""
     spark = docs.sparkSession
-    docs = docs.select(*_COLUMNS)
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("y"))
-    some = known.orderBy(F.xxhash64("doc_id"), "y").limit(labelled)
-    others = docs.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id")).limit(pool)
-
-    def features(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), 200):
-                part = pdf.iloc[lo : lo + 200]
-                packed = [[zlib.compress(row.tobytes(), 1) for row in view.astype(np.float32)] for view in both_views(list(zip(*(part[c] for c in _COLUMNS[1:]))))]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "a": packed[0], "b": packed[1]})
-
-    wanted = spark.createDataFrame(some.collect() + [(r["doc_id"], None) for r in others.collect()], "doc_id long, y double")  # LABELLED + POOL rows at most
-    got = docs.join(F.broadcast(wanted), "doc_id").mapInPandas(features, "doc_id long, y double, a binary, b binary")
-    got = got.toPandas().sort_values(["doc_id", "y"])
+    scratch = scratch or Scratch(spark, "quality")
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_COLUMNS[1:]).where("doc_id IS NOT NULL")
+    views = scratch.keep(usable.mapInPandas(_features, _PACKED), "views")
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0.5).cast("double").alias("y"))
+    some = known.join(views.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(labelled)
+
+    def fetched(wanted: list, columns: str) -> pd.DataFrame:
+        """Features of ``wanted`` (doc_id, y), in the order of both; at most ``labelled``, or ``2 * GROW * ROUNDS`` rows and their repetitions."""
+        rows = spark.createDataFrame(wanted, "doc_id long, y double")
+        return views.select("doc_id", *columns).join(F.broadcast(rows), "doc_id").toPandas().sort_values(["doc_id", "y"], ignore_index=True)
+
+    def surest(models: list[Logistic], most: int) -> list[tuple]:
+        shared = spark.sparkContext.broadcast(models)
+
+        def scored(batches):
+            for pdf in batches:
+                for lo in range(0, len(pdf), AT_ONCE):
+                    part = pdf.iloc[lo : lo + AT_ONCE]
+                    made = pd.DataFrame({"doc_id": part["doc_id"], **{f"p{v}": shared.value[v].p(_unpack(part["ab"[v]].tolist())) for v in range(2)}})
+                    yield made[((made[["p0", "p1"]] >= SURE) | (made[["p0", "p1"]] <= 1 - SURE)).any(axis=1)]
+
+        sure = views.mapInPandas(scored, "doc_id long, p0 double, p1 double").join(known.select("doc_id"), "doc_id", "left_anti").distinct()
+        sure = scratch.keep(sure.withColumn("h", F.xxhash64("doc_id")), "sure")
+        out = []
+        for v in range(2):  # what the other view is surest of
+            p = F.col(f"p{1 - v}")
+            yes = sure.where(p >= SURE).orderBy(p.desc(), "h", "doc_id").limit(most).select("doc_id").collect()
+            no = sure.where(p <= 1 - SURE).orderBy(p, "h", "doc_id").limit(most).select("doc_id").collect()
+            got = fetched([*((r["doc_id"], 1.0) for r in yes), *((r["doc_id"], 0.0) for r in no)], "ab"[v])
+            out.append((_unpack(got["ab"[v]].tolist()), got["y"].to_numpy(float)) if len(got) else (x[v][:0], y[:0]))
+        scratch.drop(sure)
+        shared.destroy()
+        return out
+
+    got = fetched([tuple(r) for r in some.collect()], "ab")
     if got.empty:
-        return CoTrained((np.zeros((0, 1)),) * 2, np.zeros(0), np.zeros(0, bool))
-    x = tuple(np.empty((len(got), n), np.float32) for n in (CLASSES * CLASSES + 6, META))
-    for v, c in enumerate("ab"):
-        for i, row in enumerate(got.pop(c)):
-            x[v][i] = np.frombuffer(zlib.decompress(row), np.float32)
+        return CoTrained((np.zeros((0, 1)),) * 2, np.zeros(0), np.zeros(0, bool), surest)
+    x, y = tuple(_unpack(got[c].tolist()) for c in "ab"), got["y"].to_numpy(float)
     held = np.array([zlib.crc32(str(i).encode()) % HELD == 0 for i in got["doc_id"]])
-    y = got["y"].to_numpy(float)
-    return CoTrained(x, np.where(np.isnan(y), np.nan, y > 0.5), held)
+    return CoTrained(x, y, held, surest)
 
 
 def score(df: DataFrame, model: CoTrained) -> DataFrame:

@@ -10,8 +10,10 @@ joins the family: levels of equal size merge, like the digits of a binary counte
 
 *Windows.* A place with its windows is a block. Blocks whose whole bytes occur twice are settled (this is nearly all of copied text,
 thousands of copies meet as one row with a count). Of the rest, windows are hashed and compared with the windows of the
-same suffix's other distinct blocks, in one task for each run of suffixes, or as rows of a shuffle where one suffix has more than
-``CROWD`` distinct blocks. Equality of windows is that of 128-bit hashes.
+same suffix's other distinct blocks: up to ``CROWD`` blocks of a suffix lie in one task. The blocks of a suffix that more surround are sorted by the
+bytes from the place on and then by those before it, read backwards. The common prefixes of neighbours in these two orders bound how far each
+block agrees with any other, only windows within both bounds are left, and these meet as rows of a shuffle. Nothing is left out either way, and no
+task holds more than ``CROWD`` blocks of a suffix. Equality of windows is that of 128-bit hashes.
 
 Texts are shuffled only where a bounded filter says that a document takes part. Every step can be run again after a loss:
 tables lie in the shared folder.
@@ -37,7 +39,8 @@ LENGTH, GRAM, SPAN = 400, 32, 272
 #: Bytes of a suffix that are compared: those that a window always holds from its place on.
 COMPARED = LENGTH - SPAN + 1
 BATCHES = 4
-CROWD = 20_000
+#: Distinct blocks of a suffix that one task compares.
+CROWD = 256
 #: Window starts that are handled at once in a long text.
 PIECE = 1 << 20
 _U = np.uint64
@@ -161,8 +164,13 @@ def _window_hashes(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     row, start, digest = _window_hashes(pdf)
-    _, which, n = np.unique(digest.view("<u8").reshape(-1, 2), axis=0, return_inverse=True, return_counts=True)
-    good = np.flatnonzero((n[which.ravel()] > 1) & (pdf["n"].to_numpy()[row] == 1))
+    a, b = digest.view("<u8").reshape(-1, 2).T
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    equal = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    twice = np.zeros(len(order), bool)
+    twice[order] = np.r_[False, equal] | np.r_[equal, False]
+    good = np.flatnonzero(twice & (pdf["n"].to_numpy()[row] == 1))
     if not len(good):
         return pd.DataFrame({"doc_id": [], "h": [], "start": [], "stop": []}).astype("int64")
     cut = np.flatnonzero((np.diff(row[good]) != 0) | (np.diff(start[good]) != 1)) + 1
@@ -188,14 +196,74 @@ def _settled(batches):
         yield _settle(held)
 
 
+def _sides(batches):
+    """Blocks with the bytes from the place on, and those before it, backwards."""
+    for pdf in batches:
+        at = (pdf["place"] - pdf["first"]).tolist()
+        yield pdf.assign(right=[r[k : k + LENGTH] for r, k in zip(pdf["raw"], at)], left=[r[:k][::-1] for r, k in zip(pdf["raw"], at)])
+
+
+def _common(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """Length of the common prefix of each pair."""
+    n = np.array([min(len(a), len(b)) for a, b in zip(one, two)], np.int64)
+    wide = int(n.max(initial=0))
+    if not wide:
+        return n
+    x, y = (np.frombuffer(b"".join(v[:wide].ljust(wide, b"\0") for v in side), np.uint8).reshape(-1, wide) for side in (one, two))
+    differ = x != y
+    return np.minimum(n, np.where(differ.any(1), differ.argmax(1), wide))
+
+
+def _longest(side: str, out: str):
+    """Adds the longest common prefix of ``side`` with a neighbour of the same suffix, for rows sorted by suffix and side; at the ends of a partition, where a neighbour may
+    lie in another task, the whole length."""
+
+    def run(batches):
+        last = None
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1000):
+                some = pdf.iloc[lo : lo + 1000].reset_index(drop=True)
+                if last is not None:
+                    some = pd.concat([last, some], ignore_index=True)
+                key, own = some["suffix"].tolist(), some[side].tolist()
+                between = np.where([a == b for a, b in zip(key[1:], key[:-1])], _common(own[1:], own[:-1]), 0)
+                before = np.r_[last[out].iloc[0] if last is not None else len(own[0]), between]
+                done = np.maximum(before, np.r_[between, 0]).astype(np.int64)
+                done[-1] = before[-1]
+                last = some.iloc[-1:].assign(**{out: int(before[-1])})
+                if len(some) > 1:
+                    yield some.assign(**{out: done}).iloc[:-1]
+        if last is not None:
+            yield last.assign(**{out: len(last[side].iloc[0])})
+
+    return run
+
+
 def _window_rows(batches):
+    """Hashes of the windows that agree with another block's as far as ``l`` and ``r`` can tell."""
     for pdf in batches:
-        for lo in range(0, len(pdf), 500):
-            some = pdf.iloc[lo : lo + 500].reset_index(drop=True)
+        lo = np.maximum(pdf["first"], pdf["place"] - pdf["l"])
+        hi = np.minimum(pdf["last"], pdf["place"] + pdf["r"] - LENGTH)
+        kept = pdf.assign(raw=[x[a - f :] for x, a, f in zip(pdf["raw"], lo, pdf["first"])], first=lo, last=hi)[(lo <= hi)]
+        for at in range(0, len(kept), 500):
+            some = kept.iloc[at : at + 500].reset_index(drop=True)
             row, start, digest = _window_hashes(some)
             yield pd.DataFrame({"w": [bytes(x) for x in digest.view("V16")], "doc_id": some["doc_id"].to_numpy()[row], "h": some["h"].to_numpy()[row], "start": start})
 
 
+def _crowded(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """Spans of the blocks (with ``raw``) of suffixes that many distinct blocks surround."""
+    n, two = parts(scratch.spark), "right binary, left binary"
+    sided = blocks.mapInPandas(_sides, f"{_BLOCK_TYPES}, {two}")
+    # The order of doc_id spreads blocks that are alike on one side over several tasks.
+    for side, out, types in (("right", "r", f"{_BLOCK_TYPES}, {two}, r long"), ("left", "l", f"{_BLOCK_TYPES}, {two}, r long, l long")):
+        keys = ["suffix", side, "doc_id", "h", "place"]
+        sided = scratch.keep(sided, "crowd").repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInPandas(_longest(side, out), types)
+    rows = scratch.keep(sided.drop("left", "right").mapInPandas(_window_rows, "w binary, doc_id long, h long, start long"), "windows")
+    twice = rows.groupBy("w").count().where("count > 1").select("w")
+    return maybe_in(rows, twice, "w").join(twice, "w", "left_semi").select("doc_id", "h", "start", (F.col("start") + LENGTH).alias("stop"))
+
+
 def _cut():
     """Texts without their spans, merged."""
 
@@ -211,8 +279,9 @@ def _cut():
             for a, b in merged:
                 out.append(raw[at:a])
                 at = b
-            rows.append((len(raw), b"".join([*out, raw[at:]]), [{"start": a, "stop": b} for a, b in merged]))
-        return list(zip(*rows)) or [[]] * 3
+            kept = b"".join([*out, raw[at:]])
+            rows.append((len(raw), kept, [{"start": a, "stop": b} for a, b in merged], text if text is None else kept.decode(errors="replace")))
+        return list(zip(*rows)) or [[]] * 4
 
     return run
 
@@ -247,14 +316,13 @@ def _repeats(docs: DataFrame, scratch: Scratch, batches: int) -> DataFrame:
     spans = whole.unionByName(settled)
     crowded = want.where(f"k > {CROWD}")
     if not crowded.isEmpty():
-        rows = scratch.keep(raw(crowded).mapInPandas(_window_rows, "w binary, doc_id long, h long, start long"), "windows")
-        twice = rows.groupBy("w").count().where("count > 1").select("w")
-        spans = spans.unionByName(rows.join(twice, "w", "left_semi").select("doc_id", "h", "start", (F.col("start") + LENGTH).alias("stop")))
+        spans = spans.unionByName(_crowded(raw(crowded), scratch))
     return scratch.keep(spans, "spans")
 
 
 def remove_repeats(df: DataFrame, scratch: Scratch | None = None, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_bytes, kept (binary: the remaining bytes) and spans (removed runs) for each row of ``df(doc_id, text)``."""
+    """doc_id, n_bytes, kept (binary: the remaining bytes), spans (removed runs) and text (what remains, characters cut in two as U+FFFD; null stays null)
+    for each row of ``df(doc_id, text)``."""
     scratch = scratch or Scratch(df.sparkSession, "suffix")
     docs = df.select(F.col("doc_id").cast("long").alias("own_id"), "text", F.xxhash64("text").alias("h"))
     # Inside, a null id is the smallest number: rows that then look alike have the same text, and so the same result.
@@ -262,8 +330,8 @@ def remove_repeats(df: DataFrame, scratch: Scratch | None = None, batches: int =
     by_doc = _repeats(docs, scratch, batches).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     flagged = maybe_in(docs, by_doc, "h", keep_all=True)
     joined = flagged.where("maybe").join(by_doc, ["doc_id", "h"], "left").select(F.col("own_id").alias("doc_id"), "text", "spans")
-    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", T._parse_datatype_string(SPANS))]
-    cut = with_columns(joined, ["text", "spans"], fields, _cut, drop=("text",))
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    plain = flagged.where("NOT maybe").select(F.col("own_id").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("kept"), F.array().cast(SPANS).alias("spans"))
+    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", T._parse_datatype_string(SPANS)), T.StructField("text", T.StringType())]
+    cut = with_columns(joined, ["text", "spans"], fields, _cut)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    plain = flagged.where("NOT maybe").select(F.col("own_id").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias("kept"), F.array().cast(SPANS).alias("spans"), "text")
     return cut.unionByName(plain)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ from conftest import rows_of
 from fixtures import SCHEMA, awkward, frame, plain_near, plain_repeats, reachable, words
 
 import corpus_pipeline
-from orbitflow.llm import embed_dedup, minhash, suffix_dedup
+from orbitflow.llm import common, embed_dedup, minhash, queries, suffix_dedup
 from orbitflow.llm.common import Scratch
 from orbitflow.llm.components import components
 
@@ -63,7 +64,7 @@ def test_pipeline_links_from_four_fifths_on(spark, monkeypatch, block):
 
 
 def test_lower_thresholds_take_longer_sketches():
-    assert (minhash.bins_for(85), minhash.estimate_for(85)) == (128, 0.69) and (minhash.bins_for(80), minhash.estimate_for(80)) == (180, 0.65)
+    assert (minhash.bins_for(85), minhash.estimate_for(85)) == (128, 0.60) and (minhash.bins_for(80), minhash.estimate_for(80)) == (180, 0.57)
     assert minhash.bins_for(100) == 128
     for least in (0, 101, 60):
         with pytest.raises(ValueError):
@@ -89,22 +90,36 @@ def test_components_of_chains_and_stars(spark):
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(3)
     part = [words(rng, 300) for _ in range(4)]
-    rows = [r for r in awkward() if r[0] not in (7, 8)] + [(500, part[0] + part[1]), (501, "é" + part[1] + part[2]), (502, part[3][:399]), (503, part[3][:400] + "ü" + part[3][:400]), (504, "a" * 900), (505, "ab" * 401), (506, part[2][5:] + part[0][:-3])]
-    got = suffix_dedup.remove_repeats(frame(spark, rows))
-    mine = sorted([(r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got.collect()], key=repr)
-    assert mine == sorted(plain_repeats(rows), key=repr)
+    rows = awkward() + [(500, part[0] + part[1]), (501, "é" + part[1] + part[2]), (502, part[3][:399]), (503, part[3][:400] + "ü" + part[3][:400]), (504, "a" * 900), (505, "ab" * 401), (506, part[2][5:] + part[0][:-3])]
+    assert repeats(frame(spark, rows)) == sorted(plain_repeats(rows), key=repr)
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_repeats_where_one_place_is_crowded(spark, monkeypatch):
-    """The same short stretch before ever different neighbours takes the path of crowded places."""
+def repeats(df, **options):
+    got = suffix_dedup.remove_repeats(df, **options)
+    return sorted([(r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got.collect()], key=repr)
+
+
+@pytest.mark.parametrize("shared", [250, 80, 130])
+def test_repeats_where_one_place_is_crowded(spark, monkeypatch, shared):
+    """The same stretch, long enough or too short, before ever different neighbours takes the path of crowded places."""
     monkeypatch.setattr(suffix_dedup, "CROWD", 3)
     rng = random.Random(4)
-    middle = words(rng, 250)
+    middle, side = words(rng, shared), words(rng, 60)
     rows = [(i, words(rng, 100) + middle + words(rng, 100)) for i in range(12)] + [(50, middle[:500]), (51, middle[100:])]
-    got = suffix_dedup.remove_repeats(frame(spark, rows), batches=3)
-    mine = sorted([(r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got.collect()], key=repr)
-    assert mine == sorted(plain_repeats(rows), key=repr)
+    rows += [(60 + i, words(rng, 30) + side[-20 * i :] + middle + side[: 15 * i] + words(rng, 30)) for i in range(9)] + [(80, rows[3][1])]
+    assert repeats(frame(spark, rows), batches=3) == sorted(plain_repeats(rows), key=repr)
+
+
+def test_repeats_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    part = [words(rng, 200, "abé") for _ in range(5)]
+    rows = awkward() + [(600 + i, words(rng, 20) + rng.choice(part) + words(rng, 20)) for i in range(20)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_suffix_dedup(spark, str(tmp_path)).collect()
+    want = sorted(((*r[:4], hashlib.sha256(r[4]).hexdigest(), r[4].decode(errors="replace")) for r in plain_repeats(rows)), key=repr)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.text or "") for r in got), key=repr) == want
+    assert sum(r.text is None for r in got) == sum(t is None for _, t in rows)
 
 
 def plain_vectors(rows):
@@ -135,6 +150,32 @@ def test_embeddings_equal_all_pairs(spark, monkeypatch, leaf):
     assert got == plain_vectors(single)
 
 
+def test_hot_groups_of_copies_are_dealt_out(spark, monkeypatch):
+    """The same classes where every group of copies counts as hot."""
+    rows = awkward() + [(2000 + i, "many copies of one text here") for i in range(40)] + [(3000 + i, None) for i in range(40)]
+    monkeypatch.setattr(common, "HOT", 1)
+    assert sorted_rows(minhash.classes(frame(spark, rows))) == plain_near(rows)
+    vectors = [(i, [1.0 + (i % 3), 2.0], 1) for i in range(60)] + [(100 + i, None, 1) for i in range(20)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.classes(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == plain_vectors(vectors)
+
+
+@pytest.mark.parametrize("dim, spread", [(64, 1.0), (8, 1.0), (64, 0.05)])
+def test_forest_finds_the_links_of_thousands_of_vectors(spark, dim, spread):
+    """Isotropic vectors of many and few dimensions, and vectors huddled around a few directions; depth 6 at least."""
+    rng = np.random.default_rng(dim)
+    n = 4000
+    base = rng.normal(size=(20, dim))[rng.integers(0, 20, n)] / spread if spread < 1 else np.zeros((n, dim))
+    v = base * spread * 3 + rng.normal(size=(n, dim))
+    v[n // 2 :] = v[: n // 2] + rng.normal(size=(n // 2, dim)) * rng.uniform(0.02, 0.25, (n // 2, 1)) * np.linalg.norm(v[: n // 2], axis=1, keepdims=True) / dim**0.5
+    v = v.astype(np.float32)
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embed_dedup.classes(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
+    mine = np.array([got[i] for i in range(n)])
+    assert links.sum() > 500 and (mine <= links).all() and mine.sum() >= 0.999 * links.sum()
+
+
 def test_embeddings_without_rows_or_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embed_dedup.classes(spark.createDataFrame([], schema)).count() == 0
