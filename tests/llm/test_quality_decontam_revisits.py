@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -31,6 +32,41 @@ def test_quality_learns_and_keeps_every_row(spark):
     assert got.where(f"doc_id = {BIG}").count() == 1 and got.where("doc_id IS NULL").count() == 2
 
 
+def plain_co_training(rows, labels):
+    """Both views of every document in memory: doc_id to score."""
+    rows = [r for r in rows if r[0] is not None]
+    x = [np.stack(v).astype(np.float16).astype(np.float32) for v in quality.both_views([r[1:] for r in rows])]
+    ids = np.array([r[0] for r in rows])
+    of = dict(zip(ids.tolist(), range(len(ids))))
+    known = sorted((i, float(q > 0.5)) for i, q in labels if i in of and q is not None)
+    at, y = np.array([of[i] for i, _ in known]), np.array([q for _, q in known])
+    held = np.array([zlib.crc32(str(i).encode()) % quality.HELD == 0 for i, _ in known])
+    pool = np.array([k for k, i in enumerate(ids.tolist()) if i not in dict(known)])
+
+    def surest(views, most):
+        out = []
+        for v in range(2):
+            p = views[1 - v].p(x[1 - v][pool])
+            yes, no = np.argsort(-p, kind="stable")[:most], np.argsort(p, kind="stable")[:most]
+            chosen = sorted([(ids[pool[k]], pool[k], 1.0) for k in yes if p[k] >= quality.SURE] + [(ids[pool[k]], pool[k], 0.0) for k in no if p[k] <= 1 - quality.SURE])
+            out.append((x[v][[k for _, k, _ in chosen]], np.array([c for *_, c in chosen])))
+        return out
+
+    return quality.CoTrained(tuple(v[at] for v in x), y, held, surest)
+
+
+def test_quality_equals_co_training_in_memory(spark, monkeypatch):
+    """Fewer than GROW sure documents a kind, so that no tie decides; every unlabelled document takes part."""
+    rows = labelled(600)
+    docs = frame(spark, [(i, t) for i, t, _ in rows])
+    labels = [(i, q) for i, _, q in rows[:200]]
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    full = [(r.doc_id, r.text, r.source, r.lang, r.n_chars) for r in docs.collect()]
+    want = plain_co_training(full, labels)
+    x = quality.both_views([r[1:] for r in full])
+    assert np.allclose(model.score(x), want.score(x), atol=1e-6) and len(set(np.round(want.score(x)[:, 2], 6))) > 3
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, awkward())
     for labels in ([], [(1, 1)]):
