@@ -1,17 +1,17 @@
 """Licence scanning by diagonal voting, in DataFrame functions only.
 
-Words of the templates and of every text are cut into rolling k-grams (k = 2, the length of the shortest phrase). An
+Words of the templates (phrases, short statements, whole licence texts) and of every text are cut into rolling k-grams (k = 2, the length of the shortest phrase). An
 equi-join of gram hashes (and the grams themselves, so that a collision of hashes cannot vote) gives a vote for each
 (text position, template position) pair; votes with the same difference lie on one diagonal. Neighbouring diagonals of a
 template, which an inserted or lost word tears apart, are merged; a merged run is verified by the share of the template's
 grams that it holds. Phrases are matched if one diagonal holds all their grams without a gap, that is, if the words stand
-there one after another.
+there one after another. In statements and licence texts grams of two very common words do not vote, as they would stand on every diagonal.
 
-The templates are a fixed list and are broadcast (some hundred rows). Texts are read once; what is shuffled is one
+The templates are a fixed list and are broadcast (some thousand rows). Texts are read once; what is shuffled is one
 row for each document and hits, which are few. A text's grams are never gathered again.
 
 Defined results: a null text is the empty text (no words); each row gives one row, also when rows or doc_ids repeat or
-doc_id is null; extra columns are ignored.
+doc_id is null; extra columns are ignored. A run that holds exactly ``ENOUGH`` of a template counts; the score is that of the best run, 0 without any.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbitflow.llm.license_texts import STATEMENTS, TEXTS
+
 K = 2
 #: Diagonals at most this far apart are neighbours, if their votes are near in the text as well.
 SLACK = 3
@@ -27,33 +29,19 @@ NEAR = 12
 ENOUGH = 0.75
 # Phrases of the contract and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Well-known sentences of licence notices and their labels.
-NOTICES = [
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit"),
-    ("released under the mit license", "mit"),
-    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("all rights reserved no part of this publication may be reproduced without prior written permission", "proprietary"),
-]
+# Words of which two in a row do not vote for statements and licence texts.
+COMMON = frozenset("a an and any are as at be by for from in is it may no not of on or that the this to under with you your".split())
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """template, label, phrase (whether it is one of the contract's), tpos, size (grams) and gram."""
+    """template, label, phrase (whether it is one of the contract's), tpos, size (grams that vote) and gram."""
     rows = []
-    for i, (words, label, phrase) in enumerate([*((p, x, True) for p, x in PHRASES.items()), *((p, x, False) for p, x in NOTICES)]):
+    for i, (words, label, phrase) in enumerate([*((p, x, True) for p, x in PHRASES.items()), *((p, x, False) for p, x in STATEMENTS + TEXTS)]):
         w = words.split()
-        rows += [(i, label, phrase, j, len(w) - K + 1, " ".join(w[j : j + K])) for j in range(len(w) - K + 1)]
+        own = [j for j in range(len(w) - K + 1) if phrase or not COMMON.issuperset(w[j : j + K])]
+        rows += [(i, label, phrase, j, len(own), " ".join(w[j : j + K])) for j in own]
     return spark.createDataFrame(rows, "template int, label string, phrase boolean, tpos int, size int, tgram string")
 
 

@@ -36,7 +36,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
     counts = [F.size(pii.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
@@ -113,20 +113,22 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d JOIN classes c ON d.doc_id = c.id LEFT JOIN n ON n.id = d.doc_id
 """,
     "op9_warc_revisits": r"""
-WITH a AS (
-  SELECT page_id, md5(coalesce(html, '')) AS digest, substr(md5(coalesce(url, '')), 1, 1) AS c,
-         regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages
+WITH a0 AS (
+  SELECT page_id AS n, page_id % 3 < 2 AS shared, CASE WHEN page_id % 3 = 0 THEN 'hot.example/all' ELSE 'site' || (page_id % 97) || '.example/p' END AS host,
+         url AS own_url, md5(coalesce(html, '')) AS own, (page_id * 7 + page_id // 10) % 10 AS c, page_id + page_id * 7919 % 1000 AS asked FROM pages
+), a1 AS (
+  SELECT *, CASE WHEN shared THEN CASE n % 4 WHEN 0 THEN 'http://' || host WHEN 1 THEN 'HTTPS://www.' || host || '/' WHEN 2 THEN host || '?utm_source=p' ELSE 'https://u@' || host || '?ref=a#top' END ELSE own_url END AS url,
+         CASE WHEN shared THEN 'v' || (n // 40) ELSE substr(own, 1, 16) END AS v, CASE WHEN shared THEN 'v' || (asked // 40) ELSE substr(own, 1, 16) END AS asked_v FROM a0
+), a AS (
+  SELECT *, regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM a1
 ), b AS (
-  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') AS host,
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') AS site,
          regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
          regexp_replace(regexp_replace('&' || regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&+', '') AS q FROM a
-), p AS (
-  SELECT page_id, digest, c, host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u, '"' || substr(digest, 1, 16) || '"' AS tag, 't' || page_id AS lm FROM b
-), r AS (
-  SELECT page_id * 2 + 1 AS record_id, u, page_id * 2 + 1 AS ts, page_id,
-         CASE WHEN c IN ('2', '3') THEN '"other"' WHEN c NOT IN ('4', '5', '6', '7', '8') THEN 'W/' || tag END AS own_tag,
-         CASE WHEN c IN ('4', '5') THEN lm END AS own_lm, CASE WHEN c IN ('7', '8') THEN digest END AS own_digest FROM p
-), f AS (SELECT page_id * 2 AS fid, u, page_id * 2 AS fts, tag, lm, digest FROM p WHERE c NOT IN ('0', '1')),
+), p AS (SELECT *, site || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u FROM b), r AS (
+  SELECT n * 2 + 1 AS record_id, u, asked * 10 + 5 AS ts, n, CASE WHEN c = 2 THEN '"other"' WHEN c NOT BETWEEN 4 AND 8 THEN 'W/"' || asked_v || '"' END AS own_tag,
+         CASE WHEN c IN (4, 5) THEN asked_v END AS own_lm, CASE WHEN c IN (7, 8) THEN md5(asked_v) END AS own_digest FROM p
+), f AS (SELECT n * 2 AS fid, u, n * 10 AS fts, '"' || v || '"' AS tag, v AS lm, md5(v) AS digest FROM p WHERE c >= 2),
 m AS (SELECT r.*, f.fid, f.tag, f.lm, f.digest FROM r ASOF LEFT JOIN f ON r.u = f.u AND r.ts >= f.fts),
 s AS (
   SELECT *, CASE WHEN fid IS NULL THEN 'unresolved'
@@ -136,7 +138,7 @@ s AS (
                  ELSE 'unverified' END AS state FROM m
 )
 SELECT record_id, u AS canonical_url, ts, fid AS response_id, state,
-       CASE WHEN state = 'resolved' THEN 'content-type=text/html;date=r' || page_id || ';etag=' || coalesce(own_tag, tag) || ';last-modified=' || lm END AS headers
+       CASE WHEN state = 'resolved' THEN 'content-type=text/html;date=r' || n || ';etag=' || coalesce(own_tag, tag) || ';last-modified=' || lm END AS headers
 FROM s
 """,
 }

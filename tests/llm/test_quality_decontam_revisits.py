@@ -181,7 +181,7 @@ def plain_revisits(records):
         if r[3] != "revisit":
             continue
         before = [x for x in records if x[3] == "response" and x[4] == 200 and canon(x[1]) == canon(r[1]) and (x[2] or 0) <= (r[2] or 0)]
-        to = max(before, key=lambda x: (x[2] or 0, x[0]), default=None)
+        to = max(before, key=lambda x: (x[2] or 0, x[0] is not None, x[0] or 0), default=None)
         h = r[5] or {}
         if to is None:
             state = "unresolved"
@@ -208,7 +208,9 @@ def canon(url):
     return host + (("/" + path).rstrip("/") if rest else "") + ("?" + kept if kept else "")
 
 
-def test_revisits_equal_a_search_of_all_records(spark):
+@pytest.mark.parametrize("most", [250_000, 3])
+def test_revisits_equal_a_search_of_all_records(spark, monkeypatch, most):
+    monkeypatch.setattr(revisit, "ROWS", most)
     rng = random.Random(6)
     urls = ["http://A.com/x", "https://www.a.com/x/", "a.com/x?utm_source=1#top", "http://b.org:80/p?q=1&ref=z", "https://u@b.org/p?q=1", None, ""]
     rows = []
@@ -220,6 +222,7 @@ def test_revisits_equal_a_search_of_all_records(spark):
         else:
             own = rng.choice([{"etag": "W/" + tag, "date": "d", "server": "z"}, {"last-modified": tag, "vary": "v"}, {}, None])
             rows.append((i, url, rng.choice([rng.randrange(300), None]), "revisit", 304, own, rng.choice([tag, None]), 1, "x"))
+    rows += [(None, urls[0], 150, "response", 200, {"etag": "a"}, "a", 1, "x"), (None, urls[0], 151, "revisit", 304, {"etag": "a"}, None, 1, "x"), (None, None, None, None, None, None, None, None, None)]
     got = revisit.resolve(spark.createDataFrame(rows, RECORDS)).select("record_id", "response_id", "state", "headers")
     assert sorted(map(tuple, got.collect()), key=repr) == plain_revisits(rows)
     assert {r[2] for r in plain_revisits(rows)} == {"resolved", "changed", "unverified", "unresolved"}
@@ -229,4 +232,16 @@ def test_revisits_equal_a_search_of_all_records(spark):
 def test_captures_of_pages(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>"), (2, None, None), (None, "x", "y"), (1, "http://a/", "<p>")], "page_id long, url string, html string")
     assert revisit.resolve(revisit.captures(pages)).count() == 4
+
+
+def test_captures_look_back_over_others(spark, sf_dir):
+    """States of every kind, and most resolved to another page's response."""
+    got = revisit.resolve(revisit.captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))).collect()
+    assert {r.state for r in got} == {"resolved", "changed", "unverified", "unresolved"}
+    others = [r for r in got if r.response_id is not None and r.response_id != r.record_id - 1]
+    assert len(others) > len(got) / 4 and any(r.state == "resolved" for r in others)
+
+
+def test_captures_without_pages(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert rows_of(revisit.captures(pages.limit(0))) == []

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orbitflow.llm import bpe, langid, licenses, pii, queries
+from orbitflow.llm.license_texts import STATEMENTS, TEXTS
 
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -134,13 +135,13 @@ def plain_license(text):
 
 
 def test_licenses(spark):
-    texts = ["MIT License and the Apache license, CC-BY 4.0; the GNU General Public License", "cc by cc by cc by", "mit licenses mit  license", "émit license", "apache", "gnu general public gnu general public license", "", None, "mit license " * 3000, " ".join(licenses.NOTICES[0][0].split()), "Permission is hereby granted, free of charge, to any random person obtaining a copy of this great software and associated documentation files (the Software), to deal in the Software without restriction"]
+    texts = ["MIT License and the Apache license, CC-BY 4.0; the GNU General Public License", "cc by cc by cc by", "mit licenses mit  license", "émit license", "apache", "gnu general public gnu general public license", "", None, "mit license " * 3000, STATEMENTS[0][0], " ".join("great " + x if x == "software" else x for x in TEXTS[0][0].split())]
     rows = awkward() + [(800 + i, t) for i, t in enumerate(texts)]
     got = licenses.report(frame(spark, rows)).collect()
     want = sorted([(i, *plain_license(t)) for i, t in rows], key=repr)
     assert sorted([tuple(r)[:6] for r in got], key=repr) == want
     by = {r.doc_id: r for r in got}
-    assert by[810].labels == "mit" and by[810].n_base == 0 and 0.75 <= by[810].score < 1 and by[809].score == 1.0
+    assert by[810].labels == "mit" and by[810].n_base == 0 and 0.75 <= by[810].score <= 1 and by[809].score == 1.0
     assert all(set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1 for r in got)
     assert licenses.report(spark.createDataFrame([], SCHEMA)).count() == 0
 
