@@ -55,3 +55,43 @@ def stream_stats(messages: DataFrame, scan_maxlen: int = 360, imu_maxlen: int =
         scans.alias("scans_received"), imu.alias("imu_received"), F.greatest(scans - scan_maxlen, F.lit(0)).cast("long").alias("scans_dropped"), F.greatest(imu - imu_maxlen, F.lit(0)).cast("long").alias("imu_dropped"),
         F.least(scans, F.lit(scan_maxlen)).alias("scans_held"), F.least(imu, F.lit(imu_maxlen)).alias("imu_held"), count(F.col("msg_type").isNull()).alias("unparsed"),
     )
+
+
+def snapshot(df: DataFrame, maxlen: int, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """What the buffer holds, oldest first by ``rank``; nothing is consumed."""
+    return latest_n(df, maxlen, keys=keys, order=order)
+
+
+# A consumer's state is a table of offsets (keys, ``upto``: the order of the newest row that it has seen). Rows and offsets are tables, so what one consumer takes leaves
+# others alone, and a step that is run again after a failure hands over the same rows.
+
+
+def unread(df: DataFrame, offsets: DataFrame | None, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """Rows beyond a consumer's offsets; all for keys without one."""
+    if offsets is None:
+        return df
+    return df.join(offsets.select(*keys, "upto"), keys, "left").where(F.col("upto").isNull() | (F.col(order) > F.col("upto"))).drop("upto")
+
+
+def advanced(df: DataFrame, offsets: DataFrame | None, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """The offsets after everything in ``df`` was seen."""
+    now = df.groupBy(*keys).agg(F.max(order).alias("upto"))
+    return now if offsets is None else now.unionByName(offsets.select(*keys, "upto")).groupBy(*keys).agg(F.max("upto").alias("upto"))
+
+
+def drain(df: DataFrame, offsets: DataFrame | None, maxlen: int, keys: list[str] = KEYS, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(rows, offsets): each row is handed over once, oldest first by ``rank``, unless more than ``maxlen`` came in between, when the oldest are lost."""
+    return latest_n(unread(df, offsets, keys, order), maxlen, keys=keys, order=order), advanced(df, offsets, keys, order)
+
+
+def newest_unseen(df: DataFrame, offsets: DataFrame | None, keys: list[str] = KEYS, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(rows, offsets): the newest row of each key with any that the consumer has not seen; the others in between count as seen."""
+    return latest(unread(df, offsets, keys, order), keys, order), advanced(df, offsets, keys, order)
+
+
+def cleared(df: DataFrame, offsets: DataFrame, maxlen: int, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """Counters of a buffer that was emptied at ``offsets``: received goes on counting, held starts afresh, rows lost to a full buffer stay counted."""
+    late = F.col("upto").isNull() | (F.col(order) > F.col("upto"))
+    marked = df.join(offsets.select(*keys, "upto"), keys, "left")
+    before, after = F.count(F.when(~late, 1)), F.count(F.when(late, 1))
+    return marked.groupBy(*keys).agg((before + after).alias("received"), F.least(after, F.lit(maxlen)).alias("held"), (F.greatest(before - maxlen, F.lit(0)) + F.greatest(after - maxlen, F.lit(0))).cast("long").alias("dropped"))

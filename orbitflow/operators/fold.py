@@ -57,11 +57,15 @@ def _fields(schema: str) -> list[str]:
 
 
 def rotated(xyz: np.ndarray, q: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(q)
-    x, y, z, w = q / n if n >= 1e-12 else (0.0, 0.0, 0.0, 1.0)
-    u = np.array([x, y, z])
-    t = 2 * np.cross(u, xyz)
-    return xyz + w * t + np.cross(u, t)
+    """Points turned by a quaternion (x, y, z, w) of any length; one of no length turns nothing."""
+    q = np.asarray(q, np.float64)
+    size = float(q @ q)
+    if size < 1e-24:
+        return xyz.copy()
+    (x, y, z), w = q[:3], q[3]
+    cross = np.array([[0.0, -z, y], [z, 0.0, -x], [-y, x, 0.0]])
+    turn = np.eye(3) + (2 / size) * (w * cross + cross @ cross)
+    return xyz @ turn.T
 
 
 class Batcher:

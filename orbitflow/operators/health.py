@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orbitflow.config import Config
 from orbitflow.functions import geometry as G
+from orbitflow.operators.sliced import ROWS, by_number, by_stamp, neighbours, numbered, quantiles, running_sum
 
 # Thresholds of the checks.
 NEAR, FAR = 0.30, 1.5
@@ -23,13 +24,14 @@ KEYS = ["recording_id"]
 
 
 def _gaps(df: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("stamp", "seq")
-    return df.select(*keys, "stamp", (F.col("stamp") - F.lag("stamp").over(w)).alias("gap"))
+    known = neighbours(df.select(*keys, "stamp", "seq"), keys, ["stamp", "seq"], by_stamp(), ["stamp"])
+    return known.select(*keys, "stamp", (F.col("stamp") - F.col("_prev.stamp")).alias("gap"))
 
 
 def imu_rate(imu: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """imu_hz, the inverse of the median gap between sorted stamps."""
-    return _gaps(imu, keys).groupBy(*keys).agg(F.median("gap").alias("_gap"), F.count("*").alias("imu_samples")).select(*keys, "imu_samples", F.when(F.col("_gap") > 0, 1 / F.col("_gap")).alias("imu_hz"))
+    per = imu.groupBy(*keys).agg(F.count("*").alias("imu_samples")).join(quantiles(_gaps(imu, keys), keys, "gap", {"_gap": 0.5}), keys, "left")
+    return per.select(*keys, "imu_samples", F.when(F.col("_gap") > 0, 1 / F.col("_gap")).alias("imu_hz"))
 
 
 def stream_health(scans: DataFrame, imu: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -48,21 +50,20 @@ def stream_health(scans: DataFrame, imu: DataFrame, keys: list[str] = KEYS) -> D
         F.max(F.array_max(times) - F.array_min(times)).alias("time_spread"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.transform("points", lambda p: p["ring"])))))).alias("rings"),
     )
-    gaps = _gaps(live, keys).groupBy(*keys).agg(F.percentile("gap", F.lit(0.99)).alias("gap_p99"))
+    gaps = quantiles(_gaps(live, keys), keys, "gap", {"gap_p99": 0.99})
     duration = F.when(F.col("duration") > 0, F.col("duration"))
-    out = per.join(gaps, keys).join(imu_rate(imu, keys), keys, "left")
+    out = per.join(gaps, keys, "left").join(imu_rate(imu, keys), keys, "left")
     return out.withColumns({"packets_per_s": F.col("packets") / duration, "points_per_s": F.col("points_kept") / duration, "time_filled": F.col("time_spread") > 1e-9})
 
 
-def yaw_unwrap(imu: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def yaw_unwrap(imu: DataFrame, keys: list[str] = KEYS, rows: int = ROWS) -> DataFrame:
     """``imu`` with yaw_deg, continuous in the order of arrival."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    raw = imu.withColumn("_yaw", G.yaw(F.col("q")))
-    delta = F.col("_yaw") - F.lag("_yaw").over(w)
+    raw = neighbours(imu.withColumn("_yaw", G.yaw(F.col("q"))), keys, ["seq"], by_number("seq", rows), ["_yaw"])
+    delta = F.col("_yaw") - F.col("_prev._yaw")
     turn = 2 * np.pi
     wrapped = delta - turn * F.ceil((delta - np.pi) / turn)  # into (-pi, pi]
-    total = raw.withColumn("_d", F.coalesce(wrapped, F.col("_yaw"))).withColumn("yaw_deg", F.degrees(F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    return total.drop("_yaw", "_d")
+    total = running_sum(raw, keys, ["seq"], by_number("seq", rows), F.coalesce(wrapped, F.col("_yaw")), "_turned")
+    return total.withColumn("yaw_deg", F.degrees("_turned")).drop("_yaw", "_prev", "_turned")
 
 
 def yaw_summary(imu: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -133,14 +134,21 @@ def self_hit_radius(cells: DataFrame, bands: DataFrame, keys: list[str] = KEYS)
     return outer.join(wall, keys, "left").withColumn("suggested_min_range", F.col("outer") + MARGIN)
 
 
-def highpass(samples: DataFrame, width: int, columns: list[str], keys: list[str] = KEYS) -> DataFrame:
-    """``samples`` less a centred moving mean of ``width`` (odd), ends trimmed by ``width``; a recording of at most two widths just loses its mean."""
-    w = Window.partitionBy(*keys).orderBy("stamp", "seq")
-    every, half = Window.partitionBy(*keys), width // 2
-    ranked = samples.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(every))
+def highpass(samples: DataFrame, width: int, columns: list[str], keys: list[str] = KEYS, rows: int = ROWS) -> DataFrame:
+    """``samples`` less a centred moving mean of ``width`` (odd), ends trimmed by ``width``; a recording of at most two widths just loses its mean.
+
+    Rows are numbered and fall into pieces of ``rows``; a piece also gets the ``width // 2`` rows on both sides.
+    """
+    half, rows = width // 2, max(rows, width)
+    ranked = numbered(samples, keys, ["stamp", "seq"], by_stamp())
+    whole = ranked.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    ranked = ranked.join(whole, keys)
+    piece = lambda i: F.floor((F.col("_i") - 1 + i) / rows)
+    spread = ranked.withColumn("_own", piece(0)).withColumn("_piece", F.explode(F.array_distinct(F.array(piece(-half), piece(0), piece(half)))))
+    w = Window.partitionBy(*keys, "_piece").orderBy("_i").rowsBetween(-half, half)
     short = F.col("_n") <= 2 * width
-    out = ranked.withColumns({f"{c}_hp": F.col(c) - F.when(short, F.avg(c).over(every)).otherwise(F.avg(c).over(w.rowsBetween(-half, half))) for c in columns})
-    return out.where(short | ((F.col("_i") > width) & (F.col("_i") <= F.col("_n") - width))).drop("_i", "_n")
+    out = spread.withColumns({f"{c}_hp": F.col(c) - F.when(short, F.col(f"_mean_{c}")).otherwise(F.avg(c).over(w)) for c in columns})
+    return out.where((F.col("_own") == F.col("_piece")) & (short | ((F.col("_i") > width) & (F.col("_i") <= F.col("_n") - width)))).drop("_i", "_n", "_own", "_piece", *[f"_mean_{c}" for c in columns])
 
 
 def highpass_width(imu_hz: float) -> int:
@@ -190,15 +198,16 @@ def spectra(imu: DataFrame, stretch: int = STRETCH) -> DataFrame:
     whole transform, and sums of squares the noise, so where a recording is cut changes nothing. Stretches times frequencies grow with the square of a
     long recording; its peaks are picked in one task, from five numbers a frequency.
     """
-    w = Window.partitionBy("recording_id").orderBy("stamp", "seq")
-    flat = imu.select("recording_id", "stamp", *[F.col(f"{v}.{c}").cast("double").alias(f"{v[0]}{c}") for v in ("gyro", "accel") for c in "xyz"], (F.row_number().over(w) - 1).alias("_i"), (F.col("stamp") - F.lag("stamp").over(w)).alias("_d"))
-    whole = flat.groupBy("recording_id").agg(F.count("*").alias("_n"), F.median("_d").alias("_gap"), *[F.avg(c).alias(f"mean_{c}") for c in _AXES]).where("_n >= 64 AND _gap > 0")
+    flat = imu.select("recording_id", "stamp", "seq", *[F.col(f"{v}.{c}").cast("double").alias(f"{v[0]}{c}") for v in ("gyro", "accel") for c in "xyz"])
+    flat = numbered(flat, KEYS, ["stamp", "seq"], by_stamp()).withColumn("_i", F.col("_i") - 1)
+    whole = flat.groupBy("recording_id").agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"mean_{c}") for c in _AXES])
+    whole = whole.join(quantiles(_gaps(imu, KEYS), KEYS, "gap", {"_gap": 0.5}), KEYS).where("_n >= 64 AND _gap > 0")
     # A stretch also gets the neighbours that its moving mean needs.
     width = F.greatest(F.lit(3.0), F.rint(HIGHPASS_S / F.col("_gap")) + 1)
     half = F.when(F.col("_n") > 2 * width - 4, F.floor(width / 2 + 1)).otherwise(0)
     last = F.floor((F.col("_n") - 1) / stretch)
     near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_i") - half) / stretch)), F.least(last, F.floor((F.col("_i") + half) / stretch)))
-    placed = flat.drop("stamp", "_d").join(whole, "recording_id").withColumn("piece", F.explode(F.when(last == 0, F.array(F.lit(0).cast("long"))).otherwise(near)))
+    placed = flat.drop("stamp", "seq").join(whole, "recording_id").withColumn("piece", F.explode(F.when(last == 0, F.array(F.lit(0).cast("long"))).otherwise(near)))
     placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.floor(F.col("_n") / 2) / stretch))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -260,3 +269,31 @@ def vibration(spectrum: DataFrame, config: Config | None = None, spin_hz: float
     loud = ~F.col("quiet")
     warn = [F.when(loud & (F.col("cycles_per_frame") > 0.5), "too fast for constant velocity within a frame"), F.when(loud & (F.abs(F.col("gyro_hz") - spin_hz) < 1.0), "resonance at the spin rate"), F.when(loud & (F.col("smear_m") > c.voxel_size), "smear above the voxel size")]
     return out.withColumn("warnings", F.array_compact(F.array(*warn)))
+
+
+#: Points a second below which a stream counts as thin.
+THIN_POINTS = 1000.0
+
+
+def go_no_go(kind: DataFrame, streams: DataFrame | None = None, radius: DataFrame | None = None, shaking: DataFrame | None = None, config: Config | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """One row a recording over all parts of the sensor check: warnings, what was not checked, and go, which holds if nothing warns.
+
+    ``kind`` has a row for each recording; parts that are None, or have no row for a recording, count as not checked. A parked recording also tells its yaw drift.
+    """
+    c = config or Config()
+    out = kind.select(*keys, "kind", "mismatch", F.when(F.col("kind") == "stationary", F.col("yaw_drift_deg_per_min")).alias("yaw_drift_deg_per_min"))
+    parts = {
+        "streams": (streams, lambda d: F.array_compact(F.array(F.when(~F.coalesce("time_filled", F.lit(False)), "points carry no times"), F.when(F.col("points_per_s") < THIN_POINTS, "few points a second")))),
+        "self_hits": (radius, lambda d: F.array_compact(F.array(F.when(F.col("suggested_min_range") > c.min_range, "the vehicle reaches beyond min_range"), F.when(F.coalesce("near_wall", F.lit(False)), "a wall stood beside the vehicle")))),
+        "vibration": (shaking, lambda d: F.col("warnings")),
+    }
+    warn, left = [F.when(F.col("mismatch"), F.array(F.lit("the sidecar contradicts the turn"))).otherwise(F.array().cast("array<string>"))], []
+    for name, (part, says) in parts.items():
+        if part is not None:
+            out = out.join(part.select(*keys, says(part).alias(f"_{name}")), keys, "left")
+        else:
+            out = out.withColumn(f"_{name}", F.lit(None).cast("array<string>"))
+        warn.append(F.coalesce(f"_{name}", F.array().cast("array<string>")))
+        left.append(F.when(F.col(f"_{name}").isNull(), F.lit(name)))
+    out = out.withColumns({"warnings": F.concat(*warn), "not_checked": F.array_compact(F.array(*left))}).drop(*[f"_{n}" for n in parts])
+    return out.withColumn("go", F.size("warnings") == 0)

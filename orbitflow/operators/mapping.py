@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitflow.functions import geometry as G
+from orbitflow.operators.sliced import quantiles
 
 AXES = ("x", "y", "z")
 
@@ -55,8 +56,7 @@ def extent(cloud: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def z_limits(cloud: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """2nd and 98th percentile of the height, interpolated."""
-    both = F.percentile("z", F.array(F.lit(0.02), F.lit(0.98)))
-    return cloud.groupBy(*(keys or [])).agg(both.alias("_p")).select(*(keys or []), F.get("_p", F.lit(0)).alias("z_lo"), F.get("_p", F.lit(1)).alias("z_hi"))
+    return quantiles(cloud, keys or [], "z", {"z_lo": 0.02, "z_hi": 0.98})
 
 
 def plane_inliers(cloud: DataFrame, normal: tuple, offset: float, threshold: float, keys: list[str] | None = None) -> DataFrame:
@@ -78,10 +78,33 @@ def smallest_axis(moments: np.ndarray) -> tuple[np.ndarray, float]:
 PRODUCTS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
+#: Keys whose candidate planes are broadcast (a few kB each); with more of them they are joined to the points.
+MODELS = 1000
+
+
+def _votes(points: DataFrame, models: list, own: list[str], threshold: float) -> DataFrame:
+    """Partial votes (own, _i, n): each batch of points is multiplied with its key's planes."""
+    planes = {tuple(r[k] for k in own): ([m["_i"] for m in r["models"]], np.array([[m["nx"], m["ny"], m["nz"], m["d"]] for m in r["models"]], float).reshape(-1, 4)) for r in models}
+    shared = points.sparkSession.sparkContext.broadcast(planes)
+
+    def run(batches):
+        for pdf in batches:
+            for key, some in pdf.groupby(own, sort=False):
+                numbers, plane = shared.value.get(key if isinstance(key, tuple) else (key,), ([], None))
+                if not numbers:
+                    continue
+                xyz = some[list(AXES)].to_numpy(float)
+                n = sum((np.abs(xyz[lo : lo + 4096] @ plane[:, :3].T + plane[:, 3]) <= threshold).sum(0) for lo in range(0, len(xyz), 4096))
+                yield pd.DataFrame({**{k: [v] * len(numbers) for k, v in zip(own, key)}, "_i": numbers, "n": n}).query("n > 0")
+
+    types = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in own)
+    return points.select(*own, *AXES).mapInPandas(run, f"{types}, _i int, n long")
+
+
 def fit_plane(cloud: DataFrame, threshold: float = 0.05, iterations: int = 200, seed: int = 0, keys: list[str] | None = None, order: str = "ord") -> DataFrame:
     """One plane for each key by random sampling: the triple with most points within ``threshold``, refitted on those.
 
-    Nothing is gathered: triples come from a sample of 3 * ``iterations`` points a key, the candidate planes are joined to the points and their
+    No points are gathered: triples come from a sample of 3 * ``iterations`` of a key, the candidate planes are sent to the points (up to ``MODELS`` keys, else joined to them) and their
     votes counted before the shuffle, and the refit needs ten sums. Keys with under 3 points give no row; where every triple lies on a
     line, all points are fitted. Points with null coordinates go.
     """
@@ -110,8 +133,14 @@ def fit_plane(cloud: DataFrame, threshold: float = 0.05, iterations: int = 200,
 
     drawn = per.select(*own, F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), model).alias("m"))
     models = drawn.select(*own, F.transform(F.filter("m", lambda m: G.norm(m["c"]) >= G.TINY), unit).alias("models"))
-    hits = F.transform(F.filter("models", lambda m: off(m) <= threshold), lambda m: m["_i"])
-    votes = points.join(models, own).select(*own, F.explode(hits).alias("_i")).groupBy(*own, "_i").agg(F.count("*").alias("n"))
+    few = models.limit(MODELS + 1).collect()
+    if len(few) <= MODELS:
+        votes = _votes(points, few, own, threshold)
+    else:
+        hits = F.transform(F.filter("models", lambda m: off(m) <= threshold), lambda m: m["_i"])
+        votes = points.join(models, own).select(*own, F.explode(hits).alias("_i"))
+        votes = votes.withColumn("n", F.lit(1).cast("long"))
+    votes = votes.groupBy(*own, "_i").agg(F.sum("n").alias("n"))
     most = votes.groupBy(*own).agg(F.max(F.struct("n", (-F.col("_i")).alias("i"))).alias("top"))
     best = most.join(models, own).select(*own, F.col("top.n").alias("n"), F.get(F.filter("models", lambda m: m["_i"] == -F.col("top.i")), F.lit(0)).alias("m"))
     total = points.groupBy(*own).agg(F.count("*").alias("n_points")).where("n_points >= 3")

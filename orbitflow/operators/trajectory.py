@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitflow.config import Config
 from orbitflow.functions import geometry as G
+from orbitflow.operators.sliced import by_number, neighbours, numbered, quantiles
 
 KEYS = ["recording_id"]
 STILL = 0.15
@@ -33,11 +34,11 @@ def scaled(poses: DataFrame, scale: float) -> DataFrame:
 
 def steps(poses: DataFrame, frame_duration: float = Config.frame_duration, keys: list[str] = KEYS) -> DataFrame:
     """``poses`` with step (m), speed (m/s, by the configured duration) and second, the norm of the second difference; null at the ends."""
-    w = _order(keys)
-    back, ahead = [F.lag(c).over(w) for c in "xyz"], [F.lead(c).over(w) for c in "xyz"]
+    known = neighbours(poses, keys, ["frame_id"], by_number("frame_id"), ["x", "y", "z"], ahead=True)
+    back, ahead = [F.col(f"_prev.{c}") for c in "xyz"], [F.col(f"_next.{c}") for c in "xyz"]
     step = _distance(_xyz(), back)
     second = _distance([a + b for a, b in zip(ahead, back)], [2 * c for c in _xyz()])
-    return poses.withColumns({"step": step, "speed": step / frame_duration, "second": second})
+    return known.withColumns({"step": step, "speed": step / frame_duration, "second": second}).drop("_prev", "_next")
 
 
 def rotations(poses: DataFrame) -> DataFrame:
@@ -49,13 +50,14 @@ def rotations(poses: DataFrame) -> DataFrame:
 def path_metrics(poses: DataFrame, frame_duration: float = Config.frame_duration, keys: list[str] = KEYS) -> DataFrame:
     """One row a recording: frames, path_length, net_displacement, jitter_mm (0 under three poses), loop_pct."""
     at = F.struct(*_xyz())
-    per = steps(poses, frame_duration, keys).groupBy(*keys).agg(
+    each = steps(poses, frame_duration, keys)
+    per = each.groupBy(*keys).agg(
         F.count("*").alias("frames"),
         F.coalesce(F.sum("step"), F.lit(0.0)).alias("path_length"),
         F.min_by(at, "frame_id").alias("_a"),
         F.max_by(at, "frame_id").alias("_b"),
-        F.coalesce(F.median("second"), F.lit(0.0)).alias("_second"),
     )
+    per = per.join(quantiles(each, keys, "second", {"_second": 0.5}), keys, "left").withColumn("_second", F.coalesce("_second", F.lit(0.0)))
     net = _distance([F.col(f"_b.{c}") for c in "xyz"], [F.col(f"_a.{c}") for c in "xyz"])
     # 2.45 is the gain of a second difference on white noise, 0.89 the median of its norm.
     out = per.select(*keys, "frames", "path_length", net.alias("net_displacement"), (F.col("_second") / 2.45 / 0.89 * 1000).alias("jitter_mm"))
@@ -65,9 +67,8 @@ def path_metrics(poses: DataFrame, frame_duration: float = Config.frame_duration
 def clipping(poses: DataFrame, frame_duration: float = Config.frame_duration, still: float = STILL, keys: list[str] = KEYS) -> DataFrame:
     """Frames at rest before and after the movement, and whether either end is cut off. Nothing moving: zeros and no flags."""
     s = steps(poses, frame_duration, keys).where("step IS NOT NULL")
-    i = F.row_number().over(_order(keys)) - 1
-    moving = F.when(F.col("speed") > still, F.col("_i"))
-    per = s.withColumn("_i", i).groupBy(*keys).agg(F.min(moving).alias("_first"), F.max(moving).alias("_last"), F.count("*").alias("_n"))
+    moving = F.when(F.col("speed") > still, F.col("_i") - 1)
+    per = numbered(s, keys, ["frame_id"], by_number("frame_id")).groupBy(*keys).agg(F.min(moving).alias("_first"), F.max(moving).alias("_last"), F.count("*").alias("_n"))
     head, tail = F.col("_first"), F.col("_n") - 1 - F.col("_last")
     return per.select(*keys, F.coalesce(head, F.lit(0)).cast("long").alias("head"), F.coalesce(tail, F.lit(0)).cast("long").alias("tail"), F.coalesce(head == 0, F.lit(False)).alias("start_clipped"), F.coalesce(tail == 0, F.lit(False)).alias("end_clipped"))
 
@@ -81,13 +82,14 @@ def cost(poses: DataFrame, frame_duration: float = Config.frame_duration, keys:
 def details(poses: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Sizes, spans (population deviation), heights, thresholds and the 95th percentile of rotation."""
     r = rotations(poses)
-    return r.groupBy(*keys).agg(
+    per = r.groupBy(*keys).agg(
         F.avg("size").alias("size_mean"), F.min("size").alias("size_min"), F.max("size").alias("size_max"),
-        F.avg("span").alias("span_mean"), F.stddev_pop("span").alias("span_std"), F.percentile("rotation_deg", F.lit(0.95)).alias("rotation_p95"),
+        F.avg("span").alias("span_mean"), F.stddev_pop("span").alias("span_std"),
         F.min("z").alias("z_min"), F.max("z").alias("z_max"),
         F.min_by("threshold", "frame_id").alias("threshold_first"), F.max_by("threshold", "frame_id").alias("threshold_last"),
         F.min("threshold").alias("threshold_min"), F.max("threshold").alias("threshold_max"),
     )
+    return per.join(quantiles(r, keys, "rotation_deg", {"rotation_p95": 0.95}), keys, "left")
 
 
 def verdicts(poses: DataFrame, meta: DataFrame, frame_duration: float = Config.frame_duration, keys: list[str] = KEYS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitflow.config import Config
@@ -170,8 +170,84 @@ def height_color(spark, sf_dir):
     return c.select("ord", F.col("c.r").alias("red"), F.col("c.g").alias("green"), F.col("c.b").alias("blue"))
 
 
+# Accessors
+
+
+@query("SELECT recording_id, seq, count(*) AS n, max(x) FILTER (pos = 0) AS x0, max(y) FILTER (pos = 2) AS y2, sum(x)::DOUBLE AS sum_x, 10.0::DOUBLE * count(*) AS sum_intensity, count(*) FILTER (x <> 0 OR y <> 0 OR z <> 0) AS seen FROM pts GROUP BY 1, 2")
+def scan_accessors(spark, sf_dir):
+    """Length, random access and point arrays of decoded scans."""
+    s, p = codec.scans(codec.decode(P.datagrams(spark, sf_dir))), F.col("points")
+    total = lambda values, c: F.aggregate(values, F.lit(0.0), lambda a, x: a + x[c].cast("double"))
+    return s.select(
+        "recording_id", "seq", F.size("points").cast("long").alias("n"), codec.point(p, 0)["x"].cast("double").alias("x0"), codec.point(p, 2)["y"].cast("double").alias("y2"), total(codec.xyz(p), "x").alias("sum_x"),
+        total(codec.xyz_intensity(p), "intensity").alias("sum_intensity"), F.size(codec.xyz(p, drop_zero_returns=True)).cast("long").alias("seen"),
+    )
+
+
+@query("SELECT recording_id, seq, round(cos(radians(value) / 2)::FLOAT::DOUBLE, 5) + 0.0::DOUBLE AS first, round(sin(radians(value) / 2)::FLOAT::DOUBLE, 5) + 0.0::DOUBLE AS last FROM imu")
+def quaternion_wxyz(spark, sf_dir):
+    q = codec.imu_samples(codec.decode(P.datagrams(spark, sf_dir))).withColumn("w", F.array(F.expr("q.w"), F.expr("q.x"), F.expr("q.y"), F.expr("q.z")))
+    q = q.withColumn("o", G.quaternion_wxyz(F.col("q")))
+    fields = q.schema["o"].dataType.fieldNames()
+    return q.select("recording_id", "seq", *[(F.round(F.col(f"o.{fields[i]}"), 5) + F.lit(0.0)).alias(n) for i, n in ((0, "first"), (3, "last"))])
+
+
+@query(f"SELECT recording_id, ord, {_r6('0.6::DOUBLE * x - 0.8::DOUBLE * y + 1')} AS x, {_r6('0.8::DOUBLE * x + 0.6::DOUBLE * y - 2')} AS y, {_r6('z + 3')} AS z FROM cloud")
+def se3_apply(spark, sf_dir):
+    pose = F.array(*[F.lit(v) for v in (0.6, -0.8, 0.0, 1.0, 0.8, 0.6, 0.0, -2.0, 0.0, 0.0, 1.0, 3.0, 0.0, 0.0, 0.0, 1.0)])
+    moved = P.cloud(spark, sf_dir).select("recording_id", "ord", G.transform(F.struct("x", "y", "z"), pose).alias("p"))
+    return moved.select("recording_id", "ord", *[r6(f"p.{c}").alias(c) for c in "xyz"])
+
+
+@query("SELECT recording_id, state, count(*) AS n FROM (SELECT recording_id, 'matched' AS state FROM scans) GROUP BY 1, 2")
+def no_imu_bypass(spark, sf_dir):
+    """Without rotation every scan is taken at once and no inertial sample is read."""
+    return align.align(P.scans(spark, sf_dir), None, TOLERANCE, rotate_with_imu=False).groupBy("recording_id", "state").agg(F.count("*").alias("n"))
+
+
 # Bounded histories
 
+# A consumer that has seen the first half.
+_SEEN = "u AS (SELECT recording_id, quantile_disc(seq, 0.5) AS upto FROM scans GROUP BY 1)"
+
+
+def _offsets(spark, sf_dir) -> DataFrame:
+    ranked = P.scans(spark, sf_dir).select("recording_id", "seq", F.row_number().over(Window.partitionBy("recording_id").orderBy("seq")).alias("i"), F.count("*").over(Window.partitionBy("recording_id")).alias("n"))
+    return ranked.where(F.col("i") == F.ceil(F.col("n") * 0.5)).select("recording_id", F.col("seq").alias("upto"))
+
+
+@query("SELECT recording_id, seq, stamp, least(n, 360) - rn + 1 AS rank FROM (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n, row_number() OVER (PARTITION BY recording_id ORDER BY seq DESC) AS rn FROM scans) WHERE rn <= 360")
+def buffer_snapshot(spark, sf_dir):
+    return buffers.snapshot(P.scans(spark, sf_dir), 360).select("recording_id", "seq", "stamp", "rank")
+
+
+@query(f", {_SEEN} SELECT recording_id, seq, least(n, 50) - rn + 1 AS rank FROM (SELECT s.recording_id, s.seq, count(*) OVER (PARTITION BY s.recording_id) AS n, row_number() OVER (PARTITION BY s.recording_id ORDER BY s.seq DESC) AS rn FROM scans s JOIN u ON u.recording_id = s.recording_id AND s.seq > u.upto) WHERE rn <= 50")
+def buffer_drain(spark, sf_dir):
+    rows, _ = buffers.drain(P.scans(spark, sf_dir), _offsets(spark, sf_dir), 50)
+    return rows.select("recording_id", "seq", "rank")
+
+
+@query("SELECT recording_id, max(seq) AS upto FROM scans GROUP BY 1")
+def buffer_offsets(spark, sf_dir):
+    return buffers.drain(P.scans(spark, sf_dir), _offsets(spark, sf_dir), 50)[1]
+
+
+@query(f", {_SEEN} SELECT s.recording_id, max(s.seq) AS seq FROM scans s JOIN u ON u.recording_id = s.recording_id AND s.seq > u.upto GROUP BY 1")
+def buffer_newest_unseen(spark, sf_dir):
+    return buffers.newest_unseen(P.scans(spark, sf_dir), _offsets(spark, sf_dir))[0].select("recording_id", "seq")
+
+
+@query(f", {_SEEN} SELECT recording_id, count(*) AS received, least(count(*) FILTER (late), 40) AS held, greatest(count(*) FILTER (NOT late) - 40, 0) + greatest(count(*) FILTER (late) - 40, 0) AS dropped FROM (SELECT s.recording_id, s.seq > u.upto AS late FROM scans s JOIN u ON u.recording_id = s.recording_id) GROUP BY 1")
+def buffer_cleared(spark, sf_dir):
+    return buffers.cleared(P.scans(spark, sf_dir), _offsets(spark, sf_dir), 40)
+
+
+@query("SELECT recording_id, floor(stamp / 3600.0::DOUBLE)::BIGINT AS slot, round(count(*) / 3600.0::DOUBLE, 9) AS points_per_second FROM ing GROUP BY 1, 2")
+def points_rate(spark, sf_dir):
+    """Points in each hour of arrival, which on this data is the stamp."""
+    r = rolling.rate(framing.ingest(aligned(spark, sf_dir)).withColumn("recv_time", F.col("stamp")), 3600.0)
+    return r.select("recording_id", "slot", F.round("points_per_second", 9).alias("points_per_second"))
+
 
 @query("SELECT recording_id, seq, stamp, n - rn + 1 AS rank FROM (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seq DESC) AS rn FROM scans) WHERE rn <= 25)")
 def buffer_latest_n(spark, sf_dir):
@@ -269,13 +345,22 @@ def micro_batches(spark, sf_dir):
     return fold.micro_batches(P.datagrams(spark, sf_dir), BATCH)
 
 
-@query()
+# On orderly data a replay sees what the analytic path sees.
+
+
+@query(f"SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY frame_id) - 1 AS frame_id, {_r6('t_start')} AS t_start, {_r6('t_end')} AS t_end, n_scans, n_points FROM frames WHERE n_points >= {FEWEST}")
 def replay_frames(spark, sf_dir):
     f = fold.replay_frames(P.datagrams(spark, sf_dir), Config(frame_duration=DURATION), BATCH, 500, **LOOSE)
-    return f.select("recording_id", "frame_id", "t_start", "t_end", "n_scans", "n_points")
+    return rounded(f.select("recording_id", "frame_id", "t_start", "t_end", "n_scans", "n_points"), "t_start", "t_end")
 
 
-@query()
+@query(f"""
+, m AS (SELECT recording_id, count(*) FILTER (state = 'unmatched') AS unmatched, count(*) FILTER (state = 'pending') AS pending FROM met GROUP BY 1),
+i AS (SELECT recording_id, count(DISTINCT seq) AS scans, count(*) AS points FROM ing GROUP BY 1),
+f AS (SELECT recording_id, count(*) FILTER (n_points >= {FEWEST}) AS emitted, count(*) FILTER (n_points < {FEWEST}) AS sparse FROM frames GROUP BY 1)
+SELECT r.recording_id, coalesce(scans, 0) AS scans_ingested, coalesce(points, 0) AS points_ingested, coalesce(unmatched, 0) AS scans_unmatched, coalesce(emitted, 0) AS frames_emitted, coalesce(sparse, 0) AS frames_too_sparse, coalesce(pending, 0) AS scans_pending
+FROM (SELECT DISTINCT recording_id FROM ev) r LEFT JOIN m ON m.recording_id = r.recording_id LEFT JOIN i ON i.recording_id = r.recording_id LEFT JOIN f ON f.recording_id = r.recording_id
+""")
 def replay_counters(spark, sf_dir):
     return fold.replay_counts(P.datagrams(spark, sf_dir), Config(frame_duration=DURATION), BATCH, 500, **LOOSE)
 
@@ -286,7 +371,21 @@ def odometry_poses(spark, sf_dir):
     return p.select("recording_id", "frame_id", "stamp", "x", "y", "z", "threshold", "size")
 
 
-@query()
+@query(f"SELECT recording_id, frame_id, {_r6('t_end')} AS stamp, {_r6('t_end - t_start')} AS span, n_points AS size FROM still_frames")
+def odometry_frames(spark, sf_dir):
+    """What registration takes: a pose for each frame, without inertial rotation."""
+    p = odometry.replay(P.datagrams(spark, sf_dir), COARSE, BATCH, assembling=LOOSE)
+    return rounded(p.select("recording_id", "frame_id", "stamp", "span", F.col("size").cast("long").alias("size")), "stamp", "span")
+
+
+@query(f", w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY stamp DESC, seq DESC) AS rn FROM live) WHERE rn <= 100) SELECT p.recording_id, {_r6('p.stamp')} AS stamp, {_r6('sqrt(p.x * p.x + p.y * p.y)')} AS radius, p.z FROM pts p JOIN w ON w.seq = p.seq WHERE p.x <> 0 OR p.y <> 0 OR p.z <> 0")
+def replay_window(spark, sf_dir):
+    """The rolling window at the end of each recording, as a consumer fills it; packets hold single precision, so what rotation leaves alone is compared."""
+    w = rolling.replay_window(P.datagrams(spark, sf_dir), 100, TOLERANCE, BATCH, 500)
+    return rounded(w.select("recording_id", "stamp", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("radius"), "z"), "stamp", "radius")
+
+
+@query("SELECT recording_id, config, count(*) AS frames FROM still_frames CROSS JOIN (VALUES ('deskew'), ('raw')) c(config) GROUP BY 1, 2")
 def odometry_sweep(spark, sf_dir):
     both = {"deskew": COARSE, "raw": COARSE.with_(deskew=False)}
     return odometry.sweep(P.datagrams(spark, sf_dir), both, BATCH, LOOSE).groupBy("recording_id", "config").agg(F.count("*").alias("frames"))
@@ -310,6 +409,13 @@ def path_length(spark, sf_dir):
     return _path(spark, sf_dir).select("recording_id", "frames", r6("path_length").alias("path_length"))
 
 
+@query(f"SELECT recording_id, round(1.05::DOUBLE * path_length, 5) + 0.0::DOUBLE AS path_length, round(1.05::DOUBLE * net_displacement, 5) + 0.0::DOUBLE AS net_displacement FROM path")
+def scaled_path(spark, sf_dir):
+    """Positions corrected by a factor before anything is measured."""
+    p = trajectory.path_metrics(trajectory.scaled(P.poses(spark, sf_dir), 1.05))
+    return p.select("recording_id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("path_length", "net_displacement")])
+
+
 @query(f"SELECT recording_id, {_r6('net_displacement')} AS net_displacement FROM path")
 def net_displacement(spark, sf_dir):
     return _path(spark, sf_dir).select("recording_id", r6("net_displacement").alias("net_displacement"))
@@ -369,9 +475,10 @@ def last10_avg(spark, sf_dir):
     return trajectory.live_lag(p).select("recording_id", "frame_id", r6("reg_ms_10").alias("reg_ms_10"), "behind")
 
 
-@query(f"SELECT recording_id, {_r6('avg(size)')} AS size_mean, min(size) AS size_min, max(size) AS size_max, {_r6('avg(span)')} AS span_mean, {_r6('stddev_pop(span)')} AS span_std, {_r6('min(z)')} AS z_min, {_r6('max(z)')} AS z_max, arg_min(threshold, frame_id) AS threshold_first, arg_max(threshold, frame_id) AS threshold_last, min(threshold) AS threshold_min, max(threshold) AS threshold_max FROM poses GROUP BY 1")
+@query(f"SELECT recording_id, {_r6('avg(size)')} AS size_mean, min(size) AS size_min, max(size) AS size_max, {_r6('avg(span)')} AS span_mean, {_r6('stddev_pop(span)')} AS span_std, {_r6('min(z)')} AS z_min, {_r6('max(z)')} AS z_max, arg_min(threshold, frame_id) AS threshold_first, arg_max(threshold, frame_id) AS threshold_last, min(threshold) AS threshold_min, max(threshold) AS threshold_max, round(quantile_cont(degrees(acos(greatest(-1, least(1, cos(radians(value)))))), 0.95), 4) + 0.0::DOUBLE AS rotation_p95 FROM poses GROUP BY 1")
 def pose_details(spark, sf_dir):
-    return rounded(trajectory.details(P.poses(spark, sf_dir)).drop("rotation_p95"), "size_mean", "span_mean", "span_std", "z_min", "z_max")
+    d = trajectory.details(P.poses(spark, sf_dir)).withColumn("rotation_p95", F.round("rotation_p95", 4) + F.lit(0.0))
+    return rounded(d, "size_mean", "span_mean", "span_std", "z_min", "z_max")
 
 
 @query(f"SELECT recording_id, {_r6('1000 * sum(seconds) / count(*)')} AS ms_per_frame, {_r6('1000 * sum(seconds) / count(*) / 2')} AS budget_pct FROM poses GROUP BY 1")
@@ -427,6 +534,23 @@ def fit_plane_ransac(spark, sf_dir):
     return mapping.plane_report(planes, order="recording_id")
 
 
+@query("""
+, c AS (SELECT 'w' || (c_nationkey % 4)::VARCHAR AS recording_id, c_custkey % 5 <> 0 AS near FROM customer),
+n AS (SELECT recording_id, count(*) FILTER (near) AS n_inliers, count(*) AS n_points FROM c GROUP BY 1)
+SELECT recording_id, 'wall' AS box, 1.0::DOUBLE AS normal_x, 0.0::DOUBLE AS normal_z, 3.0::DOUBLE AS distance, 0.0::DOUBLE AS rms, 0.0::DOUBLE AS max_abs, n_inliers, n_points, round(n_inliers / n_points, 6) AS inlier_fraction, 0.0::DOUBLE AS level_error_deg, 'wall' AS surface, NULL::DOUBLE AS angle_error_deg, round(100 * (3.0::DOUBLE - 2.9::DOUBLE) / 2.9::DOUBLE, 4) AS range_bias_pct, n_inliers / n_points < 0.8 AS few_inliers FROM n
+UNION ALL
+SELECT recording_id, 'floor', 0.0::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, n_inliers, n_points, round(n_inliers / n_points, 6), 0.0::DOUBLE, 'off horizontal', 1.0::DOUBLE, round(100 * (0.5::DOUBLE - 2.9::DOUBLE) / 2.9::DOUBLE, 4), n_inliers / n_points < 0.8 FROM n
+""")
+def wall_planes(spark, sf_dir):
+    """Planes whose right answer is known: normal, distance, inliers, tilt, angle to the next (against 89 degrees), bias (against 2.9 m), warning."""
+    p = mapping.plane_report(mapping.fit_plane(P.walls(spark, sf_dir), 0.05, keys=["recording_id", "box"]), 89.0, 2.9)
+    near = lambda c, n: F.round(c, n) + F.lit(0.0)
+    return p.select(
+        "recording_id", "box", near(F.abs(F.get("normal", F.lit(0))), 6).alias("normal_x"), near(F.abs(F.get("normal", F.lit(2))), 6).alias("normal_z"), near("distance_from_origin", 6).alias("distance"), near("rms", 6).alias("rms"), near("max_abs", 6).alias("max_abs"),
+        "n_inliers", "n_points", near("inlier_fraction", 6).alias("inlier_fraction"), near("level_error_deg", 3).alias("level_error_deg"), "surface", near("angle_error_deg", 3).alias("angle_error_deg"), near("range_bias_pct", 4).alias("range_bias_pct"), "few_inliers",
+    )
+
+
 # Health
 
 
@@ -509,6 +633,29 @@ def highpass(spark, sf_dir):
     return health.highpass(s, WIDTH, ["value"]).select("recording_id", "seq", r6("value_hp").alias("value_hp"))
 
 
+@query("""
+, n AS (SELECT recording_id, count(*) AS n FROM imu GROUP BY 1), f AS (SELECT recording_id, floor(n / 10) * 250.0::DOUBLE / n AS hz FROM n WHERE n >= 64)
+SELECT recording_id, round(hz, 4) AS gyro_hz, round(hz, 4) AS accel_hz, 0.1::DOUBLE AS gyro_amplitude, 2.0::DOUBLE AS accel_amplitude, round(0.1::DOUBLE / (2 * pi() * hz), 3) AS wobble_rad, round(2.0::DOUBLE / (2 * pi() * hz) ** 2, 3) AS displacement_m, round(0.2::DOUBLE * hz, 3) AS cycles_per_frame, false AS quiet FROM f
+""")
+def vibration(spark, sf_dir):
+    """Recordings that shake at a known rate: peaks, amplitudes, and what they mean for registration."""
+    v = health.vibration(health.spectra(P.shaking(spark, sf_dir)))
+    return v.select("recording_id", F.round("gyro_hz", 4).alias("gyro_hz"), F.round("accel_hz", 4).alias("accel_hz"), F.round("gyro_amplitude", 2).alias("gyro_amplitude"), F.round("accel_amplitude", 1).alias("accel_amplitude"), *[F.round(c, 3).alias(c) for c in ("wobble_rad", "displacement_m", "cycles_per_frame")], "quiet")
+
+
+@query(f"""
+, {_YAW}, s AS (SELECT recording_id, max(time) - min(time) AS spread, count(*) FILTER (x <> 0 OR y <> 0 OR z <> 0) AS kept, any_value(stamp) AS stamp FROM pts GROUP BY recording_id, seq),
+t AS (SELECT recording_id, max(spread) > 1e-9 AS filled, sum(kept) / (max(stamp) - min(stamp)) AS rate FROM s GROUP BY 1),
+w AS (SELECT k.recording_id, sweep >= 45 AS turning, list_filter([CASE WHEN NOT coalesce(filled, false) THEN 'points carry no times' END, CASE WHEN rate < 1000 THEN 'few points a second' END], lambda x: x IS NOT NULL) AS warnings FROM k LEFT JOIN t ON t.recording_id = k.recording_id)
+SELECT recording_id, CASE WHEN turning THEN 'pivot' ELSE 'other' END AS kind, array_to_string(warnings, ';') AS warnings, 'self_hits,vibration' AS not_checked, len(warnings) = 0 AS go FROM w
+""")
+def go_no_go(spark, sf_dir):
+    """The verdict over those parts of the sensor check that were made."""
+    imu = P.imu(spark, sf_dir)
+    v = health.go_no_go(health.recording_kind(health.yaw_summary(imu)), health.stream_health(P.scans(spark, sf_dir), imu))
+    return v.select("recording_id", F.when(F.col("kind") == "pivot", "pivot").otherwise("other").alias("kind"), F.array_join("warnings", ";").alias("warnings"), F.array_join("not_checked", ",").alias("not_checked"), "go")
+
+
 @query()
 def spectrum_peaks(spark, sf_dir):
     fast = P.imu(spark, sf_dir).withColumn("stamp", F.col("stamp") / 100000.0)

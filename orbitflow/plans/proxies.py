@@ -5,7 +5,7 @@ Every derivation has a twin in SQL (``CTES``), so that another engine can check
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitflow.functions import geometry as G
@@ -92,12 +92,34 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.get(F.array(*map(F.lit, ("loop", "line", "stationary", "pivot"))), (F.col("c_custkey") % 4).cast("int"))
     known = F.col("c_custkey") % 5 != 0
-    return table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(
-        F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("recording_id"), kind.alias("kind"), F.col("c_mktsegment").alias("environment"), F.when(F.col("c_custkey") % 2 == 0, 0.5).alias("speed_mps"),
+    # A third are no user's, so that lookups miss.
+    name = F.when(F.col("c_custkey") % 3 == 0, "other").otherwise("u")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(name, F.col("c_custkey").cast("string")).alias("recording_id"), kind.alias("kind"), F.col("c_mktsegment").alias("environment"), F.when(F.col("c_custkey") % 2 == 0, 0.5).alias("speed_mps"),
         F.when(known, F.col("c_acctbal")).alias("truth_m"), F.when(known, "tape").alias("truth_method"),
     )
 
 
+def walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wall (x = 3) and a floor (z = -0.5) for each of four recordings, a fifth of their points well off them."""
+    c = table(spark, sf_dir, "customer")
+    a, b, off = F.col("c_custkey") % 97 / 20.0, F.col("c_custkey") % 89 / 30.0, F.when(F.col("c_custkey") % 5 == 0, 1.0 + F.col("c_custkey") % 7 * 0.5).otherwise(0.0)
+    rows = c.select(F.concat(F.lit("w"), (F.col("c_nationkey") % 4).cast("string")).alias("recording_id"), (F.col("c_custkey") * 2).alias("ord"), a.alias("a"), b.alias("b"), off.alias("off"))
+    wall = rows.select("recording_id", F.lit("wall").alias("box"), "ord", (3.0 + F.col("off")).alias("x"), F.col("a").alias("y"), F.col("b").alias("z"))
+    floor = rows.select("recording_id", F.lit("floor").alias("box"), (F.col("ord") + 1).alias("ord"), F.col("a").alias("x"), F.col("b").alias("y"), (F.col("off") - 0.5).alias("z"))
+    return wall.unionByName(floor)
+
+
+def shaking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertial samples at 250 Hz (by their number in the recording) that shake at a tenth of that rate, a multiple of the spectrum's resolution; still around z."""
+    e = stamped(spark, sf_dir).where(F.col("event_type").isin(*IMU_EVENTS)).select("recording_id", "seq")
+    w = Window.partitionBy("recording_id").orderBy("seq")
+    i = e.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("recording_id")))
+    wave = F.sin(2 * 3.141592653589793 * F.floor(F.col("n") / 10) * F.col("i") / F.col("n"))
+    zero = F.lit(0.0)
+    return i.select("recording_id", "seq", (F.col("i") / 250.0).alias("stamp"), F.col("seq").alias("id"), G.quat(zero, zero, zero, F.lit(1.0)).alias("q"), G.vec(0.1 * wave, zero, zero).alias("gyro"), G.vec(zero, 2.0 * wave, zero).alias("accel"))
+
+
 #: The same derivations for DuckDB.
 CTES = f"""
 ev AS (SELECT 'r' || (user_id % 8)::VARCHAR AS recording_id, event_id AS seq, date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts)::DOUBLE / 1000000.0::DOUBLE AS stamp, value::DOUBLE AS value, user_id, event_type FROM events),
@@ -131,6 +153,18 @@ starts AS (
   SELECT s.recording_id, n.later, s.frame_id + 1 FROM starts s JOIN nxt n ON n.recording_id = s.recording_id AND n.stamp = s.t0 WHERE n.later IS NOT NULL
 ),
 framed AS (SELECT l.recording_id, l.seq, s.t0, s.frame_id FROM live l ASOF JOIN starts s ON l.recording_id = s.recording_id AND l.stamp >= s.t0),
+still AS (SELECT DISTINCT recording_id, seq, stamp FROM pts WHERE x <> 0 OR y <> 0 OR z <> 0),
+still_next AS MATERIALIZED (SELECT a.recording_id, a.stamp, b.stamp AS later FROM (SELECT recording_id, stamp, stamp + {DURATION}::DOUBLE AS reach FROM still) a ASOF LEFT JOIN still b ON a.recording_id = b.recording_id AND a.reach <= b.stamp),
+still_starts AS (
+  SELECT recording_id, min(stamp) AS t0, 0::BIGINT AS frame_id FROM still GROUP BY 1
+  UNION ALL
+  SELECT s.recording_id, n.later, s.frame_id + 1 FROM still_starts s JOIN still_next n ON n.recording_id = s.recording_id AND n.stamp = s.t0 WHERE n.later IS NOT NULL
+),
+still_frames AS (
+  SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY frame_id) - 1 AS frame_id, t_start, t_end, n_scans, n_points FROM (
+    SELECT f.recording_id, f.frame_id, min(p.stamp + p.time) AS t_start, max(p.stamp + p.time) AS t_end, count(DISTINCT p.seq) AS n_scans, count(*) AS n_points
+    FROM (SELECT l.recording_id, l.seq, s.frame_id FROM still l ASOF JOIN still_starts s ON l.recording_id = s.recording_id AND l.stamp >= s.t0) f JOIN pts p ON p.seq = f.seq WHERE p.x <> 0 OR p.y <> 0 OR p.z <> 0 GROUP BY 1, 2) WHERE n_points >= {FEWEST}
+),
 frames AS (
   SELECT f.recording_id, f.frame_id, min(f.t0) AS frame_t0, min(i.t) AS t_start, max(i.t) AS t_end, count(DISTINCT f.seq) AS n_scans, count(*) AS n_points
   FROM framed f JOIN ing i ON i.seq = f.seq GROUP BY 1, 2
@@ -158,8 +192,8 @@ path AS (
   FROM steps GROUP BY 1
 ),
 meta AS (
-  SELECT 'u' || c_custkey::VARCHAR AS recording_id, (['loop', 'line', 'stationary', 'pivot'])[c_custkey % 4 + 1] AS kind, c_mktsegment AS environment, CASE WHEN c_custkey % 2 = 0 THEN 0.5::DOUBLE END AS speed_mps,
+  SELECT CASE WHEN c_custkey % 3 = 0 THEN 'other' ELSE 'u' END || c_custkey::VARCHAR AS recording_id, (['loop', 'line', 'stationary', 'pivot'])[c_custkey % 4 + 1] AS kind, c_mktsegment AS environment, CASE WHEN c_custkey % 2 = 0 THEN 0.5::DOUBLE END AS speed_mps,
          CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS truth_m, CASE WHEN c_custkey % 5 <> 0 THEN 'tape' END AS truth_method
-  FROM customer WHERE c_custkey % 3 <> 0
+  FROM customer
 )
 """

@@ -35,9 +35,10 @@ def precheck(datagrams: DataFrame, meta: DataFrame | None = None, config: Config
     pivots = seen.join(kind.where("kind = 'pivot'").select("recording_id"), "recording_id", "left_semi")
     cells = health.self_hit_cells(pivots)
     bands = health.self_hit_bands(cells)
+    streams, radius, shaking = health.stream_health(scans, imu), health.self_hit_radius(cells, bands), health.vibration(health.spectra(imu), c)
     return {
-        "streams": health.stream_health(scans, imu), "kind": kind, "histogram": health.range_histogram(seen), "min_range": health.min_range_sweep(seen, c.min_range),
-        "self_hits": cells, "self_hit_bands": bands, "self_hit_radius": health.self_hit_radius(cells, bands), "vibration": health.vibration(health.spectra(imu), c),
+        "streams": streams, "kind": kind, "histogram": health.range_histogram(seen), "min_range": health.min_range_sweep(seen, c.min_range),
+        "self_hits": cells, "self_hit_bands": bands, "self_hit_radius": radius, "vibration": shaking, "verdict": health.go_no_go(kind, streams, radius, shaking, c),
     }
 
 
