@@ -7,6 +7,7 @@ record at a time, from any store that Spark's reader lists. Datagrams at scale b
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -128,29 +129,62 @@ class RawLog(DataSource):
         return _Writer(self.options)
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
 class _Writer(DataSourceWriter):
-    """One file a recording and task; rows must come grouped and ordered (``write`` sees to it)."""
+    """One file a recording and task; rows must come grouped and ordered (``write`` sees to it).
+
+    A task writes under names of its own; only when all are done does ``commit`` move the files of the attempts that counted to their places. Failed and
+    speculative attempts leave nothing, nor does a job that is aborted.
+    """
 
     def __init__(self, options: dict):
-        self.folder = options["path"]
+        self.folder, self.job = options["path"], uuid.uuid4().hex
 
-    def write(self, rows):
+    def _store(self):
         import pyarrow.fs as fs
 
         store, inside = fs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else f"file://{self.folder}")
-        store.create_dir(inside, recursive=True)
-        out, now = None, None
+        return store, inside.rstrip("/"), f"{inside.rstrip('/')}/_temporary-{self.job}"
+
+    def write(self, rows):
+        store, inside, temp = self._store()
+        own = f"{temp}/{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=True)
+        out, now, files = None, None, []
         for r in rows:
             if r.recording_id != now:
                 if out is not None:
                     out.close()
                 now = r.recording_id
-                out = store.open_output_stream(f"{inside}/{now}")
+                files.append((f"{own}/{now}", f"{inside}/{now}"))
+                out = store.open_output_stream(files[-1][0])
                 out.write(MAGIC)
             out.write(RECORD.pack(r.recv_time, len(r.payload)) + bytes(r.payload))
         if out is not None:
             out.close()
-        return WriterCommitMessage()
+        return _Written(files)
+
+    def commit(self, messages):
+        store, _, temp = self._store()
+        for m in messages:
+            for made, to in m.files if m is not None else []:
+                store.move(made, to)
+        self._clear(store, temp)
+
+    def abort(self, messages):
+        store, _, temp = self._store()
+        self._clear(store, temp)
+
+    @staticmethod
+    def _clear(store, temp: str) -> None:
+        from pyarrow.fs import FileType
+
+        if store.get_file_info(temp).type == FileType.Directory:
+            store.delete_dir(temp)
 
 
 def listed(spark: SparkSession, glob: str) -> list[str]:

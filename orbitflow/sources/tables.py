@@ -59,24 +59,42 @@ def provenance() -> dict[str, str | None]:
     }
 
 
+def _place(spark: SparkSession, path: str):
+    """(store, table, the old table while a new one takes its place)."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(path.rstrip("/"))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at, jvm.Path(f"{path.rstrip('/')}.old")
+
+
+def _recover(spark: SparkSession, path: str) -> bool:
+    """Undo or finish an exchange of tables that was cut short; whether there is a table."""
+    store, at, old = _place(spark, path)
+    if not store.exists(at) and store.exists(old):
+        store.rename(old, at)
+    elif store.exists(old):
+        store.delete(old, True)
+    return store.exists(at)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     """All columns as text, or None if there is no table yet; the first row names the columns."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return None
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return spark.read.option("header", True).option("inferSchema", False).csv(path) if _recover(spark, path) else None
 
 
 def append_results(rows: DataFrame, path: str) -> DataFrame:
-    """Append to a result table, widening it: the new table is written beside the old one, then takes its place."""
+    """Append to a result table, widening it: the new table is written beside the old one, which steps aside for it and goes last.
+
+    Wherever this is cut short, the next reader finds the old table or the new one, whole. One writer at a time.
+    """
     spark = rows.sparkSession
     table = widen(read_results(spark, path), rows)
     temp = f"{path.rstrip('/')}.new"
     table.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(temp)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    store = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    store.delete(jvm.Path(path), True)
-    store.rename(jvm.Path(temp), jvm.Path(path))
+    store, at, old = _place(spark, path)
+    if store.exists(at):
+        store.rename(at, old)
+    store.rename(spark._jvm.org.apache.hadoop.fs.Path(temp), at)
+    store.delete(old, True)
     return read_results(spark, path)
 
 

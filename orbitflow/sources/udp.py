@@ -15,7 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from orbitflow import schemas
-from orbitflow.functions.codec import HEADER, MAX_POINTS, POINT, SCAN_HEAD, decode_batch
+from orbitflow.functions.codec import HEADER, MAX_POINTS, POINT, SCAN_HEAD, decode_batch, unpack
+from orbitflow.operators.buffers import checked
 
 # Defaults of the receiver.
 PORT, ANY, BUFFER, SO_RCVBUF = 12345, "0.0.0.0", 65536, 1 << 20
@@ -80,6 +81,73 @@ def capture(path: str, duration: float, **receiver) -> tuple[int, int]:
         return write_records(f, r.raw(duration))
 
 
+class Buffered:
+    """A port drained by a thread into two bounded histories, of scans and of inertial samples, oldest dropped first; a context manager.
+
+    For looking at what comes in; a reader that must not miss anything records. ``latest`` and ``held`` read, ``drain`` hands over and empties; counters go on.
+    """
+
+    def __init__(self, scan_maxlen: int = 360, imu_maxlen: int = 500, **receiver):
+        self.buffers = {"scan": deque(maxlen=checked(scan_maxlen)), "imu": deque(maxlen=checked(imu_maxlen))}
+        self.counts = dict.fromkeys(("scan_received", "imu_received", "scan_dropped", "imu_dropped", "unparsed"), 0)
+        self.receiver, self.news, self.running = Receiver(**receiver), threading.Condition(), False
+
+    def take(self, data: bytes) -> None:
+        message = unpack(data)
+        with self.news:
+            if message is None:
+                self.counts["unparsed"] += 1
+                return
+            kind, buffer = message[0], self.buffers[message[0]]
+            self.counts[f"{kind}_received"] += 1
+            self.counts[f"{kind}_dropped"] += len(buffer) == buffer.maxlen
+            buffer.append(message)
+            self.news.notify_all()
+
+    def latest(self, kind: str) -> tuple | None:
+        with self.news:
+            return self.buffers[kind][-1] if self.buffers[kind] else None
+
+    def held(self, kind: str) -> list[tuple]:
+        with self.news:
+            return list(self.buffers[kind])
+
+    def drain(self, kind: str) -> list[tuple]:
+        with self.news:
+            out = list(self.buffers[kind])
+            self.buffers[kind].clear()
+            return out
+
+    def wait_for_new(self, kind: str, timeout: float | None = None) -> tuple | None:
+        """The newest message of a kind once another one has come, or None."""
+        with self.news:
+            before = self.counts[f"{kind}_received"]
+            came = self.news.wait_for(lambda: self.counts[f"{kind}_received"] > before, timeout)
+            return self.buffers[kind][-1] if came and self.buffers[kind] else None
+
+    def stats(self) -> dict[str, int]:
+        with self.news:
+            return self.counts | {f"{k}_held": len(b) for k, b in self.buffers.items()}
+
+    def __enter__(self) -> Buffered:
+        self.receiver.open()
+        self.running = True
+
+        def fill():
+            while self.running:
+                if (got := self.receiver.datagram()) is not None:
+                    self.take(got[1])
+
+        self.thread = threading.Thread(target=fill, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.running = False
+        self.thread.join()
+        self.receiver.close()
+
+
 class _Live(SimpleDataSourceStreamReader):
     """Buffers in a thread, oldest datagrams dropped when ``maxlen`` are waiting; offsets count what was handed over."""
 

@@ -31,9 +31,13 @@ def configure(spark: SparkSession) -> None:
 
 
 class _PerRecording(StatefulProcessor):
-    """A pickled object for each key; what is in a micro-batch is sorted by seq before it is taken."""
+    """A pickled object for each key; what is in a micro-batch is sorted by seq before it is taken.
+
+    What is open when a recording ends leaves with a datagram that has no payload (the end mark), or after ``idle`` seconds without any.
+    """
 
     columns: list[str] = []
+    idle: float | None = None
 
     def fresh(self, key: tuple):
         raise NotImplementedError
@@ -41,13 +45,28 @@ class _PerRecording(StatefulProcessor):
     def take(self, state, pdf: pd.DataFrame) -> list[tuple]:
         raise NotImplementedError
 
+    def finish(self, state) -> list[tuple]:
+        raise NotImplementedError
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.blob = handle.getValueState("state", T.StructType([T.StructField("data", T.BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("seq")
+        if self.idle is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.idle))
+        ended = pdf["payload"].isna()
+        yield from self._stored(key, lambda state: self.take(state, pdf[~ended]) + (self.finish(state) if ended.any() else []))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._stored(key, self.finish)
+
+    def _stored(self, key, work: Callable) -> Iterator[pd.DataFrame]:
         state = pickle.loads(self.blob.get()[0]) if self.blob.exists() else self.fresh(key)
-        made = self.take(state, pdf)
+        made = work(state)
         self.blob.update((pickle.dumps(state, pickle.HIGHEST_PROTOCOL),))
         if made:
             yield pd.DataFrame(made, columns=self.columns)
@@ -74,15 +93,21 @@ class _Sensor:
 class Frames(_PerRecording):
     columns = [f.strip().split(" ")[0] for f in _fields(PARITY_FRAMES)]
 
-    def __init__(self, config: Config, imu_window: int):
-        self.config, self.imu_window = config, imu_window
+    def __init__(self, config: Config, imu_window: int, idle: float | None = None):
+        self.config, self.imu_window, self.idle = config, imu_window, idle
 
     def fresh(self, key):
         return _Sensor(key, self.config, self.imu_window, False)
 
     def take(self, state, pdf):
+        return self.rows(state, state.frames(pdf))
+
+    def finish(self, state):
+        return self.rows(state, state.assembler.close())
+
+    def rows(self, state, frames):
         rows = []
-        for f in state.frames(pdf):
+        for f in frames:
             points = [dict(zip(("x", "y", "z", "t_norm"), (*p, t))) for p, t in zip(f.points.tolist(), f.times.tolist())]
             rows.append((state.key, state.n, f.t_start, f.t_end, f.span, f.n_scans, len(points), points))
             state.n += 1
@@ -95,9 +120,9 @@ class Poses(Frames):
     def fresh(self, key):
         return _Sensor(key, self.config, self.imu_window, True)
 
-    def take(self, state, pdf):
+    def rows(self, state, frames):
         rows = []
-        for f in state.frames(pdf):
+        for f in frames:
             rows += state.register.frame(state.n, f.points, f.times, f.t_end, f.span)
             state.n += 1
         return rows
@@ -105,17 +130,17 @@ class Poses(Frames):
 
 def _stateful(datagrams: DataFrame, processor: _PerRecording, schema: str) -> DataFrame:
     configure(datagrams.sparkSession)
-    return datagrams.groupBy("recording_id").transformWithStateInPandas(processor, schema, "Append", "None")
+    return datagrams.groupBy("recording_id").transformWithStateInPandas(processor, schema, "Append", "None" if processor.idle is None else "ProcessingTime")
 
 
-def live_frames(datagrams: DataFrame, config: Config | None = None, imu_window: int = IMU_WINDOW) -> DataFrame:
-    """Frames of a stream of datagrams; a micro-batch is what the consumer sees at once."""
-    return _stateful(datagrams, Frames(config or Config(), imu_window), PARITY_FRAMES)
+def live_frames(datagrams: DataFrame, config: Config | None = None, imu_window: int = IMU_WINDOW, idle: float | None = None) -> DataFrame:
+    """Frames of a stream of datagrams; a micro-batch is what the consumer sees at once. The last frame leaves with an end mark, or after ``idle`` silent seconds."""
+    return _stateful(datagrams, Frames(config or Config(), imu_window, idle), PARITY_FRAMES)
 
 
-def live_poses(datagrams: DataFrame, config: Config | None = None, imu_window: int = IMU_WINDOW) -> DataFrame:
+def live_poses(datagrams: DataFrame, config: Config | None = None, imu_window: int = IMU_WINDOW, idle: float | None = None) -> DataFrame:
     """Poses of a stream of datagrams."""
-    return _stateful(datagrams, Poses(config or Config(), imu_window), schemas.POSES)
+    return _stateful(datagrams, Poses(config or Config(), imu_window, idle), schemas.POSES)
 
 
 class MapSink:
@@ -148,15 +173,21 @@ class MapSink:
 
 
 class Running:
-    """A started query as a context: stopped at the end, whatever happens; stopping twice does no harm."""
+    """A started query as a context: stopped at the end, whatever happens; stopping twice does no harm.
+
+    A query that was running before is borrowed: it is used and left running, as it belongs to somebody else.
+    """
 
-    def __init__(self, start: Callable[[], StreamingQuery]):
+    def __init__(self, start: Callable[[], StreamingQuery] | StreamingQuery):
+        self.borrowed = None if callable(start) else start
         self.start, self.query = start, None
 
     def __enter__(self) -> Running:
         if self.query is not None and self.query.isActive:
             raise RuntimeError("already running")
-        self.query = self.start()
+        if self.borrowed is not None and not self.borrowed.isActive:
+            raise RuntimeError("a borrowed query must be running")
+        self.query = self.borrowed or self.start()
         return self
 
     def __exit__(self, *_) -> None:
@@ -167,9 +198,15 @@ class Running:
         return self.query is not None and self.query.isActive
 
     def stop(self) -> None:
-        if self.is_running:
+        if self.is_running and self.borrowed is None:
             self.query.stop()
 
+    def step(self) -> bool:
+        """Work through what has arrived by now; False once the query has stopped."""
+        if self.is_running:
+            self.query.processAllAvailable()
+        return self.is_running
+
     def wait_until_ready(self, timeout: float = 5.0) -> bool:
         """Whether any rows arrived within ``timeout`` seconds."""
         import time

@@ -1,5 +1,7 @@
 import io
 import json
+import os
+import shutil
 import socket
 import threading
 import time
@@ -12,6 +14,7 @@ from orbitflow import schemas
 from orbitflow.functions import codec
 from orbitflow.functions.codec import pack_imu_bytes, pack_scan_bytes
 from orbitflow.sources import rawlog, tables, udp
+from orbitflow.sources.udp import Buffered
 
 
 def some(n=6):
@@ -116,3 +119,41 @@ def test_clouds_and_trajectories(spark, tmp_path):
     t = c.withColumnRenamed("ord", "frame_id")
     assert tables.write_trajectory(t, f"{tmp_path}/t.npy") == 50
     assert rows_of(tables.read_trajectory(spark, f"{tmp_path}/t.npy")) == rows_of(t) and tables.read_trajectory(spark, f"{tmp_path}/none.npy").count() == 0
+
+
+def test_an_exchange_of_result_tables_can_be_cut_short_anywhere(spark, tmp_path):
+    path = f"{tmp_path}/results"
+    tables.append_results(spark.createDataFrame([(1, "x")], "a int, b string"), path)
+    os.rename(path, f"{path}.old")  # the old table stood aside, the new one never came
+    assert tables.read_results(spark, path).count() == 1
+    shutil.copytree(path, f"{path}.old")  # the new one came, the old one was not deleted
+    shutil.copytree(path, f"{path}.new")  # and another was being written
+    assert tables.append_results(spark.createDataFrame([(2, "y")], "a int, b string"), path).count() == 2
+    assert sorted(os.listdir(tmp_path)) == ["results"]
+
+
+def test_recordings_appear_when_the_job_is_done(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    options = {"path": out}
+    rows = spark.createDataFrame([("a", 0, 1.0, b"x"), ("a", 1, 2.0, b"yz"), ("b", 0, 1.0, b"")], schemas.DATAGRAMS).collect()
+    writer = rawlog._Writer(options)
+    first, again = writer.write(iter(rows)), writer.write(iter(rows))  # the second is a speculative copy that does not count
+    assert [x for x in os.listdir(out) if not x.startswith("_")] == []
+    writer.commit([first])
+    assert sorted(os.listdir(out)) == ["a", "b"] and rawlog.read(spark, f"{out}/*").count() == 3
+    other = rawlog._Writer(options)
+    other.abort([other.write(iter(rows[:1]))])
+    assert sorted(os.listdir(out)) == ["a", "b"] and again.files
+
+
+def test_a_port_is_drained_into_two_histories():
+    port = free_port()
+    with Buffered(scan_maxlen=2, imu_maxlen=5, port=port, ip="127.0.0.1", timeout=0.1) as b:
+        threading.Timer(0.3, lambda: send(port, [(0, x) for x in [pack_scan_bytes(float(i), i, ramp(4, 1)) for i in range(3)] + [pack_imu_bytes(9.0, 7, (0, 0, 0, 1)), b"no"]])).start()
+        assert b.wait_for_new("scan", 5)[0] == "scan"
+        ends = time.monotonic() + 5
+        while b.stats()["unparsed"] == 0 and time.monotonic() < ends:
+            time.sleep(0.02)
+        assert b.stats() == {"scan_received": 3, "imu_received": 1, "scan_dropped": 1, "imu_dropped": 0, "unparsed": 1, "scan_held": 2, "imu_held": 1}
+        assert b.latest("imu")[2] == 7 and [m[2] for m in b.held("scan")] == [1, 2] and [m[2] for m in b.drain("scan")] == [1, 2]
+        assert b.latest("scan") is None and b.wait_for_new("imu", 0.05) is None and b.stats()["scan_received"] == 3

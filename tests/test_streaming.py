@@ -70,3 +70,21 @@ def test_lifecycle_callbacks_and_socket(spark, tmp_path):
     spark.streams.removeListener(listener)
     assert not running.is_running and sum(seen) >= 6
     assert not Running(lambda: None).is_running
+
+
+def test_the_last_frame_leaves_with_an_end_mark_or_in_silence(spark, tmp_path):
+    stream = lambda name: spark.readStream.schema(schemas.DATAGRAMS).parquet(f"{tmp_path}/{name}")
+    want = rows_of(fold.replay_frames(spark.createDataFrame(rows(0, 60), schemas.DATAGRAMS), Config()).select("frame_id", "n_scans"))
+    spark.createDataFrame(rows(0, 60) + [("r", 999, 200.0, None)], schemas.DATAGRAMS).coalesce(1).write.parquet(f"{tmp_path}/marked")
+    drain(live_frames(stream("marked")), tmp_path, "ended")
+    assert rows_of(spark.read.parquet(f"{tmp_path}/ended").select("frame_id", "n_scans")) == want
+    spark.createDataFrame(rows(0, 60), schemas.DATAGRAMS).coalesce(1).write.parquet(f"{tmp_path}/silent")
+    got = []
+    with on_frame(live_frames(stream("silent"), idle=0.5), lambda df, n: got.extend(df.select("frame_id", "n_scans").collect()), "200 milliseconds", f"{tmp_path}/silent-state") as running:
+        ends = time.monotonic() + 60
+        while len(got) < len(want) and time.monotonic() < ends:
+            time.sleep(0.1)
+        with Running(running.query) as borrowed:  # used, then left to its owner
+            assert borrowed.is_running
+        assert running.is_running
+    assert sorted(map(tuple, got)) == want and not running.is_running
