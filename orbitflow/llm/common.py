@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 CHUNK = 1 << 18
 #: Rows of a batch whose values are Python objects at once.
 ROWS = 500
+#: Rows of an Arrow batch: ten times fewer than Spark's default, as rows are whole texts.
+BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Hold the memory that batches of texts take in executors and their Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 class Scratch:
     """Tables written into the shared folder, which survive the loss of executors and cut lineage."""
 
@@ -95,7 +102,7 @@ def maybe_in(df: DataFrame, keys: DataFrame, column: str, key: str | None = None
     return joined if keep_all else joined.where("maybe").drop("maybe")
 
 
-#: Rows of a key from which on ``join_to_keys`` deals them out, and to how many places.
+#: Rows of a key from which on ``join_to_keys`` deals them out, and to how many places at least.
 HOT, SALTS = 2000, 64
 
 
@@ -105,11 +112,11 @@ def join_to_keys(rows: DataFrame, keys: DataFrame, key: str, members: str, sprea
     Rows without a key move nowhere. Rows of a key with more than HOT of them are dealt by a hash of ``spread``, to copies of the key's one row. Both
     sides ask the same filter whether a key is hot, so a false alarm costs copies and loses nothing.
     """
-    hot = keys.where(F.col(members) > HOT).select(key)
+    hot, salts = keys.where(F.col(members) > HOT).select(key), max(SALTS, parts(rows.sparkSession))
     left = maybe_in(rows.where(F.col(key).isNotNull()), hot, key, keep_all=True)
     right = maybe_in(keys, hot, key, keep_all=True)
-    left = left.withColumn("_salt", F.when(F.col("maybe"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("maybe")
-    right = right.withColumn("_salt", F.explode(F.when(F.col("maybe"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("maybe")
+    left = left.withColumn("_salt", F.when(F.col("maybe"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("maybe")
+    right = right.withColumn("_salt", F.explode(F.when(F.col("maybe"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("maybe")
     joined = left.join(right.drop(members), [key, "_salt"], "left").drop("_salt")
     return joined.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
