@@ -11,23 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitflow.llm import bpe, decontam, minhash, pii, quality
-from orbitflow.llm.common import Scratch
+from orbitflow.llm.common import Scratch, bounded
 from orbitflow.llm.queries import RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least similarity of near-duplicates in hundredths.
 NEAR = 80
-#: Rows of an Arrow batch: ten times fewer than Spark's default, as rows are whole texts.
-BATCH = 1000
-
-
-def bounded(spark: SparkSession) -> None:
-    """Hold the memory that batches of texts take in executors and their Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier accepts."""
+    """Documents that the co-trained classifier accepts; null texts and metadata have features of their own, so each row is judged, and without labels all stay."""
     bounded(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
@@ -42,13 +35,13 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def untainted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; null and blank texts hold none and stay, as do all without items."""
     bounded(spark)
     return decontam.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; null texts stay null."""
+    """Documents with personal data replaced by its kind; null texts stay null, and every row stays."""
     bounded(spark)
     found = pii.find(docs.select(*COLUMNS))
     text = F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("spans")))
@@ -56,7 +49,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens, ids, and digests of the ids and of the text decoded from them; a null text is the empty text."""
     bounded(spark)
     import public_tokenizers
 
