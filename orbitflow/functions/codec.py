@@ -10,7 +10,6 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,20 +122,26 @@ def pack_scan_bytes(stamp: float, number: int, points: np.ndarray, pad_to_max: b
     return HEADER.pack(SCAN_TYPE, len(body)) + body
 
 
-@F.pandas_udf(T.BinaryType())
-def pack_imu(imu: pd.DataFrame) -> pd.Series:
-    """A struct like ``schemas.IMU`` as a datagram."""
-    return pd.Series([pack_imu_bytes(s, i, [q[c] for c in "xyzw"], [g[c] for c in "xyz"], [a[c] for c in "xyz"]) for s, i, q, g, a in zip(imu["stamp"], imu["id"], _dicts(imu["q"]), _dicts(imu["gyro"]), _dicts(imu["accel"]))])
-
+def _numbers(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
-@F.pandas_udf(T.BinaryType())
-def pack_scan(scan: pd.DataFrame) -> pd.Series:
-    """A struct like ``schemas.SCAN`` as a full-size datagram."""
-    return pd.Series([pack_scan_bytes(s, i, np.array([tuple(p[f] for f in _FIELDS) for p in points], POINT)) for s, i, points in zip(scan["stamp"], scan["id"], scan["points"])])
 
-
-def _dicts(column) -> list[dict]:
-    return column.to_dict("records") if isinstance(column, pd.DataFrame) else list(column)
+@F.arrow_udf(T.BinaryType())
+def pack_imu(imu: pa.Array) -> pa.Array:
+    """A struct like ``schemas.IMU`` as a datagram."""
+    values = zip(*(_numbers(imu.field(v).field(c)) for v, axes in (("q", "xyzw"), ("gyro", "xyz"), ("accel", "xyz")) for c in axes))
+    return pa.array([pack_imu_bytes(s, i, v[:4], v[4:7], v[7:]) for s, i, v in zip(_numbers(imu.field("stamp")), _numbers(imu.field("id")), values)], pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def pack_scan(scan: pa.Array) -> pa.Array:
+    """A struct like ``schemas.SCAN`` as a full-size datagram; the points of a batch are one array of records."""
+    lists = scan.field("points")
+    flat, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+    points = np.zeros(len(flat), POINT)
+    for c in _FIELDS:
+        points[c] = flat.field(c).to_numpy(zero_copy_only=False)
+    return pa.array([pack_scan_bytes(s, i, points[a:b]) for s, i, a, b in zip(_numbers(scan.field("stamp")), _numbers(scan.field("id")), ends, ends[1:])], pa.binary())
 
 
 # Scan accessors
