@@ -182,37 +182,6 @@ class Assembler:
         return Frame(scans, float(t.min()), float(t.max()), xyz, t)
 
 
-BATCHES = "recording_id string, batch_id long, n_scans long, imu_window long, first_seq long, last_seq long"
-
-
-class _BatchRows:
-    def __init__(self, key, period: float, imu_window: int):
-        self.key, self.batcher, self.first, self.last = key[0], Batcher(period, imu_window), None, None
-
-    def _row(self, out: tuple | None) -> list[tuple]:
-        if out is None:
-            return []
-        first, self.first = self.first, None
-        return [(self.key, out[0], len(out[1]), len(out[2]), first, self.last)]
-
-    def take(self, pdf: pd.DataFrame) -> list[tuple]:
-        rows = []
-        for seq, at, data in zip(pdf["seq"].tolist(), pdf["recv_time"].tolist(), pdf["payload"]):
-            if (message := unpack(data)) is None:
-                continue
-            self.first, self.last = seq if self.first is None else self.first, seq
-            rows += self._row(self.batcher.take(at, message))
-        return rows
-
-    def close(self) -> list[tuple]:
-        return self._row(self.batcher.close())
-
-
-def micro_batches(datagrams: DataFrame, period: float = PERIOD, imu_window: int = IMU_WINDOW) -> DataFrame:
-    """The batches in which a consumer would have seen a recording. The last one may hold no scan, only the window."""
-    return ordered_fold(datagrams, ["recording_id"], ["seq"], lambda k: _BatchRows(k, period, imu_window), BATCHES)
-
-
 PARITY_FRAMES = "recording_id string, frame_id long, t_start double, t_end double, span double, n_scans long, n_points long, points array<struct<x:double,y:double,z:double,t_norm:double>>"
 COUNTERS = ("scans_ingested", "points_ingested", "scans_unmatched", "frames_emitted", "frames_too_sparse")
 

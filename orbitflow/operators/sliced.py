@@ -61,6 +61,16 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], slice_: Column
     return out.withColumn(name, F.col(name) + F.coalesce("_carried", F.lit(0).cast(cut.schema["_v"].dataType))).drop("_slice", "_v", "_carried")
 
 
+def running_max(df: DataFrame, keys: list[str], order: list[str], slice_: Column, value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``, the greatest ``value`` up to and with each row; nulls do not count."""
+    cut = df.withColumn("_slice", slice_).withColumn("_v", value)
+    inside = F.max("_v").over(Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    tops = cut.groupBy(*keys, "_slice").agg(F.max("_v").alias("_s"))
+    over = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    out = _back(cut.withColumn(name, inside), tops.select(*keys, "_slice", F.max("_s").over(over).alias("_carried")), keys)
+    return out.withColumn(name, F.greatest(name, "_carried")).drop("_slice", "_v", "_carried")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], slice_: Column, name: str = "_i") -> DataFrame:
     """``df`` with ``name``, each row's number in ``order`` from 1."""
     return running_sum(df, keys, order, slice_, F.lit(1).cast("long"), name)

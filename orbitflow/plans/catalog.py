@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orbitflow.config import Config
 from orbitflow.functions import codec
 from orbitflow.functions import geometry as G
-from orbitflow.operators import align, buffers, fold, framing, health, mapping, odometry, results, rolling, trajectory
+from orbitflow.operators import align, batches, buffers, fold, framing, health, mapping, odometry, results, rolling, trajectory
 from orbitflow.plans import proxies as P
 from orbitflow.plans.proxies import CTES, DURATION, FEWEST, TOLERANCE
 
@@ -342,7 +342,7 @@ opened AS (
 SELECT recording_id, batch_id, n_scans, least(500, sum(n_imu) OVER (PARTITION BY recording_id ORDER BY batch_id))::BIGINT AS imu_window, first_seq, coalesce(last_seq, newest) AS last_seq FROM tails
 """)
 def micro_batches(spark, sf_dir):
-    return fold.micro_batches(P.datagrams(spark, sf_dir), BATCH)
+    return batches.micro_batches(P.datagrams(spark, sf_dir), BATCH)
 
 
 # On orderly data a replay sees what the analytic path sees.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orbitflow import schemas
 from orbitflow.config import Config
 from orbitflow.functions.codec import pack_imu_bytes, pack_scan_bytes, unpack
-from orbitflow.operators import align, fold, framing, rolling
+from orbitflow.operators import batches, align, fold, framing, rolling
 
 IDENTITY = (0.0, 0.0, 0.0, 1.0)
 
@@ -155,7 +155,7 @@ def recording(n=400, dt=0.005):
 
 def test_batches_and_replay_end_to_end(spark):
     df = spark.createDataFrame(recording(), schemas.DATAGRAMS).repartition(3)
-    b = fold.micro_batches(df, 0.1).orderBy("batch_id").collect()
+    b = batches.micro_batches(df, 0.1).orderBy("batch_id").collect()
     assert len(b) >= 5 and sum(x.n_scans for x in b) == 400 and b[-1].imu_window == 400 and [x.batch_id for x in b] == list(range(len(b)))
     f = fold.replay_frames(df, Config(frame_duration=0.2), 0.05, min_points=1).orderBy("frame_id").collect()
     assert len(f) >= 8 and all(abs(x.span - 0.2) <= 0.011 for x in f[:-1]) and all(p.t_norm <= 1 for p in f[0].points)
@@ -216,3 +216,27 @@ def test_window_of_a_replay(spark):
     df = spark.createDataFrame(recording(150), schemas.DATAGRAMS)
     got = rolling.replay_window(df, 10)
     assert got.select("stamp").distinct().count() == 10 and got.agg(F.max("stamp")).first()[0] == 100 + 149 * 0.005
+
+
+def test_micro_batches_equal_a_fold_in_order(spark):
+    """Clocks that step back, equal times, broken datagrams, slices that cut anywhere, and a recording without inertial samples."""
+    rng = random.Random(4)
+    rows, want = [], []
+    for name, n, kinds in (("a", 400, "is-"), ("b", 60, "s"), ("c", 1, "i"), ("d", 30, "is")):
+        at, state, held = 50.0, fold.Batcher(1.0, 20), [None, None]
+        for i in range(n):
+            at += rng.choice([0.0, 0.1, 0.4, -0.3, 1.5])
+            kind = rng.choice(kinds)
+            data = {"i": pack_imu_bytes(at, i, (0, 0, 0, 1)), "s": pack_scan_bytes(at, i, ramp(3, 1)), "-": b"\x65\0\0\0"}[kind]
+            rows.append((name, i, at, data))
+            if kind == "-":
+                continue
+            held = [i if held[0] is None else held[0], i]
+            if (b := state.take(at, ("imu" if kind == "i" else "scan", at, i, None))) is not None:
+                want.append((name, b[0], len(b[1]), len(b[2]), *held))
+                held[0] = None
+        if (b := state.close()) is not None:
+            want.append((name, b[0], len(b[1]), len(b[2]), *held))
+    df = spark.createDataFrame(rows, schemas.DATAGRAMS).repartition(3)
+    assert rows_of(batches.micro_batches(df, 1.0, 20)) == sorted(want, key=repr)
+    assert batches.micro_batches(df.limit(0)).count() == 0
