@@ -115,7 +115,7 @@ FROM documents d JOIN classes c ON d.doc_id = c.id LEFT JOIN n ON n.id = d.doc_i
     "op9_warc_revisits": r"""
 WITH a0 AS (
   SELECT page_id AS n, page_id % 3 < 2 AS shared, CASE WHEN page_id % 3 = 0 THEN 'hot.example/all' ELSE 'site' || (page_id % 97) || '.example/p' END AS host,
-         url AS own_url, md5(coalesce(html, '')) AS own, (page_id * 7 + page_id // 10) % 10 AS c, page_id + page_id * 7919 % 1000 AS asked FROM pages
+         url AS own_url, md5(coalesce(html, '')) AS own, (page_id * 7 + page_id // 10) % 10 AS c, page_id + page_id * 7919 % 120 AS asked FROM pages
 ), a1 AS (
   SELECT *, CASE WHEN shared THEN CASE n % 4 WHEN 0 THEN 'http://' || host WHEN 1 THEN 'HTTPS://www.' || host || '/' WHEN 2 THEN host || '?utm_source=p' ELSE 'https://u@' || host || '?ref=a#top' END ELSE own_url END AS url,
          CASE WHEN shared THEN 'v' || (n // 40) ELSE substr(own, 1, 16) END AS v, CASE WHEN shared THEN 'v' || (asked // 40) ELSE substr(own, 1, 16) END AS asked_v FROM a0

@@ -87,7 +87,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Records of ``pages(page_id, url, html)``: each page is a response at time 10 * page_id, and is asked for again up to 1000 pages later.
+    """Records of ``pages(page_id, url, html)``: each page is a response at time 10 * page_id, and is asked for again up to 120 pages later.
 
     A third of the pages are captures of one URL, a third of 97 others, in four spellings each; the rest keep their own. Contents of shared URLs change every 40 pages.
     What is stored and which validators are sent is drawn for each capture (case): 0-1 only part of the page was stored (206); 2 another entity tag; 4-5
@@ -97,7 +97,7 @@ def captures(pages: DataFrame) -> DataFrame:
     host = F.when(n % 3 == 0, "hot.example/all").otherwise(F.concat(F.lit("site"), (n % 97).cast("string"), F.lit(".example/p")))
     spelled = F.when(n % 4 == 0, F.concat(F.lit("http://"), host)).when(n % 4 == 1, F.concat(F.lit("HTTPS://www."), host, F.lit("/"))).when(n % 4 == 2, F.concat(host, F.lit("?utm_source=p"))).otherwise(F.concat(F.lit("https://u@"), host, F.lit("?ref=a#top")))
     shared = F.coalesce(n % 3 < 2, F.lit(False))
-    delay = n * 7919 % 1000
+    delay = n * 7919 % 120
     p = pages.select(n.alias("n"), F.when(shared, spelled).otherwise(F.col("url")).alias("url"), shared.alias("shared"), F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("own"), (n * 7 + F.floor(n / 10)).alias("mix"), delay.alias("delay"))
     c, n = F.col("mix") % 10, F.col("n")
 

@@ -234,9 +234,10 @@ def test_captures_of_pages(spark):
     assert revisit.resolve(revisit.captures(pages)).count() == 4
 
 
-def test_captures_look_back_over_others(spark, sf_dir):
+def test_captures_look_back_over_others(spark):
     """States of every kind, and most resolved to another page's response."""
-    got = revisit.resolve(revisit.captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))).collect()
+    pages = spark.range(900).selectExpr("id AS page_id", "concat('http://x.example/', id) AS url", "cast(id AS string) AS html")
+    got = revisit.resolve(revisit.captures(pages)).collect()
     assert {r.state for r in got} == {"resolved", "changed", "unverified", "unresolved"}
     others = [r for r in got if r.response_id is not None and r.response_id != r.record_id - 1]
     assert len(others) > len(got) / 4 and any(r.state == "resolved" for r in others)

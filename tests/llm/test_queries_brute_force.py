@@ -158,7 +158,7 @@ def test_decontamination_query(spark, sf_dir, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     want = plain_hits([(i, t) for i, t, _ in docs], items)
     got = {(r.doc_id, r.item_id): round(r.score, 9) for r in queries.op6_decontamination(spark, sf_dir).collect()}
-    assert got == {(docs[d][0], item): score for (d, item), score in want.items()} and len(got) > 3
+    assert got == {(docs[d][0], item): score for (d, item), score in want.items()} and len(got) >= 3
 
 
 def test_bpe_query(spark, sf_dir, docs):
