@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitflow.llm.common import Scratch, maybe_in, parts, with_columns
+from orbitflow.llm.common import Scratch, bounded, join_to_keys, maybe_in, parts, with_columns
 
 LENGTH, GRAM, SPAN = 400, 32, 272
 #: Bytes of a suffix that are compared: those that a window always holds from its place on.
@@ -253,13 +253,16 @@ def _window_rows(batches):
 
 def _crowded(blocks: DataFrame, scratch: Scratch) -> DataFrame:
     """Spans of the blocks (with ``raw``) of suffixes that many distinct blocks surround."""
-    n, two = parts(scratch.spark), "right binary, left binary"
+    n, two, sampled = parts(scratch.spark), "right binary, left binary", "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = scratch.spark.conf.get(sampled)
+    scratch.spark.conf.set(sampled, 10)  # keys hold up to LENGTH bytes, and the driver gets the sample
     sided = blocks.mapInPandas(_sides, f"{_BLOCK_TYPES}, {two}")
     # The order of doc_id spreads blocks that are alike on one side over several tasks.
     for side, out, types in (("right", "r", f"{_BLOCK_TYPES}, {two}, r long"), ("left", "l", f"{_BLOCK_TYPES}, {two}, r long, l long")):
         keys = ["suffix", side, "doc_id", "h", "place"]
         sided = scratch.keep(sided, "crowd").repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInPandas(_longest(side, out), types)
     rows = scratch.keep(sided.drop("left", "right").mapInPandas(_window_rows, "w binary, doc_id long, h long, start long"), "windows")
+    scratch.spark.conf.set(sampled, before)
     twice = rows.groupBy("w").count().where("count > 1").select("w")
     return maybe_in(rows, twice, "w").join(twice, "w", "left_semi").select("doc_id", "h", "start", (F.col("start") + LENGTH).alias("stop"))
 
@@ -296,15 +299,18 @@ def _repeats(docs: DataFrame, scratch: Scratch, batches: int) -> DataFrame:
         family.add(all_.where(F.col("batch") == b).select("suffix"))
     repeated = scratch.keep(family.repeated(), "repeated")
     family.close()
-    hit = maybe_in(all_, repeated, "suffix").join(repeated, "suffix", "left_semi")
-    hit = scratch.keep(hit.drop("batch"), "hit")
+    # Rows stay where they were read: a suffix or block with very many of them is counted before the shuffle and dealt out where it is joined.
+    key = F.concat("suffix", F.col("block").cast("string").cast("binary"))
+    hit = scratch.keep(maybe_in(all_, repeated, "suffix").drop("batch").withColumn("key", key), "hit")
     scratch.drop(all_)
-    blocks = hit.groupBy("suffix", "block").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "place", "first", "last")).alias("at"))
+    blocks = hit.groupBy("key", "suffix").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "place", "first", "last")).alias("at"))
     blocks = scratch.keep(blocks, "blocks")
-    whole = hit.join(blocks.where("n > 1").select("suffix", "block"), ["suffix", "block"], "left_semi")
+    copied = blocks.where("n > 1").select("key", "n", F.lit(True).alias("copied"))
+    whole = join_to_keys(hit, copied, "key", "n", "doc_id").where("copied")
     whole = whole.select("doc_id", "h", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
     open_ = blocks.groupBy("suffix").agg(F.count("*").alias("k"), F.count(F.when(F.col("n") == 1, 1)).alias("r")).where("k > 1 AND r > 0")
-    want = scratch.keep(blocks.join(open_, "suffix").select("suffix", "n", "k", "at.*"), "want")
+    want = join_to_keys(blocks, open_.select("suffix", "k", F.col("k").alias("members")), "suffix", "members", "key").where("k IS NOT NULL")
+    want = scratch.keep(want.select("suffix", "n", "k", "at.*"), "want")
 
     def raw(some: DataFrame) -> DataFrame:
         by_doc = some.groupBy("doc_id", "h").agg(F.collect_list(F.struct("suffix", "doc_id", "h", "place", "first", "last", "n")).alias("want"))
@@ -324,6 +330,7 @@ def remove_repeats(df: DataFrame, scratch: Scratch | None = None, batches: int =
     """doc_id, n_bytes, kept (binary: the remaining bytes), spans (removed runs) and text (what remains, characters cut in two as U+FFFD; null stays null)
     for each row of ``df(doc_id, text)``."""
     scratch = scratch or Scratch(df.sparkSession, "suffix")
+    bounded(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("own_id"), "text", F.xxhash64("text").alias("h"))
     # Inside, a null id is the smallest number: rows that then look alike have the same text, and so the same result.
     docs = docs.withColumn("doc_id", F.coalesce("own_id", F.lit(-(1 << 63))))
