@@ -6,7 +6,7 @@ import struct
 import duckdb
 import pytest
 from conftest import rows_of
-from fixtures import frame
+from fixtures import awkward, frame, plain_near
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -77,3 +77,15 @@ def test_stages_take_awkward_rows(spark, sf_dir):
     assert corpus_pipeline.tokens(spark, docs, sf_dir).count() == 10
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_without_labels_or_benchmark(spark, tmp_path):
+    """Nothing to learn from and nothing to look for: near-duplicates alone decide, also for very long texts, ties, repeated rows and rows without id."""
+    rows = awkward()
+    frame(spark, rows).select(*DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {i for i, _, _, keep in plain_near(rows, 80) if keep and i is not None}
+    want = [i for i, _ in {r for r in rows if r[0] in kept}] + [i for i, _ in rows if i is None]
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

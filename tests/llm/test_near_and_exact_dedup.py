@@ -1,5 +1,6 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -150,6 +151,14 @@ def test_embeddings_equal_all_pairs(spark, monkeypatch, leaf):
     assert got == plain_vectors(single)
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    unset = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+    assert common.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file://")
+
+
 def test_hot_groups_of_copies_are_dealt_out(spark, monkeypatch):
     """The same classes where every group of copies counts as hot."""
     rows = awkward() + [(2000 + i, "many copies of one text here") for i in range(40)] + [(3000 + i, None) for i in range(40)]
