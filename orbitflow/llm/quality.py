@@ -98,20 +98,20 @@ AT_ONCE = 2000
 
 
 class Logistic:
-    """Logistic regression with an L2 penalty by Newton steps over ``rows`` of ``x`` (all by default); features are standardised a few rows at a time."""
+    """Logistic regression with an L2 penalty by Newton steps over the rows of ``x`` and of further ``more`` (x, y); features are standardised a few rows at a time, no block is copied."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, penalty: float = 1.0):
-        rows = np.arange(len(x)) if rows is None else rows
-        parts = [(rows[i : i + AT_ONCE], y[i : i + AT_ONCE]) for i in range(0, len(rows), AT_ONCE)]
-        self.mean = sum(x[r].sum(0, dtype=np.float64) for r, _ in parts) / len(rows)
-        self.std = np.sqrt(sum(((x[r] - self.mean) ** 2).sum(0) for r, _ in parts) / len(rows)) + 1e-3
+    def __init__(self, x: np.ndarray, y: np.ndarray, *more: tuple[np.ndarray, np.ndarray], penalty: float = 1.0):
+        parts = [(a[i : i + AT_ONCE], b[i : i + AT_ONCE]) for a, b in ((x, y), *more) for i in range(0, len(a), AT_ONCE)]
+        rows = sum(len(b) for _, b in parts)
+        self.mean = sum(a.sum(0, dtype=np.float64) for a, _ in parts) / rows
+        self.std = np.sqrt(sum(((a - self.mean) ** 2).sum(0) for a, _ in parts) / rows) + 1e-3
         n = x.shape[1] + 1
         self.w, ridge = np.zeros(n), np.full(n, penalty)
         ridge[-1] = 1e-6
         for _ in range(12):
             slope, bend = -ridge * self.w, np.diag(ridge)
-            for r, goal in parts:
-                z = self._ready(x[r])
+            for a, goal in parts:
+                z = self._ready(a)
                 p = self._p(z @ self.w)
                 slope += z.T @ (goal - p)
                 bend += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
@@ -147,9 +147,9 @@ class CoTrained:
         train, calibrate = np.flatnonzero(~held), np.flatnonzero(held)
         if len(set(y[train])) < 2 or len(set(y[calibrate])) < 2:
             return
-        extra = [(x[v][:0], y[:0]) for v in range(2)]
+        own, extra = [x[v][train] for v in range(2)], [(x[v][:0], y[:0]) for v in range(2)]
         for r in range(ROUNDS + 1):
-            views = [Logistic(np.concatenate([x[v][train], extra[v][0]]), np.concatenate([y[train], extra[v][1]])) for v in range(2)]
+            views = [Logistic(own[v], y[train], extra[v]) for v in range(2)]
             if r < ROUNDS:
                 extra = surest(views, GROW * (r + 1))
         self.views = views
@@ -176,7 +176,8 @@ def _pack(view: np.ndarray) -> list[bytes]:
 
 
 def _unpack(column) -> np.ndarray:
-    return np.frombuffer(b"".join(map(zlib.decompress, column)), np.float16).reshape(len(column), -1).astype(np.float32)
+    """Features as they were packed: in half precision, which is also how they are held."""
+    return np.frombuffer(b"".join(map(zlib.decompress, column)), np.float16).reshape(len(column), -1)
 
 
 def _features(batches):
@@ -227,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, scratch:
     got = fetched([tuple(r) for r in some.collect()], "ab")
     if got.empty:
         return CoTrained((np.zeros((0, 1)),) * 2, np.zeros(0), np.zeros(0, bool), surest)
-    x, y = tuple(_unpack(got[c].tolist()) for c in "ab"), got["y"].to_numpy(float)
+    x, y = tuple(_unpack(got.pop(c).tolist()) for c in "ab"), got["y"].to_numpy(float)
     held = np.array([zlib.crc32(str(i).encode()) % HELD == 0 for i in got["doc_id"]])
     return CoTrained(x, y, held, surest)
 
