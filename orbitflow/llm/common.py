@@ -85,14 +85,14 @@ def slices(texts: Iterable[str | None], most: int = CHUNK) -> Iterator[tuple[int
 FILTER_BITS = 1 << 23
 
 
-def maybe_in(df: DataFrame, keys: DataFrame, column: str, key: str | None = None, keep_all: bool = False) -> DataFrame:
+def maybe_in(df: DataFrame, keys: DataFrame, column: str, key: str | None = None, keep_all: bool = False, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be in ``keys`` (never leaving out one that is), or all with a flag ``maybe``.
 
-    One bit a hash, in ``FILTER_BITS / 63`` rows at most, is all that is broadcast, however many keys there are; with very
+    One bit a hash, in ``bits / 63`` rows at most, is all that is broadcast, however many keys there are; with very
     many keys more rows than needed pass, and the join that follows stays exact.
     """
     def bit(c):
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+        return F.pmod(F.xxhash64(c), F.lit(bits))
 
     words = keys.select(bit(F.col(key or column)).alias("b")).groupBy((F.col("b") / 63).cast("int").alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 63).cast("int"))).alias("_mask"))
     own = df.withColumn("_bit", bit(F.col(column)))

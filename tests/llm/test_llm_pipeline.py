@@ -10,7 +10,7 @@ from fixtures import awkward, frame, plain_near
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from orbitflow.llm import bpe, decontam, minhash, pii, quality, queries
+from orbitflow.llm import bpe, decontam, pii, quality, queries
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,8 +47,8 @@ def test_pipeline_equals_its_stages_in_plain_python(spark, sf_dir):
     labels, bench = spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
     good = {r.doc_id for r in quality.score(docs, quality.train(docs, labels)).where("kept").collect()}
     rows = [r for r in docs.select(*DOCS).collect() if r.doc_id in good]
-    near = {r.doc_id: r.component_id for r in minhash.classes(spark.createDataFrame(rows, docs.select(*DOCS).schema)).collect()}
-    rows = [r for r in rows if near[r.doc_id] == r.doc_id]
+    alone = {i for i, _, _, keep in plain_near([(r.doc_id, r.text) for r in rows], corpus_pipeline.NEAR) if keep}
+    rows = [r for r in rows if r.doc_id in alone]
     index = decontam.Index([(r.item_id, r.text) for r in bench])
     rows = [r for r in rows if not index.hits([r.text or ""])]
     clean = pii.find(spark.createDataFrame(rows, docs.select(*DOCS).schema)).select("doc_id", pii.redacted(corpus_pipeline.F.col("text"), corpus_pipeline.F.col("spans")).alias("t")).collect()
