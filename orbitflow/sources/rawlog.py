@@ -1,7 +1,7 @@
 """Recordings: a magic, then records of arrival time, length and one datagram.
 
-``read`` is a Spark data source with one partition a file: records have no marks to split at. Files are read as streams in the task, a
-record at a time, from any store that Spark's reader lists. Datagrams at scale belong into Parquet; ``to_parquet`` writes them there once.
+``read`` is a Spark data source with one partition a file. Files are read as streams in the task, a record at a time, from any store that Spark's reader lists.
+Large files are read by many tasks once ``sources.offsets`` has indexed them. Datagrams at scale belong into Parquet; ``to_parquet`` writes them there once.
 """
 
 from __future__ import annotations
@@ -74,10 +74,15 @@ class _File(InputPartition):
         self.path = path
 
 
-def _open(path: str):
+def located(path: str):
+    """(store, path inside it) of a path or URI."""
     import pyarrow.fs as fs
 
-    store, inside = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def _open(path: str):
+    store, inside = located(path)
     return store.open_input_stream(inside)
 
 
@@ -145,9 +150,7 @@ class _Writer(DataSourceWriter):
         self.folder, self.job = options["path"], uuid.uuid4().hex
 
     def _store(self):
-        import pyarrow.fs as fs
-
-        store, inside = fs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else f"file://{self.folder}")
+        store, inside = located(self.folder)
         return store, inside.rstrip("/"), f"{inside.rstrip('/')}/_temporary-{self.job}"
 
     def write(self, rows):
@@ -187,11 +190,12 @@ class _Writer(DataSourceWriter):
             store.delete_dir(temp)
 
 
-def listed(spark: SparkSession, glob: str) -> list[str]:
-    """Paths that match, as Spark's file system sees them."""
+def listed(spark: SparkSession, glob: str, sizes: bool = False) -> list:
+    """Paths that match, as Spark's file system sees them, or (path, bytes)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(glob)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(s.getPath().toString() for s in found if not s.isDirectory())
+    files = sorted((s.getPath().toString(), s.getLen()) for s in found if not s.isDirectory())
+    return files if sizes else [p for p, _ in files]
 
 
 def read(spark: SparkSession, glob: str) -> DataFrame:
