@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orbitflow.config import Config
 from orbitflow.functions import codec
 from orbitflow.functions import geometry as G
-from orbitflow.operators import align, batches, buffers, fold, framing, health, mapping, odometry, results, rolling, trajectory
+from orbitflow.operators import align, arrivals, batches, buffers, fold, framing, health, mapping, odometry, results, rolling, trajectory
 from orbitflow.plans import proxies as P
 from orbitflow.plans.proxies import CTES, DURATION, FEWEST, TOLERANCE
 
@@ -283,6 +283,25 @@ def rolling_centroid_nearest(spark, sf_dir):
     return rounded(out, "mean_x", "mean_y", "mean_z", "nearest", "radius_mean", "radius_std")
 
 
+#: Scans of the window on late data, seqs of a batch of arrivals, and how late every fifth scan is.
+LATE_HELD, LATE_BATCH, LATE = 4, 500, 86400.0
+
+
+@query(f"""
+, came AS (SELECT recording_id, seq, stamp - CASE WHEN seq % 5 = 0 THEN (seq % 7) * {LATE}::DOUBLE ELSE 0 END AS stamp FROM scans),
+newer AS (SELECT a.recording_id, a.seq, a.stamp, b.seq AS later, row_number() OVER (PARTITION BY a.seq ORDER BY b.seq) AS n FROM came a JOIN came b ON a.recording_id = b.recording_id AND (b.stamp > a.stamp OR (b.stamp = a.stamp AND b.seq > a.seq))),
+went AS (SELECT recording_id, seq, stamp, greatest(seq, later) AS evicted_at FROM newer WHERE n = {LATE_HELD}),
+ins AS (SELECT recording_id, seq // {LATE_BATCH} AS batch, count(*) AS n FROM came GROUP BY 1, 2),
+outs AS (SELECT recording_id, evicted_at // {LATE_BATCH} AS batch, count(*) AS n, count(*) FILTER (seq = evicted_at) AS late, min(stamp) AS lo, max(stamp) AS hi FROM went GROUP BY 1, 2)
+SELECT i.recording_id, i.batch, i.n AS n_accumulated, coalesce(o.n, 0) AS n_evicted, coalesce(late, 0) AS n_late, {_r6('lo')} AS oldest_evicted, {_r6('hi')} AS newest_evicted FROM ins i LEFT JOIN outs o ON o.recording_id = i.recording_id AND o.batch = i.batch
+""")
+def late_window(spark, sf_dir):
+    """Taken in and fallen out in every batch, where every fifth scan comes up to six days late."""
+    late = F.when(F.col("seq") % 5 == 0, F.col("seq") % 7 * LATE).otherwise(0.0)
+    s = P.scans(spark, sf_dir).select("recording_id", "seq", (F.col("stamp") - late).alias("stamp"))
+    return rounded(arrivals.window_log(s, F.floor(F.col("seq") / LATE_BATCH), LATE_HELD, size=256, group=8), "oldest_evicted", "newest_evicted")
+
+
 # Alignment
 
 
