@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from orbitflow.llm.common import Scratch, parts
 
 BUCKETS, ORDERS = 10_000, 3
+#: Bits of a bucket's number from 1, or of 0 for none, in a packed place.
+BITS = BUCKETS.bit_length()
 #: Words that a document needs to be drawn, and hundredths of such documents that are.
 LEAST, SHARE = 20, 5
 SEED = 42
@@ -33,30 +35,37 @@ def words(text: Column) -> Column:
 
 
 def features(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, n_words and ``buckets``, one for every run of words, repeats included; a row for each row that has words.
+    """``keep``, n_words and ``places``: for each word the buckets of the runs that begin with it, packed into a long (``unpacked``); a row for each row that has words.
 
     The number of a row only holds its words together within this job: it is made at the scan, before anything is shuffled, so a task that runs again gives
-    the same.
+    the same. Words come to the aggregate in their order, which needs no hash table then.
     """
-    rows = texts.select(F.monotonically_increasing_id().alias("_row"), *keep, "text").where("text IS NOT NULL").repartition(parts(texts.sparkSession), "_row")
+    spark = texts.sparkSession
+    spark.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
+    rows = texts.select(F.monotonically_increasing_id().alias("_row"), *keep, "text").where("text IS NOT NULL").repartition(parts(spark), "_row")
     places = rows.select("_row", *keep, F.posexplode(words(F.col("text"))).alias("_at", "_w0"))
     order = Window.partitionBy("_row").orderBy("_at")
     places = places.withColumns({f"_w{k}": F.lead("_w0", k).over(order) for k in range(1, ORDERS)})
-    runs, own = [], F.col("_w0")
+    packed, own = F.lit(0).cast("long"), F.col("_w0")
     for k in range(ORDERS):
         own = own if k == 0 else F.concat(own, F.lit(" "), F.col(f"_w{k}"))  # null beyond the last word
-        runs.append(F.when(own.isNotNull(), (F.crc32(own) % BUCKETS).cast("short")))
-    kept = [F.first(c).alias(c) for c in keep]
-    return places.withColumn("_runs", F.array_compact(F.array(*runs))).groupBy("_row").agg(*kept, F.count("*").alias("n_words"), F.flatten(F.collect_list("_runs")).alias("buckets")).drop("_row")
+        packed = packed + F.shiftleft(F.coalesce(F.crc32(own) % BUCKETS + 1, F.lit(0).cast("long")), BITS * k)
+    return places.select("_row", *keep, packed.alias("_packed")).groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.count("*").alias("n_words"), F.collect_list("_packed").alias("places")).drop("_row")
+
+
+def unpacked(found: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``bucket``, a row for each feature."""
+    runs = F.explode(F.array(*[F.shiftright("_packed", BITS * k).bitwiseAND((1 << BITS) - 1) - 1 for k in range(ORDERS)])).alias("bucket")
+    return found.select(*keep, F.explode("places").alias("_packed")).select(*keep, runs).where("bucket >= 0")
 
 
 def _counted(found: DataFrame, name: str) -> DataFrame:
-    return found.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+    return unpacked(found).groupBy("bucket").agg(F.count("*").alias(name))
 
 
 def gains(corpus: DataFrame, target: DataFrame) -> DataFrame:
     """(bucket, gain) for every bucket, from ``features`` of both sides."""
-    every = corpus.sparkSession.range(BUCKETS).select(F.col("id").cast("short").alias("bucket"))
+    every = corpus.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
     counts = every.join(_counted(corpus, "s"), "bucket", "left").join(_counted(target, "t"), "bucket", "left").na.fill(0, ["s", "t"])
     s, t = F.col("s").cast("double"), F.col("t").cast("double")
     all_of = counts.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
@@ -86,7 +95,7 @@ def resample(documents: DataFrame, target: DataFrame) -> DataFrame:
     scratch = Scratch(spark, f"resample-{uuid.uuid4().hex[:8]}")
     found = scratch.keep(features(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"]), "features")
     table = gains(found, features(target.select("text"), []))
-    runs = found.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "n_words", F.explode("buckets").alias("bucket"))
+    runs = unpacked(found.withColumn("_row", F.monotonically_increasing_id()), "_row", "doc_id", "n_words")
     weighed = runs.join(F.broadcast(table), "bucket").groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count("*").alias("n_features"), F.sum("gain").alias("weight"))
     blank = documents.where(F.size(words(F.coalesce("text", F.lit("")))) == 0).select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_words", "n_features", "weight")])
     scored = weighed.drop("_row").unionByName(blank).withColumn("score", F.col("weight") + noise(F.col("doc_id")))
