@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orbitflow.config import Config
 from orbitflow.functions import geometry as G
+from orbitflow.operators import fft
 from orbitflow.operators.sliced import ROWS, by_number, by_stamp, neighbours, numbered, quantiles, running_sum
 
 # Thresholds of the checks.
@@ -156,26 +157,10 @@ def highpass_width(imu_hz: float) -> int:
 
 
 SPECTRUM = "recording_id string, gyro_hz double, gyro_amplitude double, accel_hz double, accel_amplitude double, peaks array<struct<hz:double,amplitude:double>>, gyro_rms array<double>"
-#: Inertial samples, and frequencies, that one task transforms at once.
+#: Inertial samples that one task transforms by itself; longer recordings go through ``fft.transform``.
 STRETCH = 1 << 15
 
 
-def _chirp(v: np.ndarray, n: int) -> np.ndarray:
-    return np.exp(-1j * np.pi * ((v * v) % (2 * n)) / n)
-
-
-def partial_dft(x: np.ndarray, start: int, first: int, many: int, n: int) -> np.ndarray:
-    """What samples ``start`` and on of ``n``, the rows of ``x``, add to the frequencies ``first`` and on of the whole transform."""
-    j, m = np.arange(len(x)), np.arange(many)
-    a = x * (_chirp(j, n) * np.exp(-2j * np.pi * ((first * (start + j)) % n) / n))[:, None]
-    size = 1 << (len(x) + many - 2).bit_length()
-    b = np.zeros(size, complex)
-    b[:many] = _chirp(m, n).conj()
-    b[size - len(x) + 1 :] = _chirp(j[1:], n).conj()[::-1]
-    y = np.fft.ifft(np.fft.fft(a, size, axis=0) * np.fft.fft(b)[:, None], axis=0)[:many]
-    return y * (_chirp(m, n) * np.exp(-2j * np.pi * ((m * start) % n) / n))[:, None]
-
-
 def peaks_of(freq: np.ndarray, total: np.ndarray, most: int = 5) -> list[tuple[float, float]]:
     """The highest peaks, at least 1 Hz apart, down to a hundredth of the highest."""
     work, out = total.copy(), []
@@ -194,9 +179,8 @@ _SUMS = [*(f"re_{c}" for c in _AXES), *(f"im_{c}" for c in _AXES)]
 def spectra(imu: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Dominant vibration of each recording with 64 samples at least: frequencies, amplitudes, gyro peaks and residual noise.
 
-    Each has one spectrum over all its samples. A task transforms ``stretch`` samples at ``stretch`` frequencies; sums over stretches give the
-    whole transform, and sums of squares the noise, so where a recording is cut changes nothing. Stretches times frequencies grow with the square of a
-    long recording; its peaks are picked in one task, from five numbers a frequency.
+    Each has one spectrum over all its samples. Up to ``stretch`` of them are transformed in one task, more in several passes over blocks, whose shuffles grow with the
+    samples; sums of squares over stretches give the noise, so where a recording is cut changes nothing. Peaks are picked in one task, from five numbers a frequency.
     """
     flat = imu.select("recording_id", "stamp", "seq", *[F.col(f"{v}.{c}").cast("double").alias(f"{v[0]}{c}") for v in ("gyro", "accel") for c in "xyz"])
     flat = numbered(flat, KEYS, ["stamp", "seq"], by_stamp()).withColumn("_i", F.col("_i") - 1)
@@ -208,38 +192,39 @@ def spectra(imu: DataFrame, stretch: int = STRETCH) -> DataFrame:
     last = F.floor((F.col("_n") - 1) / stretch)
     near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_i") - half) / stretch)), F.least(last, F.floor((F.col("_i") + half) / stretch)))
     placed = flat.drop("stamp", "seq").join(whole, "recording_id").withColumn("piece", F.explode(F.when(last == 0, F.array(F.lit(0).cast("long"))).otherwise(near)))
-    placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.floor(F.col("_n") / 2) / stretch))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         top = pdf.iloc[0]
-        n, gap, lo, first = int(top["_n"]), float(top["_gap"]), int(top["piece"]) * stretch, int(top["part"]) * stretch
+        n, gap, lo = int(top["_n"]), float(top["_gap"]), int(top["piece"]) * stretch
         at = pdf["_i"].to_numpy()
         own = (at >= lo) & (at < lo + stretch)
         if not own.any():
             return pd.DataFrame(columns=["recording_id", "_n", "_gap", "k", *_SUMS])
         x = pdf[_AXES].to_numpy(float) - top[[f"mean_{c}" for c in _AXES]].to_numpy(float)
-        window = 0.5 - 0.5 * np.cos(2 * np.pi * at[own] / (n - 1))
-        many = min(stretch, n // 2 + 1 - first)
-        y = np.fft.rfft(x[own] * window[:, None], axis=0) if n <= stretch else partial_dft(x[own] * window[:, None], lo, first, many, n)
+        y = np.fft.rfft(x[own] * (0.5 - 0.5 * np.cos(2 * np.pi * at[own] / (n - 1)))[:, None], axis=0) if n <= stretch else np.zeros((0, len(_AXES)))
         out = pd.DataFrame(np.hstack([y.real, y.imag]), columns=_SUMS)
-        out.insert(0, "k", np.arange(first, first + len(y)))
-        if first == 0:
-            wide, g = highpass_width(1 / gap), x[:, :3]
-            if n > 2 * wide:
-                inner = np.flatnonzero(own & (at >= wide) & (at < n - wide))
-                sums = np.cumsum(np.vstack([np.zeros((1, 3)), g]), 0)
-                rest = g[inner] - (sums[inner + wide // 2 + 1] - sums[inner - wide // 2]) / wide
-            else:
-                rest = g[own]
-            out.loc[len(out)] = [-1, *(rest**2).sum(0), len(rest), *[0.0] * (len(_SUMS) - 4)]
+        out.insert(0, "k", np.arange(len(y)))
+        wide, g = highpass_width(1 / gap), x[:, :3]
+        if n > 2 * wide:
+            inner = np.flatnonzero(own & (at >= wide) & (at < n - wide))
+            sums = np.cumsum(np.vstack([np.zeros((1, 3)), g]), 0)
+            rest = g[inner] - (sums[inner + wide // 2 + 1] - sums[inner - wide // 2]) / wide
+        else:
+            rest = g[own]
+        out.loc[len(out)] = [-1, *(rest**2).sum(0), len(rest), *[0.0] * (len(_SUMS) - 4)]
         out.insert(0, "_gap", gap)
         out.insert(0, "_n", n)
         out.insert(0, "recording_id", top["recording_id"])
         return out.astype({"k": "int64"})
 
-    sums = placed.groupBy("recording_id", "piece", "part").applyInPandas(one, "recording_id string, _n long, _gap double, k long, " + ", ".join(f"{c} double" for c in _SUMS))
+    sums = placed.groupBy("recording_id", "piece").applyInPandas(one, "recording_id string, _n long, _gap double, k long, " + ", ".join(f"{c} double" for c in _SUMS))
     sums = sums.groupBy("recording_id", "_n", "_gap", "k").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    windowed = [((F.col(c) - F.col(f"mean_{c}")) * (0.5 - 0.5 * F.cos(2 * np.pi * F.col("_i") / (F.col("_n") - 1)))).alias(c) for c in _AXES]
+    long = flat.join(whole.where(F.col("_n") > stretch), "recording_id")
+    gaps = whole.select("recording_id", "_gap")
+    waves = fft.transform(long.select("recording_id", "_n", "_i", *windowed), _AXES).join(gaps, "recording_id")
+    sums = sums.unionByName(waves)
     size = {c: 2 * F.hypot(f"re_{c}", f"im_{c}") / ((F.col("_n") - 1) / 2) for c in _AXES}
     of = {"gyro": _AXES[:3], "accel": _AXES[3:]}
     hz = F.when(F.col("k") >= 0, F.col("k") / (F.col("_n") * F.col("_gap")))
