@@ -199,7 +199,7 @@ class Automaton:
                 n = length[v]
             if c in nxt[v]:
                 v, n = nxt[v][c], n + 1
-            while length[link[v]] >= most:  # the state of the last ``most`` words alone; no state links below the start
+            while v and length[link[v]] >= most:  # the state of the last ``most`` words alone
                 v = link[v]
             if n > most:
                 n = most
