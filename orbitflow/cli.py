@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from orbitflow.operators.results import tags
     from orbitflow.plans import reports
-    from orbitflow.sources import rawlog, tables
+    from orbitflow.sources import rawlog, resultlog, tables
 
     config, extra = config_from(args), tags(getattr(args, "tag", []))
     spark = SparkSession.builder.appName(f"orbitflow {args.what}").getOrCreate()
@@ -86,7 +86,9 @@ def main(argv: list[str] | None = None) -> int:
     meta = tables.read_sidecars(spark, args.sidecars) if args.sidecars else None
     if args.what == "odometry":
         _, row = reports.odometry_report(data, meta, config, args.scale, **extra)
-        (tables.append_results(row, args.results) if args.results else row).show(100, False)
+        if args.results:
+            resultlog.append(row, args.results)
+        (resultlog.read(spark, args.results) if args.results else row).show(100, False)
     elif args.what == "precheck":
         for name, df in reports.precheck(data, meta, config).items():
             print(name)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import getpass
 import platform
-import re
 import socket
 import subprocess
 import sys
@@ -18,10 +17,7 @@ from pyspark.sql import functions as F
 from orbitflow import schemas
 from orbitflow.functions.geometry import height_color
 from orbitflow.operators.results import widen
-
-# The only PLY layout that is written and read.
-PLY_HEADER = "ply\nformat binary_little_endian 1.0\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n"
-VERTEX = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("red", "u1"), ("green", "u1"), ("blue", "u1")])
+from orbitflow.sources.clouds import PLY_HEADER, VERTEX, read_ply
 
 
 def read_sidecars(spark: SparkSession, glob: str) -> DataFrame:
@@ -84,7 +80,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame | None:
 def append_results(rows: DataFrame, path: str) -> DataFrame:
     """Append to a result table, widening it: the new table is written beside the old one, which steps aside for it and goes last.
 
-    Wherever this is cut short, the next reader finds the old table or the new one, whole. One writer at a time.
+    Wherever this is cut short, the next reader finds the old table or the new one, whole. One writer at a time; for tables that grow long or have several, see ``resultlog``.
     """
     spark = rows.sparkSession
     table = widen(read_results(spark, path), rows)
@@ -114,24 +110,6 @@ def write_ply(cloud: DataFrame, path: str, lo: float, hi: float, order: str = "o
     return n
 
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """ord, x, y, z of files that ``write_ply`` wrote; others are refused. Spark reads the bytes, tasks decode them."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"]):
-                m = re.search(rb"element vertex (\d+)\n", data[:300])
-                head = PLY_HEADER.format(n=int(m.group(1))).encode() if m else b"?"
-                if not data.startswith(head):
-                    raise ValueError(f"{name}: not a cloud of ours")
-                v = np.frombuffer(data, VERTEX, int(m.group(1)), len(head))
-                yield pd.DataFrame({"path": name, "ord": np.arange(len(v)), **{c: v[c].astype(float) for c in "xyz"}})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ord long, x double, y double, z double")
-
-
 def write_trajectory(poses: DataFrame, path: str) -> int:
     """Positions of one recording as a .npy file of (frames, 3)."""
     rows = np.array([(r.x, r.y, r.z) for r in poses.select("frame_id", "x", "y", "z").orderBy("frame_id").toLocalIterator()], float).reshape(-1, 3)
@@ -147,6 +125,6 @@ def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
 
 def load_saved(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
     """(clouds, trajectory) saved under a prefix: ``<prefix>_map_deskew.ply`` and ``<prefix>_map_raw.ply`` with ``cloud`` deskew or raw, and
-    ``<prefix>_traj.npy``, without rows if there is none."""
+    ``<prefix>_traj.npy``. What is not there has no rows."""
     clouds = [read_ply(spark, f"{prefix}_map_{kind}.ply").drop("path").withColumn("cloud", F.lit(kind)) for kind in ("deskew", "raw")]
     return clouds[0].unionByName(clouds[1]), read_trajectory(spark, f"{prefix}_traj.npy")
