@@ -46,6 +46,47 @@ def voxel_new(seen: DataFrame, cloud: DataFrame, voxel: float, keys: list[str] |
     return out.join(full, keys, "left_anti")
 
 
+#: Bits of a voxel number on an axis, and of those the low ones that a cell of the map's files spans.
+AXIS_BITS, CELL_BITS = 21, 8
+# Masks that spread 21 bits to every third place, and the shifts before them.
+SPREAD = [(32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
+
+
+def voxel_key(voxel: float) -> Column:
+    """The voxel of x, y, z as one long in Morton order: 21 bits an axis, so that voxels near each other have near keys and ``cell_of`` is a shift.
+
+    Null for NaN points. A voxel more than 2^20 voxels from the origin raises.
+    """
+    out = F.lit(0).cast("long")
+    for place, c in enumerate(AXES):
+        n = F.floor(F.col(c) / voxel).cast("long") + (1 << AXIS_BITS - 1)
+        bad = F.raise_error(F.concat(F.lit("outside of the map: "), F.col(c).cast("string"))).cast("long")
+        bits = F.when(F.isnan(c) | F.col(c).isNull(), F.lit(None)).when(n.between(0, (1 << AXIS_BITS) - 1), n).otherwise(bad)
+        for shift, mask in SPREAD:
+            bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask))
+        out = out.bitwiseOR(F.shiftleft(bits, place))
+    return out
+
+
+def cell_of(key: Column) -> Column:
+    """The cube of 2^CELL_BITS voxels a side that a key lies in."""
+    return F.shiftright(key, 3 * CELL_BITS)
+
+
+def map_step(seen: DataFrame, cloud: DataFrame, voxel: float, order: str = "ord", keys: list[str] | None = None) -> DataFrame:
+    """What an incremental map takes from ``cloud``, with ``key`` and ``cell``: the first point of each voxel that ``seen`` (with key and cell) lacks.
+
+    Of ``seen`` only the cells that the cloud reaches are read, where it is a table partitioned by cell: they reach its scan as a dynamic filter. There are as many
+    as cubes in the sensors' range, few beside the points.
+    """
+    own = keys or []
+    known = cloud.withColumn("key", voxel_key(voxel)).where("key IS NOT NULL")
+    fresh = known.groupBy(*own, "key").agg(F.min_by(F.struct(*[F.col(c) for c in cloud.columns]), F.col(order)).alias("_p")).select("_p.*", "key", cell_of(F.col("key")).alias("cell"))
+    cells = known.select(cell_of(F.col("key")).alias("cell")).where("cell >= 0").distinct()  # of a micro-batch
+    near = seen.join(F.broadcast(cells), "cell", "left_semi").select(*own, "key")
+    return fresh.join(near, [*own, "key"], "left_anti")
+
+
 def extent(cloud: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Count, and least and largest coordinate of each axis."""
     aggs = [F.count("*").alias("n_points")]

@@ -526,6 +526,19 @@ def voxel_incremental(spark, sf_dir):
     return mapping.voxel_new(c.where("ord % 2 = 0"), c.where("ord % 2 = 1"), VOXEL, ["recording_id"])
 
 
+@query(f"""
+, k AS (SELECT *, floor(x / {VOXEL}::DOUBLE) AS kx, floor(y / {VOXEL}::DOUBLE) AS ky, floor(z / {VOXEL}::DOUBLE) AS kz FROM cloud),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, kx, ky, kz ORDER BY ord) AS rn FROM k WHERE ord % 3 = 1) WHERE rn = 1)
+SELECT recording_id, ord, x, y, z FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.ord % 3 <> 1 AND k.recording_id = f.recording_id AND k.kx = f.kx AND k.ky = f.ky AND k.kz = f.kz)
+""")
+def voxel_map_step(spark, sf_dir):
+    """The same by packed keys and cells, as the live map does it."""
+    c = P.cloud(spark, sf_dir)
+    key = mapping.voxel_key(VOXEL)
+    seen = c.where("ord % 3 <> 1").select("recording_id", key.alias("key"), mapping.cell_of(key).alias("cell"))
+    return mapping.map_step(seen, c.where("ord % 3 = 1"), VOXEL, "ord", ["recording_id"]).drop("key", "cell")
+
+
 @query("SELECT recording_id, count(*) AS n_points, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max FROM cloud GROUP BY 1")
 def map_extent(spark, sf_dir):
     return mapping.extent(P.cloud(spark, sf_dir), ["recording_id"])

@@ -21,9 +21,10 @@ from orbitflow import schemas
 from orbitflow.config import IMU_WINDOW, MAP_VOXEL, Config, Registration
 from orbitflow.functions.codec import unpack
 from orbitflow.operators.fold import PARITY_FRAMES, Assembler, _fields
-from orbitflow.operators.mapping import voxel_new
+from orbitflow.operators.mapping import map_step
 from orbitflow.operators.odometry import _Register
 from orbitflow.operators.results import KEYS
+from orbitflow.streaming.status import ARRIVALS, told, watched
 
 
 def configure(spark: SparkSession) -> None:
@@ -37,6 +38,8 @@ class _PerRecording(StatefulProcessor):
     """
 
     columns: list[str] = []
+    #: The column that tells how far a result reaches.
+    end = "t_end"
     idle: float | None = None
 
     def fresh(self, key: tuple):
@@ -115,6 +118,7 @@ class Frames(_PerRecording):
 
 
 class Poses(Frames):
+    end = "stamp"
     columns = [f.strip().split(" ")[0] for f in _fields(schemas.POSES)]
 
     def fresh(self, key):
@@ -130,7 +134,8 @@ class Poses(Frames):
 
 def _stateful(datagrams: DataFrame, processor: _PerRecording, schema: str) -> DataFrame:
     configure(datagrams.sparkSession)
-    return datagrams.groupBy("recording_id").transformWithStateInPandas(processor, schema, "Append", "None" if processor.idle is None else "ProcessingTime")
+    made = watched(datagrams).groupBy("recording_id").transformWithStateInPandas(processor, schema, "Append", "None" if processor.idle is None else "ProcessingTime")
+    return told(made, processor.end)
 
 
 def live_frames(datagrams: DataFrame, config: Config | None = None, imu_window: int = IMU_WINDOW, idle: float | None = None) -> DataFrame:
@@ -144,8 +149,13 @@ def live_poses(datagrams: DataFrame, config: Config | None = None, imu_window: i
 
 
 class MapSink:
-    """``foreachBatch`` writer of an incremental map: of each batch the points whose voxels the table lacks. A batch that is run again after a
-    failure replaces its own files, so nothing is doubled. ``clear`` empties the map."""
+    """``foreachBatch`` writer of an incremental map: of each batch the points whose voxels the table lacks. ``clear`` empties the map.
+
+    Files are partitioned by cell, a cube of space, and batch. A batch reads only the cells that it reaches, so its cost follows the batch and not the map. A batch that is run again after a
+    failure replaces its own partitions, so nothing is doubled.
+    """
+
+    SCHEMA = f"{schemas.CLOUD}, key bigint, cell bigint, batch bigint"
 
     def __init__(self, path: str, voxel: float = MAP_VOXEL, max_points: int | None = None):
         self.path, self.voxel, self.max_points = path.rstrip("/"), voxel, max_points
@@ -154,18 +164,27 @@ class MapSink:
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
-    def points(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """The map so far (of batches before ``before``)."""
+    def stored(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """The map's table (of batches before ``before``), with key, cell and batch."""
         store, path = self._fs(spark)
         if not store.exists(path):
-            return spark.createDataFrame([], schemas.CLOUD + ", batch long")
-        df = spark.read.schema(schemas.CLOUD + ", batch long").parquet(self.path)
+            return spark.createDataFrame([], self.SCHEMA)
+        df = spark.read.schema(self.SCHEMA).parquet(self.path)
         return df if before is None else df.where(F.col("batch") < before)
 
+    def points(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """The map so far (of batches before ``before``)."""
+        return self.stored(spark, before).drop("key", "cell")
+
     def __call__(self, cloud: DataFrame, batch: int) -> None:
         spark = cloud.sparkSession
-        new = voxel_new(self.points(spark, batch), cloud, self.voxel, KEYS, "ord", self.max_points)
-        new.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        seen = self.stored(spark, batch)
+        new = map_step(seen, cloud, self.voxel, "ord", KEYS)
+        if self.max_points is not None:
+            full = seen.groupBy(*KEYS).count().where(F.col("count") >= self.max_points).select(*KEYS)
+            new = new.join(full, KEYS, "left_anti")
+        out = new.withColumn("batch", F.lit(batch).cast("long")).repartition("cell")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell", "batch").parquet(self.path)
 
     def clear(self, spark: SparkSession) -> None:
         store, path = self._fs(spark)
@@ -175,10 +194,13 @@ class MapSink:
 class Running:
     """A started query as a context: stopped at the end, whatever happens; stopping twice does no harm.
 
-    A query that was running before is borrowed: it is used and left running, as it belongs to somebody else.
+    A query that was running before is borrowed: it is used and left running, as it belongs to somebody else. One that was not, given as another ``Running``, is started here and
+    stopped here.
     """
 
-    def __init__(self, start: Callable[[], StreamingQuery] | StreamingQuery):
+    def __init__(self, start: Callable[[], StreamingQuery] | StreamingQuery | Running):
+        if isinstance(start, Running):
+            start = start.query if start.is_running else start.start
         self.borrowed = None if callable(start) else start
         self.start, self.query = start, None
 
@@ -208,12 +230,14 @@ class Running:
         return self.is_running
 
     def wait_until_ready(self, timeout: float = 5.0) -> bool:
-        """Whether any rows arrived within ``timeout`` seconds."""
+        """Whether at least one scan and one sample arrived within ``timeout`` seconds; any row counts in a query without ``status.watched``."""
         import time
 
         ends = time.monotonic() + timeout
         while time.monotonic() < ends:
-            if self.query is not None and any(p.numInputRows for p in self.query.recentProgress):
+            progress = [] if self.query is None else self.query.recentProgress
+            seen = [p.observedMetrics[ARRIVALS] for p in progress if ARRIVALS in p.observedMetrics]
+            if any(m.scans for m in seen) and any(m.samples for m in seen) or not seen and any(p.numInputRows for p in progress):
                 return True
             time.sleep(0.02)
         return False
