@@ -209,29 +209,32 @@ class _Reader(DataSourceReader):
         return out or [_Ranges("", 0, 0, 0)]
 
     def read(self, partition):
-        if not partition.path:
-            return
-        store, inside = located(partition.path)
-        name, at, seq = PurePosixPath(partition.path).name, partition.begin, partition.seq
-        rest = b""
-        with store.open_input_file(inside) as f:
-            f.seek(at)
-            while at < partition.end:
-                data = rest + f.read(min(EVERY, partition.end - at))
-                at += len(data) - len(rest)
-                place, times, payloads = 0, [], []
-                while place + RECORD.size <= len(data):
-                    time, length = RECORD.unpack_from(data, place)
-                    if place + RECORD.size + length > len(data):
-                        break
-                    times.append(time)
-                    payloads.append(data[place + RECORD.size : place + RECORD.size + length])
-                    place += RECORD.size + length
-                rest = data[place:]
-                for lo in range(0, len(times), 4096):
-                    some = times[lo : lo + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(range(seq, seq + len(some)), pa.int64()), pa.array(some, pa.float64()), pa.array(payloads[lo : lo + 4096], pa.binary())], names=["recording_id", "seq", "recv_time", "payload"])
-                    seq += len(some)
+        if partition.path:
+            yield from batches(partition.path, partition.begin, partition.end, partition.seq)
+
+
+def batches(path: str, begin: int, end: int, seq: int) -> Iterator[pa.RecordBatch]:
+    """The datagrams of neighbouring ranges, the first of which has number ``seq``."""
+    store, inside = located(path)
+    name, at, rest = PurePosixPath(path).name, begin, b""
+    with store.open_input_file(inside) as f:
+        f.seek(at)
+        while at < end:
+            data = rest + f.read(min(EVERY, end - at))
+            at += len(data) - len(rest)
+            place, times, payloads = 0, [], []
+            while place + RECORD.size <= len(data):
+                time, length = RECORD.unpack_from(data, place)
+                if place + RECORD.size + length > len(data):
+                    break
+                times.append(time)
+                payloads.append(data[place + RECORD.size : place + RECORD.size + length])
+                place += RECORD.size + length
+            rest = data[place:]
+            for lo in range(0, len(times), 4096):
+                some = times[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(range(seq, seq + len(some)), pa.int64()), pa.array(some, pa.float64()), pa.array(payloads[lo : lo + 4096], pa.binary())], names=["recording_id", "seq", "recv_time", "payload"])
+                seq += len(some)
 
 
 class Indexed(DataSource):
