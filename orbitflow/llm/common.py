@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -38,10 +39,34 @@ def bounded(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables written into the shared folder, which survive the loss of executors and cut lineage."""
+    """Tables written into the shared folder, which survive the loss of executors and cut lineage.
+
+    A result that was not written yet still reads them, so operators leave their tables. A caller that has written its result takes a ``mark`` before
+    and gives it to ``release`` after: what operators of this thread made in between is deleted.
+    """
+
+    _own = threading.local()
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self._made().append(self)
+
+    @classmethod
+    def _made(cls) -> list[Scratch]:
+        if not hasattr(cls._own, "made"):
+            cls._own.made = []
+        return cls._own.made
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls._made())
+
+    @classmethod
+    def release(cls, mark: int) -> None:
+        """Delete the tables of all scratches made since ``mark``."""
+        for s in cls._made()[mark:]:
+            s.delete(s.root)
+        del cls._made()[mark:]
 
     def keep(self, df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
         """Write ``df`` and read it back."""
