@@ -63,9 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    scratch = Scratch(spark, "pipeline")
+    """All stages over ``documents``. What a stage's operators and the stage before have in the shared folder goes once the stage is written."""
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        mark = Scratch.mark()
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        Scratch.release(mark)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
