@@ -1,6 +1,7 @@
 """Registered queries and the pipeline against SQL and plain versions."""
 
 import hashlib
+import os
 import struct
 
 import duckdb
@@ -89,3 +90,16 @@ def test_pipeline_without_labels_or_benchmark(spark, tmp_path):
     want = [i for i, _ in {r for r in rows if r[0] in kept}] + [i for i, _ in rows if i is None]
     got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_pipeline_leaves_one_table(spark, tmp_path):
+    """Of all that stages and operators write, only what the last stage reads stays in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    frame(spark, awkward()[:20]).select(*DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    (left,) = set(os.listdir(base)) - before
+    assert left.startswith("pipeline-") and [d for d in os.listdir(f"{base}/{left}") if not d.startswith(".")] == ["004-personal_data"]
+    assert got.count() > 0
