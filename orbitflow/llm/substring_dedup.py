@@ -1,12 +1,14 @@
 """Passages that an earlier document has: suffix automata of reference shards, which documents stream through for matching statistics.
 
-*Reference.* Of every run of ``LENGTH`` words that two documents share, the first document's copy is reference text, so each such run is there once, however many
-copies there are. Which runs these are is found from 64-bit hashes, in two steps: of the grams of ``GRAM`` words in a run, the one of least hash stands for it (equal
-runs have equal ones), and only runs whose gram two documents have are hashed themselves. A filter of at most ``MOST_BITS`` bits, sized by the number of grams, does that before
-anything is shuffled; the more it lets through, the more rows the next, exact, step counts.
-
-*Shards.* Reference text is dealt into shards of about ``SHARD`` runs. A broadcast of every shard to every task would cost shards times documents; a document goes
-only where the first copy of one of its runs lies, and a shard that very many words come to is there several times, one copy for each ``LOAD`` of them. A task
+*Reference.* Of every run of ``LENGTH`` words that two documents share, the first document's copy is reference text, so each such run is there once or few times, however many
+copies there are. Which runs these are is found from 64-bit hashes, from coarse to fine. Of the grams of ``GRAM`` words in a run, the one of least hash stands for it (equal
+runs have equal ones), and the neighbouring runs of one gram are a block: only blocks whose gram two documents have go on. A block that an earlier document has as well, whole, is
+settled as a row. Of the others, and of each block's first copy, single runs are counted: they alone can lead to what an earlier document has in other surroundings, as the first
+document with a run has it in the first copy of some block. Filters of at most ``MOST_BITS`` bits, sized by their keys, leave rows out before shuffles; the more they
+let through, the more rows the exact step that follows has.
+
+*Shards.* The reference text of a document lies in one of many shards, each of about ``SHARD`` runs. A broadcast of every shard to every task would cost shards times documents;
+a document goes only where the first copy of one of its runs lies, and a shard that very many words come to is there several times, one copy for each ``LOAD`` of them. A task
 reads a shard's reference words, builds its suffix automaton, and streams the documents' words through it: the length of the longest match
 that ends at each word, and the smallest document it occurs in, decide. Hashes only say where to look; what is removed has been matched word by word.
 
@@ -22,15 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbitflow.llm.common import Scratch, bounded, maybe_in, parts, pieces, slices, with_columns
 
 LENGTH, GRAM = 13, 5
-#: Reference runs of a shard, places of a first document that stay together, and words that are streamed through one copy of a shard.
-SHARD, TOGETHER, LOAD = 1 << 16, 1 << 12, 1 << 20
+#: Reference runs of a shard, and words that are streamed through one copy of a shard.
+SHARD, LOAD = 1 << 16, 1 << 20
+#: Runs of a block at most, which is what one gram can stand for in a row, and bits of a hash that is kept of a gram.
+WIDEST, GRAM_BITS = LENGTH - GRAM + 1, 40
 #: Bits of a filter for each of its keys, and of the largest filter.
 BITS_PER_KEY, MOST_BITS = 8, 1 << 25
 #: Bytes of a text whose words are hashed at once.
@@ -120,7 +124,19 @@ def _grams(batches):
         ids = b.column("doc_id")
         for lo, some in slices(b.column("text").to_pylist()):
             text, _, gram, _, _ = blocks(some)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + lo)), pa.array(gram.view(np.int64))], names=["doc_id", "gram"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + lo)), pa.array((gram >> _U(64 - GRAM_BITS)).view(np.int64))], names=["doc_id", "gram"])
+
+
+def _places(batches):
+    """Blocks; ``block`` is a hash of all their words."""
+    for b in pieces(batches):
+        ids, hs = b.column("doc_id"), b.column("h")
+        for lo, some in slices(b.column("text").to_pylist()):
+            text, first, gram, end, hashes = blocks(some)
+            n = np.diff(np.r_[0, end])
+            key = _mixed((hashes[end - n] * _U(_ODD) + hashes[end - 1]) * _U(_ODD) + n.astype(_U)) if len(end) else hashes[:0]
+            at = pa.array(text + lo)
+            yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((gram >> _U(64 - GRAM_BITS)).view(np.int64)), pa.array(key.view(np.int64))], names=["doc_id", "h", "first", "n", "gram", "block"])
 
 
 def _runs(batches):
@@ -130,7 +146,7 @@ def _runs(batches):
             text, first, gram, end, hashes = blocks(some)
             at = pa.array(text + lo)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, end].astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(first.astype(np.int32)), pa.array(gram.view(np.int64)), lists], names=["doc_id", "h", "first", "gram", "runs"])
+            yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(first.astype(np.int32)), lists], names=["doc_id", "h", "first", "runs"])
 
 
 class Automaton:
@@ -206,20 +222,28 @@ class Automaton:
             yield n, own[v]
 
 
+def _packed(at: str, n: Column, shard: Column, kind: Column) -> Column:
+    """A hit as a long: place, number of runs (4 bits), shard (27 bits), kind (1 bit)."""
+    return F.shiftleft(F.col(at).cast("long"), 32).bitwiseOR(F.shiftleft(n.cast("long"), 28)).bitwiseOR(F.shiftleft(shard.cast("long"), 1)).bitwiseOR(kind.cast("long"))
+
+
+def _unpacked(x: int) -> tuple[int, int, int, int]:
+    return x >> 1 & (1 << 27) - 1, x & 1, x >> 32, x >> 28 & 15
+
+
 def _cut(batches):
     """Texts cut into reference pieces (kind 0) and pieces to be matched (kind 1), by the shards of their runs."""
     for b in pieces(batches):
         out: list = []
         for doc, h, text, hits in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "text", "hits"))):
-            words = WORD.findall(text)
-            begin = last = None
-            for hit in [*sorted((x["at"], x["shard"], x["kind"]) for x in hits), (-1, None, None)]:
-                if last is not None and hit != (last[0] + 1, *last[1:]):
-                    out.append((last[1], last[2], doc, h, begin, " ".join(words[begin : last[0] + LENGTH])))
-                    last = None
-                if last is None:
-                    begin = hit[0]
-                last = hit
+            words, begin, end, now = WORD.findall(text), 0, 0, None
+            for shard, kind, at, n in [*sorted(_unpacked(x) for x in hits), (-1, 0, 0, 0)]:
+                if now == (shard, kind) and at <= end:
+                    end = max(end, at + n)
+                    continue
+                if now is not None:
+                    out.append((*now, doc, h, begin, " ".join(words[begin : end + LENGTH - 1])))
+                now, begin, end = (shard, kind), at, at + n
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["shard", "kind", "doc_id", "h", "begin", "words"])
 
 
@@ -255,28 +279,54 @@ def _bits(n: int) -> int:
 def spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, h, spans) of those of ``rows`` (doc_id, h, text) that lose words; spans may overlap."""
     texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    # Grams that two documents have, then the runs that these stand for, then the runs that two documents have.
+    # Grams that two documents have, and the blocks that these stand for.
     grams = texts.select("doc_id", "text").mapInArrow(_grams, "doc_id long, gram long")
-    shared = scratch.keep(grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"), "grams")
-    found = maybe_in(texts.mapInArrow(_runs, "doc_id long, h long, first int, gram long, runs array<long>"), shared, "gram", bits=_bits(shared.count()))
-    runs = found.select("doc_id", "h", "first", F.posexplode("runs").alias("_i", "run")).select("doc_id", "h", (F.col("first") + F.col("_i")).alias("at"), "run")
-    runs = scratch.keep(runs, "runs")
-    firsts = runs.groupBy("run").agg(F.min(F.struct("doc_id", "at")).alias("own"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("own.doc_id < hi")
-    firsts = scratch.keep(firsts.select("run", F.col("own.doc_id").alias("own_id"), F.col("own.at").alias("own_at"), "n"), "firsts")
+    shared = scratch.keep(_in_two(grams, "gram").select("gram"), "grams")
+    bits = _bits(shared.count())
+    found = maybe_in(texts.mapInArrow(_places, "doc_id long, h long, first int, n int, gram long, block long"), shared, "gram", bits=bits).drop("gram")
+    found = scratch.keep(found, "blocks")
+    firsts = scratch.keep(_in_two(found, "block"), "firsts")
     many = firsts.count()
-    shards = max(parts(rows.sparkSession), -(-many // SHARD))
-    firsts = firsts.withColumn("shard", F.pmod(F.xxhash64("own_id", (F.col("own_at") / TOGETHER).cast("int")), F.lit(shards)))
-    kind = F.when(F.col("doc_id") > F.col("own_id"), 1).when((F.col("doc_id") == F.col("own_id")) & (F.col("at") == F.col("own_at")), 0)
-    met = maybe_in(runs, firsts, "run", bits=_bits(many)).join(firsts.drop("n"), "run").withColumn("kind", kind).where("kind IS NOT NULL")
-    hits = met.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "shard", "kind")).alias("hits"))  # of one document
-    cut = texts.dropDuplicates(["doc_id", "h"]).join(hits, ["doc_id", "h"]).mapInArrow(_cut, "shard long, kind int, doc_id long, h long, begin int, words string")
-    loads = firsts.groupBy("shard").agg((F.ceil(F.sum("n") / LOAD)).cast("int").alias("copies"))
+    told = maybe_in(found, firsts, "block", keep_all=True, bits=_bits(many))
+    met = scratch.keep(told.where("maybe").drop("maybe").join(firsts.drop("times"), "block", "left").drop("block"), "met")
+    # First copies, and blocks that no other document has: their single runs.
+    lead = met.where("own_id IS NULL OR own_id = doc_id").select("doc_id", "h", "first").unionByName(told.where("NOT maybe").select("doc_id", "h", "first"))
+    place = F.xxhash64("doc_id", "h", "first")
+    leads = scratch.keep(lead.select(place.alias("place")), "leads")
+    runs = texts.mapInArrow(_runs, "doc_id long, h long, first int, runs array<long>").withColumn("place", place)
+    runs = maybe_in(runs, leads, "place", bits=_bits(leads.count())).select("doc_id", "h", "first", F.posexplode("runs").alias("_i", "run"))
+    runs = scratch.keep(runs.select("doc_id", "h", (F.col("first") + F.col("_i")).alias("at"), "run"), "runs")
+    run_firsts = scratch.keep(_in_two(runs, "run"), "run_firsts")
+    few = run_firsts.count()
+    # Where each run's first copy lies.
+    shards = max(parts(rows.sparkSession), -(-(many * WIDEST + few) // SHARD))
+    shard, kind = F.pmod(F.xxhash64("own_id"), F.lit(shards)), (F.col("own_id") < F.col("doc_id")).cast("int")
+    hits = met.where("own_id <= doc_id").select("doc_id", "h", _packed("first", F.col("n"), shard, kind).alias("hit"))
+    single = maybe_in(runs, run_firsts, "run", bits=_bits(few)).join(run_firsts.drop("times"), "run").where("own_id <= doc_id")
+    hits = hits.unionByName(single.select("doc_id", "h", _packed("at", F.lit(1), shard, kind).alias("hit")))
+    hits = scratch.keep(hits.groupBy("doc_id", "h").agg(F.collect_list("hit").alias("hits")), "hits")  # of one document
+    cut = _meeting(texts, hits).dropDuplicates(["doc_id", "h"]).join(hits, ["doc_id", "h"])
+    cut = cut.mapInArrow(_cut, "shard long, kind int, doc_id long, h long, begin int, words string")
+    weight = firsts.select(shard.alias("shard"), (F.col("times") * WIDEST).alias("w")).unionByName(run_firsts.select(shard.alias("shard"), F.col("times").alias("w")))
+    loads = scratch.keep(weight.groupBy("shard").agg(F.ceil(F.sum("w") / LOAD).cast("int").alias("copies")), "loads")
     copy = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.hash("doc_id", "begin"), F.col("copies"))))
     dealt = cut.join(loads, "shard").select("shard", "kind", "doc_id", "h", "begin", "words", F.explode(copy).alias("copy"))
     placed = dealt.repartition(max(parts(rows.sparkSession), shards), "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     return placed.mapInArrow(_matched, "doc_id long, h long, start int, stop int").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
+def _in_two(rows: DataFrame, key: str) -> DataFrame:
+    """(key, own_id, times) of what at least two documents have: the smallest of them, and how many rows."""
+    return rows.groupBy(key).agg(F.min("doc_id").alias("own_id"), F.max("doc_id").alias("_hi"), F.count("*").alias("times")).where("own_id < _hi").drop("_hi")
+
+
+def _meeting(rows: DataFrame, keys: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Those of ``rows`` that ``keys`` (doc_id, h) may hold, by a filter, so that other texts are not shuffled."""
+    of = F.xxhash64("doc_id", "h")
+    out = maybe_in(rows.withColumn("_of", of), keys.select(of.alias("_of")), "_of", keep_all=keep_all, bits=_bits(keys.count()))
+    return out.drop("_of")
+
+
 def _kept(texts, spans_):
     counts, gone, kept = [], [], []
     for text, some in zip(texts, spans_):
@@ -295,7 +345,9 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     bounded(documents.sparkSession)
     scratch = Scratch(documents.sparkSession, f"substring-{uuid.uuid4().hex[:8]}")
     rows = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    known = rows.where("doc_id IS NOT NULL").join(scratch.keep(spans(rows, scratch), "spans"), ["doc_id", "h"], "left")
-    every = known.unionByName(rows.where("doc_id IS NULL"), allowMissingColumns=True).select("doc_id", "text", "spans")
+    found = scratch.keep(spans(rows, scratch), "spans")
+    told = _meeting(rows, found, keep_all=True)
+    known = told.where("maybe AND doc_id IS NOT NULL").drop("maybe").join(found, ["doc_id", "h"], "left")
+    every = known.unionByName(told.where("NOT maybe OR doc_id IS NULL").drop("maybe"), allowMissingColumns=True).select("doc_id", "text", "spans")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())]
     return with_columns(every, ["text", "spans"], fields, lambda: _kept, drop=("spans",))
