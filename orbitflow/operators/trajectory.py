@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitflow.config import Config
 from orbitflow.functions import geometry as G
-from orbitflow.operators.sliced import by_number, neighbours, numbered, quantiles
+from orbitflow.operators.sliced import ROWS, by_number, neighbours, numbered, quantiles
 
 KEYS = ["recording_id"]
 STILL = 0.15
@@ -15,10 +15,6 @@ STILL = 0.15
 RAMP = " .:!#"
 
 
-def _order(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy("frame_id")
-
-
 def _distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b)), F.lit(0.0)))
 
@@ -119,7 +115,19 @@ def sparkline(poses: DataFrame, frame_duration: float = Config.frame_duration, k
     return per.select(*keys, F.array_join(F.transform("_s", lambda x: F.substring(F.lit(RAMP), level(x) + 1, F.lit(1))), "").alias("profile"))
 
 
-def live_lag(progress: DataFrame, frame_duration: float = Config.frame_duration, keys: list[str] = KEYS) -> DataFrame:
-    """``progress(frame_id, newest_stamp, t_end, reg_ms)`` with lag, behind (over three frames) and the mean of the last ten times."""
+#: Frames that the mean cost is taken over.
+LAST = 10
+
+
+def live_lag(progress: DataFrame, frame_duration: float = Config.frame_duration, keys: list[str] = KEYS, rows: int = ROWS) -> DataFrame:
+    """``progress(frame_id, newest_stamp, t_end, reg_ms)`` with lag, behind (over three frames) and the mean of the last ten times.
+
+    Frames are numbered and fall into pieces of ``rows``; a piece also gets the nine frames before it.
+    """
     lag = F.col("newest_stamp") - F.col("t_end")
-    return progress.withColumns({"lag": lag, "behind": lag > 3 * frame_duration, "reg_ms_10": F.avg("reg_ms").over(_order(keys).rowsBetween(-9, 0))})
+    piece = lambda ahead: F.floor((F.col("_i") - 1 + ahead) / rows)
+    ranked = numbered(progress, keys, ["frame_id"], by_number("frame_id", rows)).withColumn("_own", piece(0))
+    spread = ranked.withColumn("_piece", F.explode(F.sequence(piece(0), piece(LAST - 1))))
+    mean = F.avg("reg_ms").over(Window.partitionBy(*keys, "_piece").orderBy("_i").rowsBetween(1 - LAST, 0))
+    out = spread.withColumns({"lag": lag, "behind": lag > 3 * frame_duration, "reg_ms_10": mean})
+    return out.where("_own = _piece").drop("_i", "_own", "_piece")

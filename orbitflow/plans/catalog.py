@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from orbitflow.config import Config
 from orbitflow.functions import codec
 from orbitflow.functions import geometry as G
-from orbitflow.operators import align, arrivals, batches, buffers, fold, framing, health, mapping, odometry, results, rolling, trajectory
+from orbitflow.operators import align, arrivals, batches, buffers, fft, fold, framing, health, mapping, odometry, results, rolling, trajectory
+from orbitflow.operators.sliced import by_stamp, numbered
 from orbitflow.plans import proxies as P
 from orbitflow.plans.proxies import CTES, DURATION, FEWEST, TOLERANCE
 
@@ -665,6 +666,20 @@ def highpass(spark, sf_dir):
     return health.highpass(s, WIDTH, ["value"]).select("recording_id", "seq", r6("value_hp").alias("value_hp"))
 
 
+@query("""
+, s AS (SELECT recording_id, value, row_number() OVER (PARTITION BY recording_id ORDER BY stamp, seq) - 1 AS i, count(*) OVER (PARTITION BY recording_id) AS n, avg(value) OVER (PARTITION BY recording_id) AS m FROM imu),
+k AS (SELECT recording_id, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT recording_id, n FROM s WHERE n >= 8))
+SELECT k.recording_id, k.k, round(2.0::DOUBLE / k.n * sqrt(sum((value - m) * cos(2 * pi() * k.k * i / k.n)) ** 2 + sum((value - m) * sin(2 * pi() * k.k * i / k.n)) ** 2), 4) + 0.0::DOUBLE AS amplitude
+FROM k JOIN s ON s.recording_id = k.recording_id GROUP BY k.recording_id, k.k, k.n
+""")
+def spectrum_lines(spark, sf_dir):
+    """Amplitude of every frequency of each recording, by the transform in blocks."""
+    s = numbered(P.imu(spark, sf_dir).select("recording_id", "seq", "stamp", F.col("gyro.x").alias("v")), ["recording_id"], ["stamp", "seq"], by_stamp())
+    whole = s.groupBy("recording_id").agg(F.count("*").alias("_n"), F.avg("v").alias("m")).where("_n >= 8")
+    waves = fft.transform(s.join(whole, "recording_id").select("recording_id", "_n", (F.col("_i") - 1).alias("_i"), (F.col("v") - F.col("m")).alias("v")), ["v"], cells=1 << 12)
+    return waves.select("recording_id", "k", (F.round(2.0 / F.col("_n") * F.hypot("re_v", "im_v"), 4) + 0.0).alias("amplitude"))
+
+
 @query("""
 , n AS (SELECT recording_id, count(*) AS n FROM imu GROUP BY 1), f AS (SELECT recording_id, floor(n / 10) * 250.0::DOUBLE / n AS hz FROM n WHERE n >= 64)
 SELECT recording_id, round(hz, 4) AS gyro_hz, round(hz, 4) AS accel_hz, 0.1::DOUBLE AS gyro_amplitude, 2.0::DOUBLE AS accel_amplitude, round(0.1::DOUBLE / (2 * pi() * hz), 3) AS wobble_rad, round(2.0::DOUBLE / (2 * pi() * hz) ** 2, 3) AS displacement_m, round(0.2::DOUBLE * hz, 3) AS cycles_per_frame, false AS quiet FROM f

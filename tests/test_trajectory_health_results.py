@@ -185,3 +185,14 @@ def test_tuned_values_have_one_home():
                 args = node.args.args[len(node.args.args) - len(node.args.defaults) :]
                 bad += [(path.name, a.arg) for a, d in zip(args, node.args.defaults) if a.arg in names and isinstance(d, ast.Constant) and d.value is not None]
     assert not bad
+
+
+def test_lag_does_not_depend_on_pieces(spark):
+    rows = [(r, i, 10.0 + 0.1 * i + (0.7 if i % 5 == 0 else 0.0), 10.0 + 0.1 * i, float(i * i % 17)) for r in ("a", "b") for i in range(57)]
+    df = spark.createDataFrame(rows, "recording_id string, frame_id long, newest_stamp double, t_end double, reg_ms double")
+    for size in (3, 16, 1 << 18):
+        got = {(r.recording_id, r.frame_id): r for r in trajectory.live_lag(df, 0.2, rows=size).collect()}
+        assert len(got) == len(rows)
+        for name, i, newest, end, _ in rows:
+            r, last = got[name, i], [x[4] for x in rows if x[0] == name and i - 9 <= x[1] <= i]
+            assert np.isclose(r.reg_ms_10, np.mean(last)) and r.behind == (newest - end > 0.6)
