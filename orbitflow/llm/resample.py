@@ -100,5 +100,6 @@ def resample(documents: DataFrame, target: DataFrame) -> DataFrame:
     blank = documents.where(F.size(words(F.coalesce("text", F.lit("")))) == 0).select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_words", "n_features", "weight")])
     scored = weighed.drop("_row").unionByName(blank).withColumn("score", F.col("weight") + noise(F.col("doc_id")))
     scored = scratch.keep(scored, "scored")
+    scratch.drop(found)
     drawn = _ranked(scored.where(F.col("n_words") >= LEAST), scratch).unionByName(scored.where(F.col("n_words") < LEAST).withColumn("rank", F.lit(None).cast("long")))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
