@@ -27,7 +27,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id. Equal rows are one document."""
+    """One document of each group of near-duplicates: that of the smallest doc_id. Rows of one doc_id and text are one document, with the source and language of any of them."""
     bounded(spark)
     kept = minhash.classes(docs, least=NEAR).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     some = docs.select(*COLUMNS)
