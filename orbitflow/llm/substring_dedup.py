@@ -39,7 +39,6 @@ WIDEST, GRAM_BITS = LENGTH - GRAM + 1, 40
 BITS_PER_KEY, MOST_BITS = 8, 1 << 25
 #: Bytes of a text whose words are hashed at once.
 PIECE = 1 << 20
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -146,7 +145,7 @@ def _runs(batches):
             text, first, gram, end, hashes = blocks(some)
             at = pa.array(text + lo)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, end].astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(first.astype(np.int32)), lists], names=["doc_id", "h", "first", "runs"])
+            yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(first.astype(np.int32)), pa.array((gram >> _U(64 - GRAM_BITS)).view(np.int64)), lists], names=["doc_id", "h", "first", "gram", "runs"])
 
 
 class Automaton:
@@ -236,13 +235,13 @@ def _cut(batches):
     for b in pieces(batches):
         out: list = []
         for doc, h, text, hits in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "text", "hits"))):
-            words, begin, end, now = WORD.findall(text), 0, 0, None
+            words, begin, end, now = text.encode().split(), 0, 0, None
             for shard, kind, at, n in [*sorted(_unpacked(x) for x in hits), (-1, 0, 0, 0)]:
                 if now == (shard, kind) and at <= end:
                     end = max(end, at + n)
                     continue
                 if now is not None:
-                    out.append((*now, doc, h, begin, " ".join(words[begin : end + LENGTH - 1])))
+                    out.append((*now, doc, h, begin, b" ".join(words[begin : end + LENGTH - 1]).decode()))
                 now, begin, end = (shard, kind), at, at + n
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["shard", "kind", "doc_id", "h", "begin", "words"])
 
@@ -293,7 +292,7 @@ def spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
     lead = met.where("own_id IS NULL OR own_id = doc_id").select("doc_id", "h", "first").unionByName(told.where("NOT maybe").select("doc_id", "h", "first"))
     place = F.xxhash64("doc_id", "h", "first")
     leads = scratch.keep(lead.select(place.alias("place")), "leads")
-    runs = texts.mapInArrow(_runs, "doc_id long, h long, first int, runs array<long>").withColumn("place", place)
+    runs = maybe_in(texts.mapInArrow(_runs, "doc_id long, h long, first int, gram long, runs array<long>"), shared, "gram", bits=bits).withColumn("place", place)
     runs = maybe_in(runs, leads, "place", bits=_bits(leads.count())).select("doc_id", "h", "first", F.posexplode("runs").alias("_i", "run"))
     runs = scratch.keep(runs.select("doc_id", "h", (F.col("first") + F.col("_i")).alias("at"), "run"), "runs")
     run_firsts = scratch.keep(_in_two(runs, "run"), "run_firsts")
@@ -330,13 +329,13 @@ def _meeting(rows: DataFrame, keys: DataFrame, keep_all: bool = False) -> DataFr
 def _kept(texts, spans_):
     counts, gone, kept = [], [], []
     for text, some in zip(texts, spans_):
-        words = WORD.findall(text or "")
+        words = (text or "").encode().split()  # bytes split at ASCII blanks only
         keep = np.ones(len(words), bool)
         for s in some or ():
             keep[s["start"] : s["stop"]] = False
         counts.append(len(words))
         gone.append(len(words) - int(keep.sum()))
-        kept.append(" ".join(words if not some else [w for w, k in zip(words, keep.tolist()) if k]))
+        kept.append(b" ".join(words if not some else [w for w, k in zip(words, keep.tolist()) if k]).decode())
     return counts, gone, kept
 
 
@@ -345,7 +344,9 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     bounded(documents.sparkSession)
     scratch = Scratch(documents.sparkSession, f"substring-{uuid.uuid4().hex[:8]}")
     rows = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    found = scratch.keep(spans(rows, scratch), "spans")
+    mark = Scratch.mark()
+    found = scratch.keep(spans(rows, Scratch(documents.sparkSession, "substring-work")), "spans")
+    Scratch.release(mark)  # all but the spans
     told = _meeting(rows, found, keep_all=True)
     known = told.where("maybe AND doc_id IS NOT NULL").drop("maybe").join(found, ["doc_id", "h"], "left")
     every = known.unionByName(told.where("NOT maybe OR doc_id IS NULL").drop("maybe"), allowMissingColumns=True).select("doc_id", "text", "spans")
