@@ -85,21 +85,29 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(max(0, len(h) - k + 1), _U)
-    for j in range(k):
-        out = out * _U(_ODD) + h[j : j + len(out)]
-    return _mixed(out)
+    """Hashes of all runs of k, put together from those of 1, 2, 4, ..."""
+    n, out, have, part, size = max(0, len(h) - k + 1), None, 0, h, 1
+    while n and size <= k:
+        if k & size:
+            own = part[have : have + n]
+            out = own if out is None else out * _U(pow(_ODD, size, 1 << 64)) + own
+            have += size
+        if 2 * size <= k:
+            part = part[:-size] * _U(pow(_ODD, size, 1 << 64)) + part[size:]
+        size *= 2
+    return _mixed(out) if n else h[:0]
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
-    out = v[: len(v) - width + 1].copy()
-    for j in range(1, width):
-        np.minimum(out, v[j : j + len(out)], out=out)
-    return out
+    """Sliding minimum by doubling."""
+    have = 1
+    while have * 2 <= width:
+        v, have = np.minimum(v[:-have], v[have:]), have * 2
+    return np.minimum(v[: len(v) - (width - have)], v[width - have :]) if have < width else v
 
 
-def blocks(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """(text, first run, gram's hash, end in ``runs``) of each block of neighbouring runs that one gram stands for, and the hashes of all runs."""
+def blocks(texts: list[str], runs: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, first run, gram's hash, end in ``runs``) of each block of neighbouring runs that one gram stands for, and the hashes of all runs if asked."""
     raws = [t.encode() for t in texts]
     begins = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
     starts, h = word_hashes(b"\n".join(raws))
@@ -111,7 +119,7 @@ def blocks(texts: list[str]) -> tuple[np.ndarray, ...]:
     v = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U)
     at = (_least(v, LENGTH - GRAM + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     run = np.flatnonzero(owner[: len(at)] == owner[LENGTH - 1 :])
-    at, hashes = at[run], _rolled(h, LENGTH)[run]
+    at, hashes = at[run], _rolled(h, LENGTH)[run] if runs else grams[:0]
     if not len(run):
         return run, run, grams[:0], run, hashes
     first = np.flatnonzero(np.r_[True, (np.diff(at) != 0) | (np.diff(run) != 1)])
@@ -122,7 +130,7 @@ def _grams(batches):
     for b in pieces(batches):
         ids = b.column("doc_id")
         for lo, some in slices(b.column("text").to_pylist()):
-            text, _, gram, _, _ = blocks(some)
+            text, _, gram, _, _ = blocks(some, runs=False)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + lo)), pa.array((gram >> _U(64 - GRAM_BITS)).view(np.int64))], names=["doc_id", "gram"])
 
 
