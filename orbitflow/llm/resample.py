@@ -14,8 +14,10 @@ string and comes last among ties; equal rows draw in any order. An empty target
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitflow.llm.common import Scratch, parts
@@ -38,10 +40,9 @@ def features(texts: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, n_words and ``places``: for each word the buckets of the runs that begin with it, packed into a long (``unpacked``); a row for each row that has words.
 
     The number of a row only holds its words together within this job: it is made at the scan, before anything is shuffled, so a task that runs again gives
-    the same. Words come to the aggregate in their order, which needs no hash table then.
+    the same. Words come to the aggregate in their order, which needs no hash table where the session replaces it (``_sorted``).
     """
     spark = texts.sparkSession
-    spark.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
     rows = texts.select(F.monotonically_increasing_id().alias("_row"), *keep, "text").where("text IS NOT NULL").repartition(parts(spark), "_row")
     places = rows.select("_row", *keep, F.posexplode(words(F.col("text"))).alias("_at", "_w0"))
     order = Window.partitionBy("_row").orderBy("_at")
@@ -59,6 +60,18 @@ def unpacked(found: DataFrame, *keep: str) -> DataFrame:
     return found.select(*keep, F.explode("places").alias("_packed")).select(*keep, runs).where("bucket >= 0")
 
 
+@contextmanager
+def _sorted(spark: SparkSession) -> Iterator[None]:
+    """Aggregates over rows that come sorted by their keys take them as they come, within the block."""
+    name = "spark.sql.execution.replaceHashWithSortAgg"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _counted(found: DataFrame, name: str) -> DataFrame:
     return unpacked(found).groupBy("bucket").agg(F.count("*").alias(name))
 
@@ -93,7 +106,8 @@ def resample(documents: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_features, weight, score and rank of every row of ``documents``; ``target`` has a column text."""
     spark = documents.sparkSession
     scratch = Scratch(spark, f"resample-{uuid.uuid4().hex[:8]}")
-    found = scratch.keep(features(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"]), "features")
+    with _sorted(spark):
+        found = scratch.keep(features(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"]), "features")
     table = gains(found, features(target.select("text"), []))
     runs = unpacked(found.withColumn("_row", F.monotonically_increasing_id()), "_row", "doc_id", "n_words")
     weighed = runs.join(F.broadcast(table), "bucket").groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count("*").alias("n_features"), F.sum("gain").alias("weight"))
