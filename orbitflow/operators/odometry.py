@@ -17,7 +17,7 @@ from orbitflow import schemas
 from orbitflow.config import IMU_WINDOW, MAP_VOXEL, PERIOD, Config, Registration
 from orbitflow.functions import geometry as G
 from orbitflow.functions.codec import unpack
-from orbitflow.operators.fold import Assembler, Batcher, ordered_fold
+from orbitflow.operators.fold import Assembler, Batcher, datagram_fold, ordered_fold
 from orbitflow.operators.mapping import voxel_downsample
 from orbitflow.operators.registration import Odometry, first_in_voxel, move
 
@@ -58,10 +58,10 @@ class _FromFrames(_Register):
 class _FromDatagrams(_Register):
     """The whole of a replay in one pass: batches, alignment, frames, registration. Nothing but its result is ever stored."""
 
-    def __init__(self, key, config, fixed, map_deskew, cloud, voxel, period, imu_window, options):
+    def __init__(self, key, config, fixed, map_deskew, cloud, voxel, period, imu_window, in_parts, options):
         super().__init__(key, config, fixed, map_deskew, cloud, voxel)
-        self.batcher, self.n = Batcher(period, imu_window), 0
-        self.assembler = Assembler(config.frame_duration, rotate=config.rotate_with_imu, **options)
+        self.assembler, self.n = Assembler(config.frame_duration, rotate=config.rotate_with_imu, **options), 0
+        self.batcher = Batcher(period, imu_window, self.assembler.most if in_parts else None)
 
     def _rows(self, frames: list) -> list[tuple]:
         rows = []
@@ -90,13 +90,13 @@ def register(frames: DataFrame, config: Config | None = None, fixed: Registratio
     return ordered_fold(rows, ["recording_id"], ["frame_id"], lambda k: _FromFrames(k, c, r, None, False, 0), schemas.POSES)
 
 
-def replay(datagrams: DataFrame, config: Config | None = None, period: float = PERIOD, imu_window: int = IMU_WINDOW, assembling: dict | None = None, **changes) -> DataFrame:
-    """``schemas.POSES`` of recordings; ``assembling`` are options of ``Assembler``; an unknown config name is a TypeError before anything is read."""
+def replay(datagrams: DataFrame, config: Config | None = None, period: float = PERIOD, imu_window: int = IMU_WINDOW, assembling: dict | None = None, in_parts: bool = False, **changes) -> DataFrame:
+    """``schemas.POSES`` of recordings; ``assembling`` are options of ``Assembler``; ``in_parts`` batches do not overflow; an unknown config name is a TypeError before anything is read."""
     c = (config or Config()).with_(**changes)
-    return ordered_fold(datagrams, ["recording_id"], ["seq"], lambda k: _FromDatagrams(k, c, Registration(), None, False, 0, period, imu_window, assembling or {}), schemas.POSES)
+    return datagram_fold(datagrams, ["recording_id"], lambda k: _FromDatagrams(k, c, Registration(), None, False, 0, period, imu_window, in_parts, assembling or {}), schemas.POSES)
 
 
-def accumulate_map(datagrams: DataFrame, map_voxel: float = MAP_VOXEL, map_deskew: bool = True, config: Config | None = None, period: float = PERIOD, imu_window: int = IMU_WINDOW, assembling: dict | None = None, **changes) -> DataFrame:
+def accumulate_map(datagrams: DataFrame, map_voxel: float = MAP_VOXEL, map_deskew: bool = True, config: Config | None = None, period: float = PERIOD, imu_window: int = IMU_WINDOW, assembling: dict | None = None, in_parts: bool = False, **changes) -> DataFrame:
     """World points of recordings, the first seen in each voxel; a negative voxel keeps all.
 
     A frame is thinned where it is registered, frames are thinned against each other by an aggregation: first-seen within a frame, then the
@@ -105,20 +105,20 @@ def accumulate_map(datagrams: DataFrame, map_voxel: float = MAP_VOXEL, map_deske
     if not map_voxel:
         raise RuntimeError("a map needs a voxel size; a negative one keeps every point")
     c = (config or Config()).with_(**changes)
-    cloud = ordered_fold(datagrams, ["recording_id"], ["seq"], lambda k: _FromDatagrams(k, c, Registration(), map_deskew, True, map_voxel, period, imu_window, assembling or {}), schemas.CLOUD)
+    cloud = datagram_fold(datagrams, ["recording_id"], lambda k: _FromDatagrams(k, c, Registration(), map_deskew, True, map_voxel, period, imu_window, in_parts, assembling or {}), schemas.CLOUD)
     return voxel_downsample(cloud, map_voxel, keys=["recording_id"])
 
 
-def sweep(datagrams: DataFrame, configs: dict[str, Config], period: float = PERIOD, assembling: dict | None = None) -> DataFrame:
+def sweep(datagrams: DataFrame, configs: dict[str, Config], period: float = PERIOD, assembling: dict | None = None, in_parts: bool = False) -> DataFrame:
     """Poses of every recording under every configuration (a small table of them); recording and configuration make the key."""
     names = F.array(*[F.lit(n) for n in configs])
     keyed = datagrams.withColumn("config", F.explode(names))
     fixed = Registration()
 
     def start(key: tuple):
-        return _Keyed(key, _FromDatagrams((key[0],), configs[key[1]], fixed, None, False, 0, period, IMU_WINDOW, assembling or {}))
+        return _Keyed(key, _FromDatagrams((key[0],), configs[key[1]], fixed, None, False, 0, period, IMU_WINDOW, in_parts, assembling or {}))
 
-    return ordered_fold(keyed, ["recording_id", "config"], ["seq"], start, "config string, " + schemas.POSES)
+    return datagram_fold(keyed, ["recording_id", "config"], start, "config string, " + schemas.POSES)
 
 
 class _Keyed:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orbitflow.config import IMU_WINDOW, MAX_TIME_GAP, PERIOD
 from orbitflow.functions.codec import unpack
 from orbitflow.operators.buffers import KEYS, checked
-from orbitflow.operators.fold import Batcher, ordered_fold, rotated
+from orbitflow.operators.fold import Batcher, datagram_fold, rotated
 
 
 def window_scans(ingested: DataFrame, max_scans: int = 100, keys: list[str] = KEYS) -> DataFrame:
@@ -95,8 +95,9 @@ WINDOW = "recording_id string, stamp double, pos long, x double, y double, z dou
 
 
 class _Window:
-    def __init__(self, key: tuple, max_scans: int, tolerance: float, period: float, imu_window: int):
-        self.key, self.batcher, self.window = key[0], Batcher(period, imu_window), Accumulator(max_scans, tolerance)
+    def __init__(self, key: tuple, max_scans: int, tolerance: float, period: float, imu_window: int, in_parts: bool):
+        self.key, self.window = key[0], Accumulator(max_scans, tolerance)
+        self.batcher = Batcher(period, imu_window, self.window.queue if in_parts else None)
 
     def take(self, pdf) -> list[tuple]:
         for at, data in zip(pdf["recv_time"].tolist(), pdf["payload"]):
@@ -110,6 +111,6 @@ class _Window:
         return [(self.key, stamp, i, *p) for stamp, _, xyz in self.window.window for i, p in enumerate(xyz.tolist())]
 
 
-def replay_window(datagrams: DataFrame, max_scans: int = 100, tolerance: float = MAX_TIME_GAP, period: float = PERIOD, imu_window: int = IMU_WINDOW) -> DataFrame:
-    """Points of the rolling window at the end of each recording, as a consumer would hold them."""
-    return ordered_fold(datagrams, ["recording_id"], ["seq"], lambda k: _Window(k, max_scans, tolerance, period, imu_window), WINDOW)
+def replay_window(datagrams: DataFrame, max_scans: int = 100, tolerance: float = MAX_TIME_GAP, period: float = PERIOD, imu_window: int = IMU_WINDOW, in_parts: bool = False) -> DataFrame:
+    """Points of the rolling window at the end of each recording, as a consumer would hold them; ``in_parts`` batches do not overflow its queue."""
+    return datagram_fold(datagrams, ["recording_id"], lambda k: _Window(k, max_scans, tolerance, period, imu_window, in_parts), WINDOW)

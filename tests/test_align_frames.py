@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orbitflow import schemas
 from orbitflow.config import Config
 from orbitflow.functions.codec import pack_imu_bytes, pack_scan_bytes, unpack
-from orbitflow.operators import batches, align, fold, framing, rolling
+from orbitflow.operators import batches, align, fold, framing, odometry, rolling
 
 IDENTITY = (0.0, 0.0, 0.0, 1.0)
 
@@ -240,3 +240,37 @@ def test_micro_batches_equal_a_fold_in_order(spark):
     df = spark.createDataFrame(rows, schemas.DATAGRAMS).repartition(3)
     assert rows_of(batches.micro_batches(df, 1.0, 20)) == sorted(want, key=repr)
     assert batches.micro_batches(df.limit(0)).count() == 0
+
+
+def dense(n: int = 3000, per_second: int = 100):
+    """Datagrams far denser than the queues: two inertial samples for three scans, in order."""
+    rows = []
+    for i in range(n):
+        t = i / per_second
+        rows.append(("r", i, t, pack_imu_bytes(t, i, (0.0, 0.0, 0.0, 1.0)) if i % 5 in (1, 3) else pack_scan_bytes(t, i, ramp(1 + i % 4, 1))))
+    return rows
+
+
+def test_batches_in_parts_lose_nothing_to_queues(spark):
+    df, scans = spark.createDataFrame(dense(), schemas.DATAGRAMS), [i for i in range(3000) if i % 5 not in (1, 3)]
+    # A batch of 10 s holds 600 scans and 400 samples; the queues hold 400 and 100 scans, the window 500 and 100 samples.
+    lost = fold.replay_counts(df, Config(frame_duration=1.0), 10.0, 100, tolerance=0.05, min_points=1).first()
+    got = fold.replay_counts(df, Config(frame_duration=1.0), 10.0, 100, in_parts=True, tolerance=0.05, min_points=1).first()
+    assert lost.scans_unmatched > 0 and got.scans_ingested == len(scans) and got.scans_unmatched == got.scans_pending == 0
+    frames = fold.replay_frames(df, Config(frame_duration=1.0), 10.0, 100, in_parts=True, tolerance=0.05, min_points=1).collect()
+    assert sum(f.n_scans for f in frames) == len(scans) and {f.n_scans for f in frames} == {60}
+    still = Config(frame_duration=1.0, rotate_with_imu=False, voxel_size=5.0, max_range=300.0)
+    poses = odometry.replay(df, still, 10.0, assembling={"min_points": 1}, in_parts=True)
+    assert poses.agg(F.sum("size")).first()[0] == sum(1 + i % 4 for i in scans)
+    both = odometry.sweep(df, {"a": still, "b": still}, 10.0, {"min_points": 1}, in_parts=True).groupBy("config").count()
+    assert sorted(map(tuple, both.collect())) == [("a", 30), ("b", 30)]
+    window = rolling.replay_window(df, 100, 0.05, 10.0, 100, in_parts=True).select("stamp").distinct()
+    assert sorted(r[0] for r in window.collect()) == [i / 100 for i in scans[-100:]]
+
+
+def test_batches_in_parts_hold_no_more_than_the_queue():
+    b, most = fold.Batcher(1e9, 50, 40), 0
+    for i in range(1000):
+        b.take(0.0, ("imu" if i % 7 == 0 else "scan", float(i), i, None))
+        most = max(most, len(b.scans))
+    assert most < 20

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from conftest import ramp, rows_of
+from pyspark.sql import functions as F
 
 from orbitflow.functions import codec
 from orbitflow.functions.codec import HEADER, IMU_TYPE, SCAN_TYPE, pack_imu_bytes, pack_scan_bytes, parse, status_of
@@ -63,3 +64,16 @@ def test_decode_keeps_every_row_and_splits(spark):
     assert len(got.p) == 5 and got.none is None and got.two.y == 4 and got.i[1].intensity == 10
     assert np.isclose(got.p[0].x, 1.0)
     assert codec.decode(spark.createDataFrame([], schemas.DATAGRAMS)).count() == 0
+
+
+def test_slim_datagrams_unpack_alike(spark):
+    import struct
+
+    full = codec.pack_scan_bytes(5.0, 7, ramp(3))
+    odd = [full, codec.pack_scan_bytes(5.0, 7, ramp(120)), codec.pack_scan_bytes(5.0, 7, ramp(0)), full[:90], full[:22], full[:3], b"", None, codec.pack_imu_bytes(1.0, 2, (0.0, 0.0, 0.0, 1.0)), b"\xe7\x03\0\0" + full[4:]]
+    odd += [full[:20] + struct.pack("<I", n) + full[24:] for n in (121, 200, 256, 259, 1 << 31)]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i long, payload binary").select("payload", codec.slim(F.col("payload")).alias("slim")).collect()
+    assert len(rows) == len(odd) and len(bytes(next(r.slim for r in rows if r.payload == full))) == 24 + 3 * 24
+    for r in rows:
+        a, b = (codec.unpack(None if x is None else bytes(x)) for x in r)
+        assert repr(a) == repr(b) and (a is None or a[0] == "imu" or a[3].tobytes() == b[3].tobytes())
