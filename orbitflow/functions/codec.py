@@ -24,6 +24,8 @@ HEADER = struct.Struct("<II")
 IMU_PAYLOAD = struct.Struct("<dI4f3f3f")
 SCAN_HEAD = struct.Struct("<dII")
 IMU_PADDED = 56
+#: Datagrams that a task decodes at once.
+ROWS = 1000
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("intensity", "<f4"), ("time", "<f4"), ("ring", "<u4")])
 
 _FIELDS = ("x", "y", "z", "intensity", "time", "ring")
@@ -89,8 +91,10 @@ def decode(datagrams: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            made = decode_batch(batch.column("payload").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made.flatten()], names=[*names, "msg_type", "status", "scan", "imu"])
+            for lo in range(0, batch.num_rows, ROWS):
+                some = batch.slice(lo, ROWS)
+                made = decode_batch(some.column("payload").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), *made.flatten()], names=[*names, "msg_type", "status", "scan", "imu"])
 
     fields = [f for f in kept.schema.fields if f.name != "payload"]
     made = T._parse_datatype_string(f"msg_type int, status string, scan {schemas.SCAN}, imu {schemas.IMU}").fields
