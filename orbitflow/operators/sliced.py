@@ -86,7 +86,6 @@ def quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, flo
     known = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
     v = known.select(*([F.lit(0).alias("_all")] if not keys else keys), F.col(column).cast("double").alias("_x"))
     cuts = v.groupBy(*own).agg(F.percentile_approx("_x", [k / CUTS for k in range(1, CUTS)], 2000).alias("_cuts"))
-    gap = F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_gap")
 
     def keyed(some: DataFrame, other: DataFrame) -> DataFrame:
         renamed = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(own)], *[c for c in other.columns if c not in own])
@@ -95,7 +94,12 @@ def quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, flo
             same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
         return some.join(renamed, same).drop(*[f"_k{i}" for i in range(len(own))])
 
-    placed = keyed(v, cuts).select(*own, "_x", gap)
+    # How many cut points are less, by halving: cut points ascend, and beyond them there is null.
+    placed, half = keyed(v, cuts).withColumn("_gap", F.lit(0)), 1 << (CUTS - 1).bit_length() - 1
+    while half:
+        placed = placed.withColumn("_gap", F.col("_gap") + F.when(F.get("_cuts", F.col("_gap") + (half - 1)) < F.col("_x"), half).otherwise(0))
+        half //= 2
+    placed = placed.select(*own, "_x", "_gap")
     counts = placed.groupBy(*own, "_gap").agg(F.count("*").alias("_n"))
     to = F.sum("_n").over(Window.partitionBy(*own).orderBy("_gap"))
     spans = counts.select(*own, "_gap", (to - F.col("_n")).alias("_from"), to.alias("_to"), F.sum("_n").over(Window.partitionBy(*own)).alias("_total"))

@@ -78,3 +78,15 @@ def test_a_consumer_gets_each_row_once(spark):
     counts = buffers.cleared(df, spark.createDataFrame([("a", 6)], "recording_id string, upto long"), 2)
     assert rows_of(counts) == [("a", 10, 2, 6), ("b", 1, 1, 0)]
     assert buffers.snapshot(df, 2).count() == 3
+
+
+def test_quantiles_place_values_by_halving(spark):
+    """Each row is placed among the cut points by a handful of compiled comparisons, not by one interpreted call a cut point."""
+    rng = np.random.default_rng(3)
+    values = {"a": rng.integers(0, 5, 3000).astype(float), "b": np.r_[rng.normal(size=2001), [np.inf, -np.inf, -0.0, 0.0]], "c": np.array([7.0]), "d": np.arange(199.0)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "k string, x double")
+    got = sliced.quantiles(df, ["k"], "x", {"lo": 0.01, "mid": 0.5, "hi": 0.99})
+    assert "filter(_cuts" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        assert np.allclose(tuple(r)[1:], np.quantile(values[r.k], [0.01, 0.5, 0.99]))
+    assert got.count() == 4
