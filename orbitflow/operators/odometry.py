@@ -90,13 +90,13 @@ def register(frames: DataFrame, config: Config | None = None, fixed: Registratio
     return ordered_fold(rows, ["recording_id"], ["frame_id"], lambda k: _FromFrames(k, c, r, None, False, 0), schemas.POSES)
 
 
-def replay(datagrams: DataFrame, config: Config | None = None, period: float = PERIOD, imu_window: int = IMU_WINDOW, assembling: dict | None = None, in_parts: bool = False, **changes) -> DataFrame:
+def replay(datagrams: DataFrame, config: Config | None = None, period: float = PERIOD, imu_window: int = IMU_WINDOW, assembling: dict | None = None, in_parts: bool = False, by_time: bool = False, **changes) -> DataFrame:
     """``schemas.POSES`` of recordings; ``assembling`` are options of ``Assembler``; ``in_parts`` batches do not overflow; an unknown config name is a TypeError before anything is read."""
     c = (config or Config()).with_(**changes)
-    return datagram_fold(datagrams, ["recording_id"], lambda k: _FromDatagrams(k, c, Registration(), None, False, 0, period, imu_window, in_parts, assembling or {}), schemas.POSES)
+    return datagram_fold(datagrams, ["recording_id"], lambda k: _FromDatagrams(k, c, Registration(), None, False, 0, period, imu_window, in_parts, assembling or {}), schemas.POSES, by_time)
 
 
-def accumulate_map(datagrams: DataFrame, map_voxel: float = MAP_VOXEL, map_deskew: bool = True, config: Config | None = None, period: float = PERIOD, imu_window: int = IMU_WINDOW, assembling: dict | None = None, in_parts: bool = False, **changes) -> DataFrame:
+def accumulate_map(datagrams: DataFrame, map_voxel: float = MAP_VOXEL, map_deskew: bool = True, config: Config | None = None, period: float = PERIOD, imu_window: int = IMU_WINDOW, assembling: dict | None = None, in_parts: bool = False, by_time: bool = False, **changes) -> DataFrame:
     """World points of recordings, the first seen in each voxel; a negative voxel keeps all.
 
     A frame is thinned where it is registered, frames are thinned against each other by an aggregation: first-seen within a frame, then the
@@ -105,11 +105,11 @@ def accumulate_map(datagrams: DataFrame, map_voxel: float = MAP_VOXEL, map_deske
     if not map_voxel:
         raise RuntimeError("a map needs a voxel size; a negative one keeps every point")
     c = (config or Config()).with_(**changes)
-    cloud = datagram_fold(datagrams, ["recording_id"], lambda k: _FromDatagrams(k, c, Registration(), map_deskew, True, map_voxel, period, imu_window, in_parts, assembling or {}), schemas.CLOUD)
+    cloud = datagram_fold(datagrams, ["recording_id"], lambda k: _FromDatagrams(k, c, Registration(), map_deskew, True, map_voxel, period, imu_window, in_parts, assembling or {}), schemas.CLOUD, by_time)
     return voxel_downsample(cloud, map_voxel, keys=["recording_id"])
 
 
-def sweep(datagrams: DataFrame, configs: dict[str, Config], period: float = PERIOD, assembling: dict | None = None, in_parts: bool = False) -> DataFrame:
+def sweep(datagrams: DataFrame, configs: dict[str, Config], period: float = PERIOD, assembling: dict | None = None, in_parts: bool = False, by_time: bool = False) -> DataFrame:
     """Poses of every recording under every configuration (a small table of them); recording and configuration make the key."""
     names = F.array(*[F.lit(n) for n in configs])
     keyed = datagrams.withColumn("config", F.explode(names))
@@ -118,7 +118,7 @@ def sweep(datagrams: DataFrame, configs: dict[str, Config], period: float = PERI
     def start(key: tuple):
         return _Keyed(key, _FromDatagrams((key[0],), configs[key[1]], fixed, None, False, 0, period, IMU_WINDOW, in_parts, assembling or {}))
 
-    return datagram_fold(keyed, ["recording_id", "config"], start, "config string, " + schemas.POSES)
+    return datagram_fold(keyed, ["recording_id", "config"], start, "config string, " + schemas.POSES, by_time)
 
 
 class _Keyed:

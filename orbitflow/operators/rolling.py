@@ -111,6 +111,6 @@ class _Window:
         return [(self.key, stamp, i, *p) for stamp, _, xyz in self.window.window for i, p in enumerate(xyz.tolist())]
 
 
-def replay_window(datagrams: DataFrame, max_scans: int = 100, tolerance: float = MAX_TIME_GAP, period: float = PERIOD, imu_window: int = IMU_WINDOW, in_parts: bool = False) -> DataFrame:
+def replay_window(datagrams: DataFrame, max_scans: int = 100, tolerance: float = MAX_TIME_GAP, period: float = PERIOD, imu_window: int = IMU_WINDOW, in_parts: bool = False, by_time: bool = False) -> DataFrame:
     """Points of the rolling window at the end of each recording, as a consumer would hold them; ``in_parts`` batches do not overflow its queue."""
-    return datagram_fold(datagrams, ["recording_id"], lambda k: _Window(k, max_scans, tolerance, period, imu_window, in_parts), WINDOW)
+    return datagram_fold(datagrams, ["recording_id"], lambda k: _Window(k, max_scans, tolerance, period, imu_window, in_parts), WINDOW, by_time)
