@@ -3,6 +3,7 @@ import random
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows_of
 from fixtures import SCHEMA, awkward, frame, plain_near, plain_repeats, reachable, words
@@ -112,6 +113,16 @@ def test_repeats_where_one_place_is_crowded(spark, monkeypatch, shared):
     assert repeats(frame(spark, rows), batches=3) == sorted(plain_repeats(rows), key=repr)
 
 
+def test_crowded_windows_go_as_runs():
+    raw = words(random.Random(5), 300).encode()[:671]
+    own = pd.DataFrame({"doc_id": [1, 2, 3], "h": 0, "place": [271, 371, 271], "first": [0, 100, 0], "last": [271, 371, 271], "raw": [raw] * 3, "r": [400, 400, 390], "l": [271, 271, 100]})
+    got = pd.concat(suffix_dedup._run_rows([own]))
+    assert got.groupby("doc_id")["n"].agg(["size", "sum"]).values.tolist() == [[17, 272], [17, 272], [5 + 5 + 6, 91]]
+    assert got[got.doc_id == 1].w.tolist() == got[got.doc_id == 2].w.tolist() and set(got[(got.doc_id == 3) & (got.n > 1)].w) < set(got.w[got.doc_id == 1])
+    one = pd.concat(suffix_dedup._single_rows([got[got.doc_id == 1]]))
+    assert one.start.tolist() == list(range(272)) and set(got[(got.doc_id == 3) & (got.n == 1)].w) < set(one.w)
+
+
 def test_repeats_query_equals_brute_force(spark, tmp_path):
     rng = random.Random(12)
     part = [words(rng, 200, "abé") for _ in range(5)]
